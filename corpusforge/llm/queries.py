@@ -1,0 +1,10 @@
+"""The registered queries of the training-data operators and their SQL twins."""
+
+from __future__ import annotations
+
+from corpusforge.llm.bpe import op1_byte_bpe
+from corpusforge.llm.tokencount import op10_token_counts
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op10_token_counts)}
+
+ORACLE_SQL: dict[str, str] = {}
