@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +60,7 @@ def text_or_empty(name: str = "text"):
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text; a longer text stands alone."""
-    sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0))
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0))
     start = size = 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and size + n > limit:
