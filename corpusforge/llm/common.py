@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusforge.session import ship
+
 #: Text that one vectorised step works on; it bounds a task's working memory.
 SLICE_BYTES = 1 << 20
 
@@ -77,7 +79,9 @@ def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column
 
 
-def map_arrow(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
+def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
