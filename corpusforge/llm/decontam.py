@@ -28,15 +28,15 @@ WINDOW = 10
 #: Window text that one automaton holds at most.
 BLOCK_BYTES = 8 << 20
 
-_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+#: First and past-the-last word, and the same stretch in the text's characters.
+_PLACES = ("start", "end", "char_start", "char_end")
+_SPAN = T.StructType([T.StructField(n, T.LongType()) for n in _PLACES])
 _FOUND = T.StructType([
     T.StructField("words", T.LongType()),
-    T.StructField("word_spans", T.ArrayType(_SPAN)),
-    T.StructField("char_spans", T.ArrayType(_SPAN)),
+    T.StructField("spans", T.ArrayType(_SPAN)),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
-_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_FOUND_ARROW = pa.struct([("words", pa.int64()), ("word_spans", _SPAN_ARROW), ("char_spans", _SPAN_ARROW), ("items", pa.list_(pa.string()))])
+_FOUND_ARROW = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([(n, pa.int64()) for n in _PLACES]))), ("items", pa.list_(pa.string()))])
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -95,7 +95,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def scan_text(automaton, data: bytes) -> dict:
     """Words, hit stretches in words and in characters, and the items that occur."""
     words = data.translate(common.ALNUM_WORDS).split()
-    none = {"words": len(words), "word_spans": [], "char_spans": [], "items": []}
+    none = {"words": len(words), "spans": [], "items": []}
     if not len(automaton) or not words:
         return none
     joined = b" %b " % b" ".join(words)
@@ -111,8 +111,7 @@ def scan_text(automaton, data: bytes) -> dict:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], is_word, [False]]).astype(np.int8)))
     char = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
     return none | {
-        "word_spans": [{"start": a, "end": b} for a, b in stretches],
-        "char_spans": [{"start": int(char[edge[2 * a]]), "end": int(char[edge[2 * b - 1]])} for a, b in stretches],
+        "spans": [dict(zip(_PLACES, (a, b, int(char[edge[2 * a]]), int(char[edge[2 * b - 1]])), strict=True)) for a, b in stretches],
         "items": sorted({i for _, (_, items) in hits for i in items}),
     }
 
@@ -134,18 +133,19 @@ def _scan(rows: DataFrame, block: list) -> DataFrame:
 
 def _spans_union(spans):
     """Sorted stretches that touch or overlap, as one each."""
-    start = F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)")
+    none = F.expr("array()").cast(T.ArrayType(_SPAN))
 
-    def add(acc, s):
-        last = F.element_at(acc, -1)
-        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.element_at(F.concat(acc, F.array(s)), F.greatest(F.size(acc), F.lit(1)))["end"] >= s["start"]), wider).otherwise(F.concat(acc, F.array(s)))
+    def add(done, s):
+        last = F.element_at(done, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["char_start"].alias("char_start"), F.greatest(last["char_end"], s["char_end"]).alias("char_end"))
+        joins = F.coalesce(F.try_element_at(done, F.lit(-1))["end"] >= s["start"], F.lit(False))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), start, add)
+    return F.aggregate(F.array_sort(spans), none, add)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep`` (all columns by default) and ``hits``: words, word and character spans, items."""
+    """``keep`` (all columns by default) and ``hits``: words, spans, items."""
     keep = df.columns if keep is None else keep
     name = common.free_name(df.select(*keep), "hits")
     data = common.text_or_empty(text).cast("binary").alias("_text")
@@ -162,8 +162,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     merged = union.groupBy("blob").agg(
         F.struct(
             F.first("words").alias("words"),
-            _spans_union(F.flatten(F.collect_set("word_spans"))).alias("word_spans"),
-            _spans_union(F.flatten(F.collect_set("char_spans"))).alias("char_spans"),
+            _spans_union(F.flatten(F.collect_set("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         ).alias("_found"),
     )
@@ -174,7 +173,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep:
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = decontaminate(docs, bench, keep=["doc_id"])
-    n_hit = F.aggregate("hits.word_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
         "doc_id",
         F.col("hits.words").alias("n_words"),

@@ -141,6 +141,6 @@ def test_decontamination_in_blocks_and_offsets(spark):
     key = lambda d: sorted(map(str, d.select("doc_id", "text", "hits_").collect()))
     assert key(one) == key(many)
     row = next(r for r in one.collect() if r.doc_id == 900)
-    assert [row.text[s.start : s.end] for s in row.hits_.char_spans] == ["the QUICK brown fox, jumps over the lazy dog again and again? one"]
+    assert [row.text[s.char_start : s.char_end] for s in row.hits_.spans] == ["the QUICK brown fox, jumps over the lazy dog again and again? one"]
     assert decontam.decontaminate(docs, bench.limit(0)).filter("size(hits_.items) > 0").count() == 0
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
