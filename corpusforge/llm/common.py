@@ -194,3 +194,12 @@ def bucket_of(key: str, bounds: list[int]):
         return F.lit(0)
     array = F.array(*[F.lit(b).cast("long") for b in bounds])
     return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(array, lambda b: b < F.col(key))))
+
+
+def by_order(df: DataFrame, key: str, bucket: str, buckets: int) -> DataFrame:
+    """One partition for each value 0..buckets-1 of ``bucket``."""
+    return df.repartitionById(buckets, F.col(bucket).cast("int"))
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
