@@ -9,7 +9,8 @@ from corpusforge.llm.licenses import op2_license_scan
 from corpusforge.llm.secrets import op7_secret_ledger
 from corpusforge.llm.tokenbin import op8_token_binary
 from corpusforge.llm.tokencount import op10_token_counts
+from corpusforge.llm.warczip import op5_warc_zip
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op4_fingerprints, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op4_fingerprints, op5_warc_zip, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
