@@ -172,6 +172,45 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
         return np.unique(mix(h))
 
 
+def shingles_of(texts: list[bytes], table: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Shingle hashes of many texts, the text of each, and each text's word hashes.
+
+    Hashes are in the order of the texts and of places in them, repeats included.
+    """
+    data = [t.translate(table) for t in texts]
+    words: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
+    small = [i for i, d in enumerate(data) if len(d) <= SLICE_BYTES]
+    if small:
+        ends = np.cumsum([len(data[i]) + 1 for i in small])
+        starts, hashes = _hash_block(b" ".join(data[i] for i in small))
+        cuts = np.searchsorted(starts, ends[:-1])
+        for i, part in zip(small, np.split(hashes, cuts), strict=True):
+            words[i] = part
+    for i, d in enumerate(data):
+        if len(d) > SLICE_BYTES:
+            words[i] = word_hashes(d)
+    counts = np.asarray([len(w) for w in words], np.int64)
+    of = np.repeat(np.arange(len(texts)), counts)
+    flat = np.concatenate(words) if words else np.empty(0, np.uint64)
+    parts, rows = [], []
+    if len(flat) >= k:
+        whole = np.flatnonzero(of[: len(of) - k + 1] == of[k - 1 :])
+        with np.errstate(over="ignore"):
+            h = flat[whole] * _SHINGLE[0]
+            for i in range(1, k):
+                h = mix(h) + flat[whole + i] * _SHINGLE[i % 5]
+            parts.append(mix(h))
+        rows.append(of[whole])
+    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        parts.append(shingle_hashes(words[i], k))
+        rows.append(np.asarray([i]))
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), words
+    h, rows = np.concatenate(parts), np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return h[order], rows[order], words
+
+
 # --- order by key over many tasks ------------------------------------------
 
 

@@ -50,33 +50,9 @@ def _densify(bins: np.ndarray) -> np.ndarray:
 
 def sketch(texts: list[bytes]) -> list[bytes]:
     """The packed fingerprint of each text; empty where it has no words."""
-    data = [t.translate(common.SPACE_WORDS) for t in texts]
     bins = np.full((len(texts), BINS), _NONE, np.uint64)
-    flat = bins.reshape(-1)
-
-    def place(hashes, rows):
-        np.minimum.at(flat, rows * BINS + (hashes >> np.uint64(56)).astype(np.int64), hashes & np.uint64((1 << 56) - 1))
-
-    small = [i for i, d in enumerate(data) if len(d) <= common.SLICE_BYTES]
-    if small:
-        ends = np.cumsum([len(data[i]) + 1 for i in small])
-        starts, words = common._hash_block(b" ".join(data[i] for i in small))
-        of = np.searchsorted(ends, starts, side="right")
-        counts = np.bincount(of, minlength=len(small))
-        rows = np.asarray(small, np.int64)
-        if len(words) >= 5:
-            whole = of[:-4] == of[4:]
-            with np.errstate(over="ignore"):
-                h = words[:-4] * common._SHINGLE[0]
-                for i in range(1, 5):
-                    h = common.mix(h) + words[i : len(words) - 4 + i] * common._SHINGLE[i]
-                place(common.mix(h)[whole], rows[of[:-4][whole]])
-        first = np.cumsum(counts) - counts
-        for k in np.flatnonzero((counts > 0) & (counts < 5)).tolist():
-            place(common.shingle_hashes(words[first[k] : first[k] + counts[k]]), np.asarray([small[k]]))
-    for i in set(range(len(data))).difference(small):
-        h = common.shingle_hashes(common.word_hashes(data[i]))
-        place(h, np.full(len(h), i, np.int64))
+    hashes, rows, _ = common.shingles_of(texts, common.SPACE_WORDS)
+    np.minimum.at(bins.reshape(-1), rows * BINS + (hashes >> np.uint64(56)).astype(np.int64), hashes & np.uint64((1 << 56) - 1))
     used = (bins != _NONE).any(axis=1)
     packed = (_densify(bins) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return [p.tobytes() if u else b"" for p, u in zip(packed, used.tolist(), strict=True)]
