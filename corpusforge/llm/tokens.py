@@ -1,10 +1,10 @@
 """What the three tokenising operators share: vocabularies and unit-wise encoding.
 
-A single space between two characters that are no white space always starts a
-pre-token of the byte-level pattern, whatever surrounds it: every alternative
-that holds a space begins with it, and none of them can reach it from the left.
-A text cut there gives the ids of the whole text, so each distinct unit is
-encoded by the library once per worker and its ids are reused.
+A single space or line end between two characters that are no white space always
+starts a pre-token of the byte-level pattern, whatever surrounds it: every
+alternative that holds white space begins with it, and none of them can reach it
+from the left. A text cut there gives the ids of the whole text, so each distinct
+unit is encoded by the library once per worker and its ids are reused.
 """
 
 from __future__ import annotations
@@ -14,20 +14,20 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 
-#: Text alone cannot tell whether another library counts these as white space.
 _PAIR = re.compile(r"\s\s")
-_UNIT = re.compile(r"(?<=\S)(?= \S)")
+_UNIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def units(text: str) -> list[str]:
-    """The text's units; all but the first stand for themselves after one space."""
+    """The text's units. All but the first begin with a line end, or a space that is left out."""
     if _PAIR.search(text):
         first, *rest = _UNIT.split(text)
-        return [first, *[u[1:] for u in rest]]
-    return text.split(" ")
+        return [first, *[u[1:] if u[0] == " " else u for u in rest]]
+    return text.replace("\n", " \n").split(" ")
 
 
 @lru_cache(maxsize=4)
@@ -85,46 +85,50 @@ def load_ranks(path: str, pattern: str):
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    New units are joined by single spaces, encoded together, and told apart by
-    the bytes that their ids stand for. ``known`` keeps at most ``most`` units;
-    it is emptied when it would grow over.
+    New units are joined and encoded together; a unit's ids begin at a token that
+    begins with its space or line end, as no other of its tokens does. Two
+    generations of at most ``most`` units are kept: units of the older one that
+    are met again move to the younger.
     """
 
-    def __init__(self, model, most: int = 500_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model, most: int = 800_000):
+        self.model, self.most, self.known, self.older = model, most, {}, {}
         vocabulary = model.get_vocab()
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        chars = byte_characters()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         for written, i in vocabulary.items():
-            self.sizes[i] = len(written)
+            self.begins[i] = written[0] in (chars[32], chars[10])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        odd = [u for u in new if not u or "<|" in u or u[0].isspace() or u[-1].isspace()]
-        self.known.update(zip(odd, self._encode([" " + u for u in odd]), strict=True))
-        new = [u for u in new if u not in self.known] if odd else new
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            (raw,) = self._encode([" " + " ".join(some)])
-            ends = np.cumsum(self.sizes[np.frombuffer(raw, np.uint32)])
-            until = np.cumsum([len(u.encode()) + 1 for u in some])
-            cuts = np.searchsorted(ends, until)
-            if not np.array_equal(ends[cuts], until):
-                raise ValueError("a token crosses two units")
-            cuts = [0, *(4 * (cuts + 1)).tolist()]
-            self.known.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: RUF007
+        whole = [u if u[:1] == "\n" else " " + u for u in new]
+        odd = [i for i, u in enumerate(whole) if len(u) < 2 or "<|" in u or u[1].isspace() or u[-1].isspace() or " " in u[1:] or "\n" in u[1:]]
+        if odd:
+            self.known.update(zip([new[i] for i in odd], self._encode([whole[i] for i in odd]), strict=True))
+            some = set(odd)
+            new, whole = [u for i, u in enumerate(new) if i not in some], [u for i, u in enumerate(whole) if i not in some]
+        for at in range(0, len(new), 2000):
+            (raw,) = self._encode(["".join(whole[at : at + 2000])])
+            cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(raw, np.uint32)])).tolist()
+            cuts.append(len(raw))
+            self.known.update(zip(new[at : at + 2000], [raw[a:b] for a, b in pairwise(cuts)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [units(t) for t in texts]
         wanted = set()
         for parts in split:
             wanted.update(parts[1:])
-        new = list(wanted.difference(self.known))
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(wanted)
-        self._learn(new)
+            self.known, self.older = {}, self.known
+            new = wanted
+        if self.older:
+            again = new.intersection(self.older)
+            self.known.update((u, self.older[u]) for u in again)
+            new = new.difference(again)
+        self._learn(list(new))
         firsts = self._encode([parts[0] for parts in split])
         get = self.known.__getitem__
         return [first + b"".join(map(get, parts[1:])) for first, parts in zip(firsts, split, strict=True)]
