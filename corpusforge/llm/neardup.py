@@ -5,13 +5,16 @@ empty so far keeps its least hash; after 125 such rounds, round 125 + j sends al
 shingles to bin j, so every bin fills. Large sets need one or two rounds. 25 bands
 of 5 bins find a pair of likeness 0.85 but for a chance of 4e-7.
 
-Texts of equal words are one class, so copies never make pairs. Within the
-buckets of a band no pairs are formed at first: a bucket's classes are compared
-with its most central one, links are confirmed on the full sets, and components
-grow. Then only pairs of different components in one bucket are left, and of
-those only pairs that can be alike at all: a shingle that no other candidate has
-is in no intersection, so a class of n shingles with u of its own has no partner
-of more than (n - u) / 0.85 - u shingles. No link is dropped by either step.
+Texts of equal words are one class, so copies never make pairs. Nor does a bucket
+of a band form all its pairs: its classes are compared with a hub, the class with
+the smallest share of shingles that no other candidate has. Those within 0.7 of
+the hub are settled by it, the rest of the bucket gets another hub, and links grow
+to components. What is left are pairs of different components. Of each, one is
+settled by a hub h that the other is within 0.55 of, as 1 - likeness is a metric.
+If x and y hold i and j shingles of h and share e others, they share at most
+min(i, j) + e; so they are found by a range of (i, j) alone, or by the shingles
+outside of h that both have, and the bound must reach the threshold before their
+full sets are compared. No link is dropped by any of these steps.
 
 Defined results: a text without words is linked with nothing, not even with
 another such; fewer than five words are one shingle; null ids give a null
@@ -32,8 +35,11 @@ from corpusforge.llm import common
 
 COORDINATES, ROWS = 125, 5
 THRESHOLD = (85, 100)
-#: Rounds of comparing with central classes before the remaining pairs.
-ROUNDS = 2
+#: Likeness to a hub that settles a class, and that makes it one of the hub's members:
+#: 1 - MEMBER >= (1 - SETTLED) + (1 - 0.85).
+SETTLED, MEMBER = (70, 100), (55, 100)
+#: Hubs of one bucket before its last pairs are formed.
+ROUNDS = 3
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = common.mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -121,23 +127,58 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _can_match(a: str, b: str, q: tuple[int, int]):
-    """Sizes and own shingles leave room for the likeness."""
+    """Sizes and own shingles leave room for the likeness.
+
+    A class of n shingles, u of them its own, has no partner of more than
+    (n - u) / 0.85 - u shingles: that is ``cap``.
+    """
     n, cap = (lambda x: F.col(f"{x}.n")), (lambda x: F.col(f"{x}.cap"))
     return (n(a) <= cap(b)) & (n(b) <= cap(a)) & (n(a) * q[1] >= n(b) * q[0]) & (n(b) * q[1] >= n(a) * q[0])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, q: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    whole = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - both
-    return whole.filter(both * q[1] >= union * q[0]).select("a", "b")
+def _reaches(shared, n, m, q: tuple[int, int]):
+    """Whether sets of n and m with so many shared shingles are as alike as q."""
+    return shared * (q[0] + q[1]) >= (n + m) * q[0]
+
+
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, m, i): sizes of both full sets and of what they share."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    whole = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+    size = lambda c: F.size(c).cast("long")
+    return whole.select("a", "b", size("sa").alias("n"), size("sb").alias("m"), size(F.array_intersect("sa", "sb")).alias("i"))
+
+
+def _remaining(settled: DataFrame, members: DataFrame, open_: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, q: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that may still be alike enough."""
+    known = common.materialise(nodes.join(labels, "id"), "known")
+    place = lambda t, name: common.materialise(t.join(known, "id").select("hub", "id", "i", "n", "cap", "label"), name)
+    x, y = place(settled, "settled"), place(members, "members")
+    apart = (F.col("x.label") != F.col("y.label")) & _can_match("x", "y", q)
+    least, sizes = F.least("x.i", "y.i"), (F.col("x.n"), F.col("y.n"))
+    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+    within = x.alias("x").join(y.alias("y").hint("merge"), (F.col("x.hub") == F.col("y.hub")) & apart & _reaches(least, *sizes, q)).select(*ends)
+
+    # shingles outside of the hub that a class settled by it shares with another member
+    hub_sets = sets.select(F.col("id").alias("hub"), F.col("s").alias("hs"))
+    outside = lambda t: t.join(sets.hint("merge"), "id").join(hub_sets.hint("merge"), "hub").select("hub", F.explode(F.array_except("s", "hs")).alias("h"), "id", "i", "n", "cap", "label")
+    one, two = common.materialise(outside(x), "outside"), common.materialise(outside(y), "outside")
+    also = one.alias("x").join(two.alias("y").hint("merge"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.h") == F.col("y.h")) & apart)
+    counted = also.groupBy(F.col("x.hub"), *ends, least.alias("least"), (sizes[0] + sizes[1]).alias("sizes")).agg(F.countDistinct("x.h").alias("e"))
+    beyond = counted.filter(_reaches(F.col("least") + F.col("e"), F.col("sizes"), F.lit(0), q)).select("a", "b")
+
+    last = open_.join(known.select("id", "label"), "id").select("key", "id", "n", "cap", "label")
+    last = common.materialise(last, "last")
+    alone = last.alias("x").join(last.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & apart).select(*ends)
+    return common.materialise(within.union(beyond).union(alone).distinct(), "pairs")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     num, den = threshold
+    if (1 - MEMBER[0] / MEMBER[1]) + 1e-9 < (1 - SETTLED[0] / SETTLED[1]) + (1 - num / den):
+        raise ValueError("members of a hub must reach beyond what it settles by the threshold's distance")
     texts = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).cast("binary").alias("text"))
     rows = common.materialise(common.map_arrow(texts, _classes, "doc_id long, class binary, n long, bands array<long>"), "rows")
     classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -146,42 +187,40 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     # classes that share a bucket with another, and their sets
     keys = classes.select("id", F.explode("bands").alias("key"))
     shared = common.materialise(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "buckets")
-    members = common.materialise(keys.join(shared, "key"), "members")
-    candidates = common.materialise(members.select("id").distinct().join(classes.select("id", "class", "rep"), "id"), "candidates")
-    found = texts.join(candidates, texts["doc_id"].eqNullSafe(candidates["rep"])).select("id", "class", "text")
-    sets = common.materialise(common.map_arrow(found, _sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+    members = common.materialise(keys.join(shared.hint("merge"), "key"), "inside")
+    candidates = common.materialise(members.select("id").distinct().join(classes.select("id", "class", "rep", "n"), "id"), "candidates")
+    found = texts.join(candidates.hint("merge"), texts["doc_id"].eqNullSafe(candidates["rep"])).select("id", "class", "text")
+    sets = common.materialise(common.map_arrow(found, _sets, "id long, s array<long>"), "sets")
 
     # shingles of one candidate alone are in no intersection
-    single = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
-    own = single.groupBy("id").agg(F.count("*").alias("u"))
-    u = F.coalesce(F.col("u"), F.lit(0))
-    sized = classes.select("id", "n").join(candidates.select("id"), "id", "left_semi").join(own, "id", "left")
-    nodes = common.materialise(sized.select("id", "n", (u / F.col("n")).alias("share"), F.expr(f"CAST((n - {'coalesce(u, 0)'}) * {den} / {num} - coalesce(u, 0) AS bigint)").alias("cap")).filter(F.col("cap") * den >= F.col("n") * num), "nodes")
-    inside = common.materialise(members.join(nodes, "id"), "inside")
-
-    edges = df.sparkSession.createDataFrame([], "a long, b long")
-    labels = nodes.select("id", F.col("id").alias("label"))
+    own = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").groupBy("id").agg(F.count("*").alias("u"))
+    sized = candidates.select("id", "n").join(own, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    sized = sized.select("id", "n", (F.col("u") / F.col("n")).alias("share"), F.expr(f"CAST((n - u) * {den} / {num} - u AS bigint)").alias("cap"))
+    nodes = common.materialise(sized.filter(F.col("cap") * den >= F.col("n") * num), "nodes")
+
+    open_ = common.materialise(members.join(nodes, "id"), "open")
+    compared = []
     for _ in range(ROUNDS):
-        placed = inside.join(labels, "id")
-        open_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        open_ = common.materialise(open_, "open")
-        mixed = common.materialise(placed.join(open_, "key"), "mixed")
-        # the most central class, of those outside the least component after the first round
-        pick = mixed if _ == 0 else mixed.filter("label > lo")
-        hubs = common.materialise(pick.groupBy("key").agg(F.min(F.struct("share", "id", "n", "cap", "label")).alias("hub")), "hubs")
-        pairs = mixed.select("key", F.struct("id", "n", "cap", "label").alias("x")).join(hubs, "key")
-        pairs = pairs.filter((F.col("x.label") != F.col("hub.label")) & _can_match("x", "hub", threshold)).select(F.least("x.id", "hub.id").alias("a"), F.greatest("x.id", "hub.id").alias("b")).distinct()
-        edges = common.materialise(edges.union(_confirmed(common.materialise(pairs, "pairs"), sets, threshold)), "links")
-        labels = components(nodes, edges)
-
-    placed = inside.join(labels, "id")
-    open_ = common.materialise(placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi"), "open")
-    mixed = common.materialise(placed.join(open_, "key").select("key", "id", "n", "cap", "label"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _can_match("x", "y", threshold))
-    rest = common.materialise(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    edges = common.materialise(edges.union(_confirmed(rest, sets, threshold)), "links")
+        hubs = open_.groupBy("key").agg(F.min(F.struct("share", "id")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("hub.id").alias("hub"))
+        faced = common.materialise(open_.join(common.materialise(hubs, "hubs"), "key"), "faced")
+        pairs = common.materialise(faced.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+        sim = common.materialise(_shared(pairs, sets).distinct(), "compared")
+        compared.append(sim)
+        near = sim.filter(_reaches(F.col("i"), F.col("n"), F.col("m"), SETTLED)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+        open_ = common.materialise(faced.filter("id != hub").join(near, ["id", "hub"], "left_anti").drop("hub"), "open")
+
+    each = compared[0]
+    for sim in compared[1:]:
+        each = each.union(sim)
+    each = common.materialise(each.distinct(), "compared")
+    alike = lambda q: _reaches(F.col("i"), F.col("n"), F.col("m"), q)
+    edges = each.filter(alike(threshold)).select("a", "b")
     labels = components(nodes, edges)
+    of_hub = lambda q: each.filter(alike(q)).select(F.col("a").alias("id"), F.col("b").alias("hub"), "i")
+    rest = _remaining(of_hub(SETTLED), of_hub(MEMBER), open_, nodes, labels, sets, threshold)
+    more = common.materialise(_shared(rest, sets).filter(alike(threshold)).select("a", "b"), "links")
+    if not more.isEmpty():
+        labels = components(nodes, edges.union(more))
 
     # components in terms of the rows' own ids
     named = common.materialise(classes.select("id", "class", "rep").join(labels, "id", "left").select("class", "rep", F.coalesce("label", "id").alias("label")), "named")
