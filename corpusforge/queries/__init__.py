@@ -1,4 +1,6 @@
 """Registered queries of the retrieval and curation operators, with SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusforge.queries import catalog, corpus, graphs, retrieval, syncing, tables  # noqa: F401
+from corpusforge.queries.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
