@@ -65,21 +65,25 @@ def _condition(df: DataFrame, name: str, op: str, value, attributes: str) -> Col
 
 
 def compile_filter(df: DataFrame, tree: dict | None, attributes: str = "attributes") -> Column:
-    """The predicate of a filter over the columns of ``df``; never null."""
+    """The predicate of a filter over the columns of ``df``.
+
+    Null counts as false, which AND and OR keep and NOT is told, so that plain
+    conditions stay in a form that reaches the scan.
+    """
     parts = []
     for key, value in (tree or {}).items():
         if key in ("$and", "$or"):
             each = [compile_filter(df, v, attributes) for v in value]
             parts.append(reduce(and_ if key == "$and" else or_, each, F.lit(key == "$and")) if each else F.lit(True))
         elif key == "$not":
-            parts.append(~compile_filter(df, value, attributes))
+            parts.append(~F.coalesce(compile_filter(df, value, attributes), F.lit(False)))
         elif key.startswith("$"):
             raise ValueError(f"unknown operator {key}")
         elif isinstance(value, dict):
-            parts += [F.coalesce(_condition(df, key, op, v, attributes), F.lit(False)) for op, v in value.items()]
+            parts += [_condition(df, key, op, v, attributes) for op, v in value.items()]
         else:
-            parts.append(F.coalesce(_condition(df, key, "$eq", value, attributes), F.lit(False)))
-    return reduce(and_, parts, F.lit(True))
+            parts.append(_condition(df, key, "$eq", value, attributes))
+    return reduce(and_, parts) if parts else F.lit(True)
 
 
 def scope(slugs: list[str] | None, column: str = "slug", mandatory: bool = False) -> Column:
@@ -88,7 +92,7 @@ def scope(slugs: list[str] | None, column: str = "slug", mandatory: bool = False
         if mandatory:
             raise ValueError("a scope of at least one directory is required")
         return F.lit(True)
-    return F.coalesce(F.col(column).isin(slugs), F.lit(False))
+    return F.col(column).isin(slugs)
 
 
 def keep_unless_empty(df: DataFrame, keep: Column, by: list[str] | None = None) -> DataFrame:

@@ -140,7 +140,7 @@ def _blocks(page: str | None) -> list[dict]:
     return parser.close()
 
 
-@F.pandas_udf("array<struct<headings: array<string>, text: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())])))
 def html_blocks(page: pd.Series) -> pd.Series:
     return page.map(_blocks)
 
