@@ -8,11 +8,9 @@ Ids that the vocabulary lacks raise ``KeyError``-like ``IndexError`` on decoding
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +42,11 @@ def byte_to_char(text: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(begins)])
 
 
-def offsets(ids: bytes, text: str, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def offsets(ids: bytes, data: bytes, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last character of each token.
 
     Tokens that share a split character all cover it.
     """
-    data = text.encode()
     sizes = np.asarray([len(table[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
     ends = np.cumsum(sizes)
     chars = byte_to_char(data)
@@ -63,31 +60,23 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
     ``with_offsets`` adds ``char_starts`` and ``char_ends`` for each token.
     """
-    keep = df.columns if keep is None else keep
-    name = common.free_name(df.select(*keep), "ids")
-    more = [(name, T.BinaryType())]
+    more = [("ids", T.BinaryType())]
     if with_offsets:
         more += [(n, T.ArrayType(T.IntegerType())) for n in ("char_starts", "char_ends")]
-    rows = df.select(common.text_or_empty(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    out = T.StructType([rows.schema["_row"], *(T.StructField(n, t) for n, t in more)])
-    arrow = [pa.binary()] + [pa.list_(pa.int32())] * (len(more) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         encoder = tokens.ranks_encoder(path, public_tokenizers.PATTERN)
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                texts = batch.column(0).slice(a, b - a).to_pylist()
-                ids = encoder.encode(texts)
-                columns = [ids]
-                if with_offsets:
-                    spans = [offsets(i, t, token_bytes(path)) for i, t in zip(ids, texts, strict=True)]
-                    columns += [[s for s, _ in spans], [e for _, e in spans]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(a, b - a), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))],
-                    names=["_row", *(n for n, _ in more)],
-                )
-
-    return common.map_arrow(rows, run, out).select("_row.*", *(n for n, _ in more))
+
+        def run(texts: list[bytes]) -> list[list]:
+            ids = encoder.encode(texts)
+            if not with_offsets:
+                return [ids]
+            spans = [offsets(i, t, token_bytes(path)) for i, t in zip(ids, texts, strict=True)]
+            return [ids, [s for s, _ in spans], [e for _, e in spans]]
+
+        return run
+
+    return common.map_text(df, text, keep, more, make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -95,18 +84,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     Characters split between tokens are whole again in the joined bytes.
     """
-    name = common.free_name(df, "decoded")
-    rows = df.select(F.coalesce(F.col(ids), F.lit(b"")).alias("_ids"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
-    out = T.StructType([rows.schema["_row"], T.StructField(name, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         get = token_bytes(path).__getitem__
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                texts = [b"".join(map(get, np.frombuffer(i.as_buffer(), "<u4").tolist())) for i in batch.column(0).slice(a, b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(texts, pa.binary())], names=["_row", name])
+        return lambda each: [[b"".join(map(get, np.frombuffer(i, "<u4").tolist())) for i in each]]
 
-    return common.map_arrow(rows, run, out).select("_row.*", name)
+    return common.map_text(df, ids, None, [("decoded", T.BinaryType())], make)
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:

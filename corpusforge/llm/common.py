@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusforge.session import ship
 
@@ -73,22 +74,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
-def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column
-
-
 def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def fields(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in more)])
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores until no column has it (whatever its case)."""
     taken = {c.lower() for c in df.columns}
@@ -97,6 +88,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_text(df: DataFrame, text: str, keep: list[str] | None, more: list[tuple[str, T.DataType]], make: Callable[[], Callable]) -> DataFrame:
+    """``keep`` (all columns by default) and a column for each of ``more``, made from texts.
+
+    ``make`` is called in each task and gives a function from a list of texts in
+    UTF-8 (null: empty) to a list of values for each new column; it sees about
+    ``SLICE_BYTES`` at a time. A text that is kept travels once.
+    """
+    kept = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
+    names = [free_name(kept, n) for n, _ in more]
+    inside = dict(kept.dtypes).get(text) in ("string", "binary")
+    columns = [F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row")]
+    rows = df.select(*columns, *([] if inside else [F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_text")]))
+    out = T.StructType([rows.schema["_row"], *(T.StructField(n, t) for n, (_, t) in zip(names, more, strict=True))])
+    kinds = [to_arrow_type(t) for _, t in more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            row = batch.column(0)
+            texts = pc.fill_null(row.field(text).cast(pa.binary()), b"") if inside else batch.column(1)
+            for a, b in slices(texts):
+                made = fn(texts.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["_row", *names])
+
+    return map_arrow(rows, run, out).select("_row.*", *names)
+
+
 # --- word hashes -----------------------------------------------------------
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -121,6 +139,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes."""
+    power, inverse = _powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.empty(len(raw) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of translated text (spaces separate)."""
     raw = np.frombuffer(data, np.uint8)
@@ -129,12 +157,7 @@ def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(raw, 32, out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(raw) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-        return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, span_hashes(raw, starts, ends)
 
 
 def word_hashes(data: bytes) -> np.ndarray:

@@ -36,7 +36,6 @@ _FOUND = T.StructType([
     T.StructField("spans", T.ArrayType(_SPAN)),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
-_FOUND_ARROW = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.struct([(n, pa.int64()) for n in _PLACES]))), ("items", pa.list_(pa.string()))])
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -116,19 +115,15 @@ def scan_text(automaton, data: bytes) -> dict:
     }
 
 
-def _scan(rows: DataFrame, block: list) -> DataFrame:
-    """rows (_text binary, _row) with _found instead of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-    out = T.StructType([rows.schema["_row"], T.StructField("_found", _FOUND)])
+def _scan(df: DataFrame, text: str, keep: list[str] | None, block: list) -> DataFrame:
+    """``keep`` and ``hits`` of one block of windows."""
+    shared = df.sparkSession.sparkContext.broadcast(block)  # within block_bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         automaton = _automaton(shared)
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                found = [scan_text(automaton, x) for x in batch.column(0).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(found, _FOUND_ARROW)], names=["_row", "_found"])
+        return lambda texts: [[scan_text(automaton, t) for t in texts]]
 
-    return common.map_arrow(rows, run, out)
+    return common.map_text(df, text, keep, [("hits", _FOUND)], make)
 
 
 def _spans_union(spans):
@@ -146,28 +141,27 @@ def _spans_union(spans):
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` (all columns by default) and ``hits``: words, spans, items."""
-    keep = df.columns if keep is None else keep
-    name = common.free_name(df.select(*keep), "hits")
-    data = common.text_or_empty(text).cast("binary").alias("_text")
-    whole = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
     found = list(blocks(windows(benchmark, size), block_bytes))
     if len(found) == 1:
-        return _scan(df.select(data, whole), found[0]).select("_row.*", F.col("_found").alias(name))
+        return _scan(df, text, keep, found[0])
     # what a text holds depends on it alone: passes meet at its hash
-    blob = F.struct(F.sha2(common.text_or_empty(text), 256).alias("blob")).alias("_row")
-    passes = [_scan(df.select(data, blob), b).select("_row.blob", "_found.*") for b in found]
+    hashed = F.sha2(common.text_or_empty(text), 256)
+    texts = df.select(hashed.alias("_blob"), F.col(text).alias("_value"))
+    passes = [_scan(texts, "_value", ["_blob"], b).select("_blob", "hits.*") for b in found]
     union = passes[0]
     for p in passes[1:]:
         union = union.unionByName(p)
-    merged = union.groupBy("blob").agg(
+    kept = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
+    name = common.free_name(kept, "hits")
+    merged = union.groupBy("_blob").agg(
         F.struct(
             F.first("words").alias("words"),
             _spans_union(F.flatten(F.collect_set("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         ).alias("_found"),
     )
-    rows = df.select(F.sha2(common.text_or_empty(text), 256).alias("_blob"), whole)
-    return rows.join(merged, rows["_blob"] == merged["blob"]).select("_row.*", F.col("_found").alias(name))
+    rows = df.select(hashed.alias("_of"), F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_whole"))
+    return rows.join(merged, rows["_of"] == merged["_blob"]).select("_whole.*", F.col("_found").alias(name))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

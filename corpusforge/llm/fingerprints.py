@@ -76,18 +76,7 @@ def likeness_column(a: str, b: str) -> Column:
 
 def fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns by default) and ``fingerprint``: 256 bytes in hexadecimal."""
-    keep = df.columns if keep is None else keep
-    name = common.free_name(df.select(*keep), "fingerprint")
-    rows = df.select(common.text_or_empty(text).cast("binary").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    out = T.StructType([rows.schema["_row"], T.StructField(name, T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                found = [x.hex() for x in sketch(batch.column(0).slice(a, b - a).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(found, pa.string())], names=["_row", name])
-
-    return common.map_arrow(rows, run, out).select("_row.*", name)
+    return common.map_text(df, text, keep, [("fingerprint", T.StringType())], lambda: lambda texts: [[x.hex() for x in sketch(texts)]])
 
 
 def with_next(df: DataFrame, fn, schema: str, key: str = "doc_id") -> DataFrame:

@@ -13,11 +13,8 @@ places count each; a text may carry several labels; texts are scanned whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,35 +187,19 @@ def scan(text: bytes) -> tuple[int, list[tuple[str, int, int]], list[tuple[str,
 
 
 _PLACES = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_PLACES_ARROW = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def scan_licenses(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns by default), ``license_words``, and the places of both kinds."""
-    keep = df.columns if keep is None else keep
-    kept = df.select(*keep)
-    names = [common.free_name(kept, n) for n in ("license_words", "base_places", "template_places")]
-    rows = df.select(common.text_or_empty(text).cast("binary").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    out = T.StructType([rows.schema["_row"], *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), _PLACES, _PLACES), strict=True))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(places):
-            return [{"label": label, "start": i, "end": j} for label, i, j in sorted(places, key=lambda p: (p[1], p[0]))]
-
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                found = [scan(x) for x in batch.column(0).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(1).slice(a, b - a),
-                        pa.array([n for n, _, _ in found], pa.int64()),
-                        pa.array([rows_of(p) for _, p, _ in found], _PLACES_ARROW),
-                        pa.array([rows_of(p) for _, _, p in found], _PLACES_ARROW),
-                    ],
-                    names=["_row", *names],
-                )
-
-    return common.map_arrow(rows, run, out).select("_row.*", *names)
+
+    def rows_of(places):
+        return [{"label": label, "start": i, "end": j} for label, i, j in sorted(places, key=lambda p: (p[1], p[0]))]
+
+    def run(texts: list[bytes]) -> list[list]:
+        found = [scan(t) for t in texts]
+        return [[n for n, _, _ in found], [rows_of(p) for _, p, _ in found], [rows_of(p) for _, _, p in found]]
+
+    return common.map_text(df, text, keep, [("license_words", T.LongType()), ("base_places", _PLACES), ("template_places", _PLACES)], lambda: run)
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -34,22 +34,29 @@ BYTE_50K = "byte_bpe_50k.json"
 MAGIC = b"CFIDS\x01"
 END_ID = 0
 SHARD_BYTES = 4 << 20
-#: The dictionary is trained on at most this many documents, this many bytes of each.
+#: The dictionary is trained on about this many documents, this many bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 64 << 10
+LEVEL = 1
 
 _HEAD = struct.Struct("<6s32sBI")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_ids", "<u4")])
 
 
-def _ids(encoder, texts: list[str], width: int) -> list[np.ndarray]:
+def _ids(encoder, texts: list[bytes], width: int) -> list[np.ndarray]:
     end = np.asarray([END_ID], "<u4")
     return [np.concatenate([np.frombuffer(raw, "<u4"), end]).astype(f"<u{width}") for raw in encoder.encode(texts)]
 
 
-def train_dictionary(df: DataFrame, path: str, width: int, text: str = "text") -> bytes:
-    """A dictionary from a bounded sample, picked by hash; empty where there is too little."""
-    value = common.text_or_empty(text)
-    sample = df.select(value.alias("t"), F.xxhash64(value).alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("t")
+def train_dictionary(df: DataFrame, path: str, width: int, key: str = "doc_id", text: str = "text") -> bytes:
+    """A dictionary from a bounded sample, picked by hash; empty where there is too little.
+
+    The share of hashes that is taken follows from the number of rows, so no sort
+    or single task sees more than the sample; the limit holds where ids repeat.
+    """
+    share = min(1.0, SAMPLE_DOCS / max(1, df.count()))
+    below = int(share * 2**64) - 2**63
+    hashed = F.xxhash64(F.col(key))
+    sample = df.filter(hashed <= F.lit(min(below, 2**63 - 1))).limit(2 * SAMPLE_DOCS).select(common.text_or_empty(text).cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +108,7 @@ class Shard:
 
 @lru_cache(maxsize=2)
 def _compressor(dictionary: bytes):
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
 @lru_cache(maxsize=2)
@@ -116,10 +123,10 @@ def write_ids(df: DataFrame, out: str, path: str, key: str = "doc_id", text: str
     """Write ``out``/shards and ``out``/dictionary, in ascending order of the key."""
     spark = df.sparkSession
     width = 2 if tokens.load_json(path).get_vocab_size() <= 1 << 16 else 4
-    dictionary = train_dictionary(df, path, width, text)
+    dictionary = train_dictionary(df, path, width, key, text)
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{out}/dictionary")
     bounds = common.order_bounds(df, key, common.partitions(spark))
-    rows = df.select(common.text_or_empty(text).alias("t"), F.col(key).cast("long").alias("k"), common.bucket_of(key, bounds).cast("int").alias("b"))
+    rows = df.select(common.text_or_empty(text).cast("binary").alias("t"), F.col(key).cast("long").alias("k"), common.bucket_of(key, bounds).cast("int").alias("b"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = _compressor(dictionary).compress

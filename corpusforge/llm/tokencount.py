@@ -15,10 +15,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,21 +83,17 @@ def untrimmed(path: str):
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = 32_768, overlap: int = 256) -> DataFrame:
     """``keep`` (all columns by default) and ``n_tokens``."""
-    keep = df.columns if keep is None else keep
-    name = common.free_name(df.select(*keep), "n_tokens")
-    rows = df.select(common.text_or_empty(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    out = T.StructType([rows.schema["_row"], T.StructField(name, T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         encoder, offset_model = tokens.json_encoder(path), untrimmed(path)
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                texts = batch.column(0).slice(a, b - a).to_pylist()
-                short = iter(encoder.encode([t for t in texts if len(t) <= chunk]))
-                counts = [len(next(short)) // 4 if len(t) <= chunk else count_spliced(offset_model, t, chunk, overlap) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(counts, pa.int64())], names=["_row", name])
-
-    return common.map_arrow(rows, run, out).select("_row.*", name)
+
+        def run(texts: list[bytes]) -> list[list]:
+            short = iter(encoder.encode([t for t in texts if len(t) <= chunk]))
+            return [[len(next(short)) // 4 if len(t) <= chunk else count_spliced(offset_model, t.decode(), chunk, overlap) for t in texts]]
+
+        return run
+
+    return common.map_text(df, text, keep, [("n_tokens", T.LongType())], make)
 
 
 def op10_token_counts(spark, sf_dir: str, limit: int = 512) -> DataFrame:

@@ -1,33 +1,59 @@
 """What the three tokenising operators share: vocabularies and unit-wise encoding.
 
-A single space or line end between two characters that are no white space always
-starts a pre-token of the byte-level pattern, whatever surrounds it: every
-alternative that holds white space begins with it, and none of them can reach it
-from the left. A text cut there gives the ids of the whole text, so each distinct
-unit is encoded by the library once per worker and its ids are reused.
+Two kinds of places always start a pre-token of the byte-level pattern, whatever
+surrounds them: a single space or line end between two characters that are no
+white space, as every alternative that holds white space begins with it and none
+can reach it from the left; and an ASCII mark after an ASCII letter, as no
+alternative goes on from a letter to a mark. A text cut there gives the ids of
+the whole text, so each distinct unit is encoded by the library once per worker,
+and its ids are gathered for every place where the unit stands.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 from array import array
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
 
-_PAIR = re.compile(r"\s\s")
-_UNIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-
-
-def units(text: str) -> list[str]:
-    """The text's units. All but the first begin with a line end, or a space that is left out."""
-    if _PAIR.search(text):
-        first, *rest = _UNIT.split(text)
-        return [first, *[u[1:] if u[0] == " " else u for u in rest]]
-    return text.replace("\n", " \n").split(" ")
+from corpusforge.llm import common
+
+_BYTE = np.arange(256)
+_SPACE = np.isin(_BYTE, [9, 10, 11, 12, 13, 32])
+_BREAK = np.isin(_BYTE, [10, 32])
+_LETTER = ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
+_MARK = (_BYTE > 32) & (_BYTE < 127) & ~_LETTER & ~((_BYTE >= 48) & (_BYTE <= 57))
+#: First bytes of white space outside ASCII, and separators that libraries take differently.
+_RARE = np.isin(_BYTE, [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def rare_space(raw: np.ndarray) -> np.ndarray:
+    """Positions of white space outside ASCII, and of the separators 1C to 1F."""
+    at = np.flatnonzero(_RARE[raw])
+    if not len(at):
+        return at
+    ahead = np.concatenate([raw, np.zeros(2, np.uint8)])
+    a, b, c = raw[at], ahead[at + 1], ahead[at + 2]
+    hit = a < 0x20
+    hit |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    hit |= (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) & ((c == 0x80) | (c == 0x8E))
+    hit |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))
+    hit |= (a == 0xE2) & (b == 0x81) & ((c == 0x9F) | (c == 0xA0))
+    hit |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return at[hit]
+
+
+def unit_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where units begin in joined texts that begin at ``starts``."""
+    begin = np.zeros(len(raw), bool)
+    space = _SPACE[raw]
+    begin[1:-1] = _BREAK[raw[1:-1]] & ~space[:-2] & ~space[2:]
+    begin[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
+    begin[starts[starts < len(raw)]] = True
+    return np.flatnonzero(begin)
 
 
 @lru_cache(maxsize=4)
@@ -82,56 +108,141 @@ def load_ranks(path: str, pattern: str):
     return model
 
 
+class HashRows:
+    """Row numbers of 64-bit keys, by open addressing in arrays."""
+
+    def __init__(self, most: int):
+        self.bits = max(8, int(2 * most).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.rows = np.full(1 << self.bits, -1, np.int32)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            row = self.rows[at]
+            same = self.keys[at] == keys[left]
+            out[left[same]] = row[same]
+            go = ~same & (row >= 0)
+            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
+        return out
+
+    def grown(self, n: int) -> HashRows:
+        """The same rows in a table with room for n."""
+        out, full = HashRows(n), self.rows >= 0
+        out.add(self.keys[full], self.rows[full])
+        return out
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """New, distinct keys."""
+        at = self._home(keys)
+        while len(keys):
+            free = np.flatnonzero(self.rows[at] < 0)
+            self.rows[at[free]] = rows[free]
+            self.keys[at[free]] = keys[free]
+            left = self.rows[at] != rows
+            keys, rows, at = keys[left], rows[left], (at[left] + 1) & (len(self.keys) - 1)
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    New units are joined and encoded together; a unit's ids begin at a token that
-    begins with its space or line end, as no other of its tokens does. Two
-    generations of at most ``most`` units are kept: units of the older one that
-    are met again move to the younger.
+    Units are told apart by 64-bit hashes of their bytes. New ones that begin with
+    a space or line end and hold no other white space are encoded together: each
+    one's ids begin at a token that begins with it, as no other of its tokens does.
+    Texts with white space outside ASCII are encoded as they are. At most about
+    ``most`` units are kept; then the encoder starts anew.
     """
 
-    def __init__(self, model, most: int = 800_000):
-        self.model, self.most, self.known, self.older = model, most, {}, {}
+    def __init__(self, model, most: int = 1_500_000):
+        self.model, self.most = model, most
         vocabulary = model.get_vocab()
         chars = byte_characters()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         for written, i in vocabulary.items():
             self.begins[i] = written[0] in (chars[32], chars[10])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.n, self.used = HashRows(self.most), 0, 0
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids = np.zeros(1 << 18, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        whole = [u if u[:1] == "\n" else " " + u for u in new]
-        odd = [i for i, u in enumerate(whole) if len(u) < 2 or "<|" in u or u[1].isspace() or u[-1].isspace() or " " in u[1:] or "\n" in u[1:]]
-        if odd:
-            self.known.update(zip([new[i] for i in odd], self._encode([whole[i] for i in odd]), strict=True))
-            some = set(odd)
-            new, whole = [u for i, u in enumerate(new) if i not in some], [u for i, u in enumerate(whole) if i not in some]
-        for at in range(0, len(new), 2000):
-            (raw,) = self._encode(["".join(whole[at : at + 2000])])
-            cuts = (4 * np.flatnonzero(self.begins[np.frombuffer(raw, np.uint32)])).tolist()
-            cuts.append(len(raw))
-            self.known.update(zip(new[at : at + 2000], [raw[a:b] for a, b in pairwise(cuts)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [units(t) for t in texts]
-        wanted = set()
-        for parts in split:
-            wanted.update(parts[1:])
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, self.older = {}, self.known
-            new = wanted
-        if self.older:
-            again = new.intersection(self.older)
-            self.known.update((u, self.older[u]) for u in again)
-            new = new.difference(again)
-        self._learn(list(new))
-        firsts = self._encode([parts[0] for parts in split])
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, parts[1:])) for first, parts in zip(firsts, split, strict=True)]
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append units with their ids, one after another."""
+        n, used = self.n + len(hashes), self.used + len(ids)
+        while len(self.first) < n:
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while len(self.ids) < used:
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.first[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : n] = sizes
+        self.ids[self.used : used] = ids
+        if n > len(self.table.keys) // 2:
+            self.table = self.table.grown(n)
+        self.table.add(hashes, np.arange(self.n, n, dtype=np.int32))
+        self.n, self.used = n, used
+
+    def _learn(self, data: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> None:
+        for at in range(0, int(joined.sum()), 2000):
+            some = np.flatnonzero(joined)[at : at + 2000]
+            (raw,) = self._encode([b"".join([data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]).decode()])
+            ids = np.frombuffer(raw, np.uint32)
+            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+            if len(cuts) != len(some) + 1:
+                raise ValueError("units and their tokens disagree")
+            self._keep(hashes[some], ids, np.diff(cuts))
+        alone = np.flatnonzero(~joined)
+        if len(alone):
+            each = [np.frombuffer(r, np.uint32) for r in self._encode([data[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])]
+            self._keep(hashes[alone], np.concatenate(each), np.asarray([len(i) for i in each]))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        sizes = np.asarray([len(t) for t in texts], np.int64)
+        data = b"".join(texts)
+        raw, offsets = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
+        odd = np.unique(np.searchsorted(offsets, rare_space(raw), side="right") - 1)
+        if len(odd):
+            whole = odd.tolist()
+            for i, ids in zip(whole, self._encode([texts[i].decode() for i in whole]), strict=True):
+                out[i] = ids
+            left = sorted(set(range(len(texts))).difference(whole))
+            for i, ids in zip(left, self.encode([texts[i] for i in left]) if left else (), strict=True):
+                out[i] = ids
+            return out
+        if not data:
+            return out
+        starts = unit_starts(raw, offsets)
+        ends = np.append(starts[1:], len(raw))
+        hashes = common.span_hashes(raw, starts, ends)
+        rows = self.table.find(hashes)
+        if (rows < 0).any():
+            if self.n > self.most:
+                self._clear()
+                rows[:] = -1
+            new, at = np.unique(hashes[rows < 0], return_index=True)
+            at = np.flatnonzero(rows < 0)[at]
+            spaces = np.concatenate([[0], np.cumsum(_SPACE[raw])])
+            joined = _BREAK[raw[starts[at]]] & (spaces[ends[at]] - spaces[starts[at]] == 1) & (ends[at] - starts[at] > 1)
+            place = data.find(b"<|")
+            while place >= 0:  # may be a special string, which has no leading space
+                joined[at == np.searchsorted(starts, place, side="right") - 1] = False
+                place = data.find(b"<|", place + 1)
+            self._learn(data, new, starts[at], ends[at], joined)
+            rows = self.table.find(hashes)
+        count = self.size[rows].astype(np.int64)
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[rows] - (upto - count), count) + np.arange(upto[-1])]
+        bounds = np.concatenate([[0], upto])[np.searchsorted(starts, np.append(offsets, len(raw)))]
+        return [ids[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
 
 
 @lru_cache(maxsize=2)

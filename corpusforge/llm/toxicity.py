@@ -255,19 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns by default) and ``toxicity``, from 0 to 1."""
-    keep = df.columns if keep is None else keep
-    name = common.free_name(df.select(*keep), "toxicity")
-    rows = df.select(common.text_or_empty(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_PREFIXES prefixes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = shared.value
-        for batch in batches:
-            for a, b in common.slices(batch.column(0)):
-                scores = [use.score(t) for t in batch.column(0).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(scores, pa.float64())], names=["_row", name])
+    def make():
+        score = shared.value.score
+        return lambda texts: [[score(t.decode()) for t in texts]]
 
-    return common.map_arrow(rows, run, T.StructType([rows.schema["_row"], T.StructField(name, T.DoubleType())])).select("_row.*", name)
+    return common.map_text(df, text, keep, [("toxicity", T.DoubleType())], make)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
