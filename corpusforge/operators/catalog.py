@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.functions.time import next_run
+
 STATUSES = ("PENDING", "PROCESSING", "COMPLETED", "FAILED", "EXCLUDED")
 TRANSITIONS = {"PENDING": ("PROCESSING", "EXCLUDED"), "PROCESSING": ("COMPLETED", "FAILED", "PENDING", "EXCLUDED"), "COMPLETED": ("EXCLUDED",), "FAILED": ("PENDING", "EXCLUDED"), "EXCLUDED": ("PENDING",)}
 
@@ -130,6 +133,31 @@ def due(schedules: DataFrame, as_of: float) -> DataFrame:
     return schedules.filter(F.col("enabled") & (F.col("next_run") <= as_of))
 
 
+def reschedule(schedules: DataFrame, as_of: float, zone: str = "Europe/Rome") -> DataFrame:
+    """Schedules that are due get their next run; those that are never due again are disabled."""
+
+    @F.pandas_udf("long")
+    def following(cron: pd.Series) -> pd.Series:
+        def one(c):
+            try:
+                return next_run(c, as_of, zone)
+            except ValueError:
+                return None
+
+        return cron.map(one).astype("Int64")
+
+    is_due = F.col("enabled") & (F.col("next_run") <= as_of)
+    out = schedules.withColumn("_next", F.when(is_due, following("cron")))
+    return out.withColumns({"next_run": F.when(is_due, F.col("_next")).otherwise(F.col("next_run")), "enabled": F.col("enabled") & (~is_due | F.col("_next").isNotNull())}).drop("_next")
+
+
+def client_order(jobs: DataFrame, mode: str = "name") -> DataFrame:
+    """The listing's orders: by name, newest first, or by status and then name."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(("FAILED", "PROCESSING", "PENDING", "COMPLETED", "EXCLUDED")) for x in (s, i)]), F.col("status"))
+    orders = {"name": [F.lower("filename"), F.col("filename")], "recent": [F.desc("created_at")], "status": [rank, F.lower("filename")]}
+    return jobs.orderBy(*orders[mode], "job_id")
+
+
 def page(df: DataFrame, limit: int, after: tuple | None = None, order: str = "created_at", key: str = "id", most: int = 500) -> DataFrame:
     """A page of the newest rows after the key (value, id) of the last, and ``has_more``."""
     limit = min(max(limit, 1), most)

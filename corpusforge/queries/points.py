@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text
-from corpusforge.operators import entities, graph, search
-from corpusforge.plans import ingest
+from corpusforge.operators import catalog, entities, graph, search
+from corpusforge.plans import ingest, models
+from corpusforge.plans import overview as plan
 from corpusforge.plans.projections import Tables
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import JOBS, LINES, TOKENS
@@ -110,3 +111,52 @@ def vtt_stamps(t: Tables):
 def heading_chunks(t: Tables):
     """Documents as markdown, cut at headings and by size."""
     return files.heading_chunks(t.read("documents"), max_tokens=128).select("file_id", "chunk_index", F.array_join("headings", " > ").alias("headings"), F.sha2("text", 256).alias("text_sha256"))
+
+
+TERMS = {"license": "legal", "apache": "name", "mit": "name"}
+
+
+@query("WITH m AS (SELECT DISTINCT doc_id, lower(w) AS normalized_name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE lower(w) IN ('license', 'apache', 'mit')) SELECT doc_id, CASE normalized_name WHEN 'license' THEN 'legal' ELSE 'name' END AS type, normalized_name FROM m")
+def model_entities(t: Tables):
+    """Entities of an injected model, here a word list, read in windows."""
+    docs = t.read("documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    found = models.model_entities(docs, lambda: models.DictionaryModel(TERMS), ["legal", "name"], regex=False)
+    return found.select(F.col("chunk_id").alias("doc_id"), "type", "normalized_name")
+
+
+@query("SELECT doc_id, CASE WHEN list_contains(w, 'apache') OR list_contains(w, 'license,') OR list_contains(w, 'mit') THEN 'license' END AS label FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents)")
+def model_classes(t: Tables):
+    """The best class of an injected classifier, here by keywords."""
+    keys = {"license": ["apache", "license,", "mit"]}
+    found = models.classify(t.read("documents").select("doc_id", "text"), lambda: models.KeywordClassifier(keys), ["license"], 0.3)
+    return found.select("doc_id", F.try_element_at("classes", F.lit(1))["label"].alias("label"))
+
+
+@query("WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem) SELECT DISTINCT unnest([src, dst]) AS id FROM e WHERE src = 5 OR dst = 5")
+def graph_neighbourhood(t: Tables):
+    """Nodes within one hop of one."""
+    edges = t.read("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return graph.neighbourhood(edges, 5)
+
+
+@query()
+def reschedule(t: Tables):
+    """The next run of schedules that are due, in a zone with daylight saving."""
+    rows = t.jobs().select("job_id", F.concat((F.col("k") % 60).cast("string"), F.lit(" 3 * * "), (F.col("k") % 7).cast("string")).alias("cron"), (F.col("status") != "EXCLUDED").alias("enabled"), F.col("created_at").alias("next_run"))
+    return catalog.reschedule(rows, 1711753200.0)
+
+
+@query("SELECT lang AS category, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY lang")
+def overview_categories(t: Tables):
+    """The categories of a scoped overview."""
+    docs = t.read("documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("slug"), F.col("lang").alias("category"))
+    return plan.overview(docs, t.jobs(), t.chunks(), ["src1", "src2"])["categories"]
+
+
+@query("""WITH j AS (SELECT * FROM events WHERE user_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')))
+SELECT count(DISTINCT user_id) AS total, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS completed, count(DISTINCT user_id) FILTER (event_type IN ('signup', 'view')) AS in_progress,
+count(DISTINCT user_id) FILTER (event_type = 'error') AS failed, count(DISTINCT user_id) FILTER (event_type = 'click') AS excluded, 0::BIGINT AS cancelled FROM j""")
+def overview_statuses(t: Tables):
+    """The statuses of a scoped overview."""
+    docs = t.read("documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("slug"), F.col("lang").alias("category"))
+    return plan.overview(docs, t.jobs(), t.chunks(), ["src1", "src2"])["statuses"]

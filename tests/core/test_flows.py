@@ -112,3 +112,54 @@ def test_every_twin_has_a_query(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 90
     assert entry.entry(spark).count() > 0
+
+
+def test_models_report_errors(spark):
+    from corpusforge.plans import models
+
+    df = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "gamma a@b.it")], "chunk_id long, text string")
+    found = models.model_entities(df, lambda: models.DictionaryModel({"alpha": "x", "gamma": "y"}), ["x", "y"])
+    assert sorted((r.chunk_id, r.type, r.normalized_name) for r in found.collect()) == [(1, "x", "alpha"), (3, "email", "a@b.it"), (3, "y", "gamma")]
+
+    def broken(texts, labels):
+        raise RuntimeError("no model")
+
+    assert {r.error for r in models.classify(df, lambda: broken, ["a"]).collect()} == {"RuntimeError: no model"}
+    assert {r.error for r in models.classify(df, lambda: lambda t, labels: [], ["a"]).collect()} <= {f"ValueError: 0 answers for {n} texts" for n in (1, 2, 3)}
+    best = models.classify(df, lambda: models.KeywordClassifier({"a": ["alpha"], "b": ["alpha", "beta"]}), ["a", "b"]).filter("chunk_id = 1").first()
+    assert [c.label for c in best.classes] == ["a", "b"]
+    words = spark.createDataFrame([("Hello, world (again)!",)], "t string")
+    assert words.select(models.detokenise(models.tokenise("t")).alias("x")).first().x == "Hello, world ( again)!"
+
+
+def test_stale_jobs_in_a_stream(spark, tmp_path):
+    schema = "ts timestamp, file_id string, status string"
+    rows = [("2024-01-01 00:00:10", "f", "PROCESSING"), ("2024-01-01 00:10:00", "g", "PROCESSING"), ("2024-01-01 00:20:00", "g", "COMPLETED"), ("2024-01-01 05:00:00", "h", "PENDING")]
+    spark.createDataFrame(rows, "ts string, file_id string, status string").selectExpr("CAST(ts AS timestamp) AS ts", "file_id", "status").coalesce(1).write.parquet(str(tmp_path / "e"))
+    query = stream.watch_stale(spark.readStream.schema(schema).parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName("stale").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [r.file_id for r in spark.table("stale").collect()] == ["f"]
+
+
+def test_overview(spark):
+    from corpusforge.plans.overview import overview
+
+    docs = spark.createDataFrame([("f", "s", "en"), ("g", "t", "it")], "file_id string, slug string, category string")
+    jobs = spark.createDataFrame([("f", "COMPLETED"), ("g", "FAILED")], "file_id string, status string")
+    chunks = spark.createDataFrame([("f", "h"), ("g", "h")], "file_id string, body_hash string")
+    whole, part = overview(docs, jobs, chunks), overview(docs, jobs, chunks, ["s"])
+    assert whole["statuses"].first().total == 2 and part["statuses"].first().total == 1
+    assert part["curation"].first().total_documents == 1 and whole["fingerprint"].first() != part["fingerprint"].first()
+
+
+def test_schedules(spark):
+    from corpusforge.operators import catalog
+
+    rows = [(1, "0 3 * * *", True, 100), (2, "0 3 30 2 *", True, 100), (3, "0 3 * * *", True, 2 * 10**9), (4, "0 3 * * *", False, 100)]
+    df = spark.createDataFrame(rows, "id int, cron string, enabled boolean, next_run long")
+    got = {r.id: (r.enabled, r.next_run) for r in catalog.reschedule(df, 1711753200.0).collect()}
+    assert got[1][0] and got[1][1] > 1711753200 and got[2] == (False, None) and got[3] == (True, 2 * 10**9) and got[4] == (False, 100)
+    files = spark.createDataFrame([(1, "b", "FAILED", 1), (2, "A", "COMPLETED", 3), (3, "c", "FAILED", 2)], "job_id int, filename string, status string, created_at int")
+    order = lambda m: [r.job_id for r in catalog.client_order(files, m).collect()]
+    assert (order("name"), order("recent"), order("status")) == ([2, 1, 3], [2, 3, 1], [1, 3, 2])
