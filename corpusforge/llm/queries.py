@@ -66,7 +66,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM words LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+WARC_SQL = """
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(d, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_zip": WARC_SQL,
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_decontaminate": DECONTAMINATION_SQL,
 }
