@@ -97,12 +97,13 @@ def scope(slugs: list[str] | None, column: str = "slug", mandatory: bool = False
 
 def keep_unless_empty(df: DataFrame, keep: Column, by: list[str] | None = None) -> DataFrame:
     """Rows that ``keep`` holds for; where it holds for none (of a query), all of them."""
-    from pyspark.sql import Window
-
     marked = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
     if by:
-        any_kept = F.max("_keep").over(Window.partitionBy(*by))
-        return marked.withColumn("_any", any_kept).filter(F.col("_keep") | ~F.col("_any")).drop("_keep", "_any")
+        # counts per query are combined before they meet, so no query is gathered in one task
+        found = marked.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.max("_keep").alias("_any"))
+        on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        kept = marked.join(found, on).filter(F.col("_keep") | ~F.col("_any"))
+        return kept.drop("_keep", "_any", *[f"_by_{c}" for c in by])
     found = marked.agg(F.coalesce(F.max("_keep"), F.lit(False)).alias("_any"))  # one row
     return marked.join(F.broadcast(found)).filter(F.col("_keep") | ~F.col("_any")).drop("_keep", "_any")
 

@@ -39,10 +39,19 @@ def chunk_parents(chunks: DataFrame) -> DataFrame:
     return chunks.select(chunk_id().alias("chunk_id"), F.when(F.size(h) > 0, leaf).otherwise(F.col("file_id").cast("string")).alias("parent_id"), F.lit("HAS_CHUNK").alias("type"))
 
 
-def next_edges(chunks: DataFrame, key: str = "file_id", order: str = "chunk_index", node: str = "chunk_id") -> DataFrame:
-    """(src, dst): each chunk after the one before it in its file."""
-    before = F.lag(node).over(Window.partitionBy(key).orderBy(order))
-    return chunks.withColumn("src", before).filter(F.col("src").isNotNull()).select("src", F.col(node).alias("dst"))
+def next_edges(chunks: DataFrame, key: str = "file_id", order: str = "chunk_index", node: str = "chunk_id", stretch: int = 100_000) -> DataFrame:
+    """(src, dst): each chunk after the one before it in its file.
+
+    Files are cut into stretches of positions, each with a window of its own; what
+    comes before a stretch is the last chunk of the stretch before it, of which a
+    file has few.
+    """
+    rows = chunks.select(F.col(key).alias("f"), F.col(order).alias("o"), F.col(node).alias("dst")).withColumn("s", F.floor(F.col("o") / stretch))
+    within = rows.withColumn("src", F.lag("dst").over(Window.partitionBy("f", "s").orderBy("o")))
+    ends = rows.groupBy("f", "s").agg(F.max_by("dst", "o").alias("last"))
+    before = ends.select(F.col("f").alias("_f"), F.col("s").alias("_s"), F.lag("last").over(Window.partitionBy("f").orderBy("s")).alias("_last")).filter(F.col("_last").isNotNull())
+    joined = within.join(before, (F.col("f") == F.col("_f")) & (F.col("s") == F.col("_s")) & F.col("src").isNull(), "left")
+    return joined.select(F.coalesce("src", "_last").alias("src"), "dst").filter(F.col("src").isNotNull())
 
 
 def merge_mentions(mentions: DataFrame) -> DataFrame:
@@ -126,9 +135,13 @@ def prune_stats(entities: DataFrame, mentions: DataFrame, relations: DataFrame,
 
 
 def conflicts(relations: DataFrame, top: int = 50, samples: int = 8) -> DataFrame:
-    """Heads with two or more tails of one relation type, most first."""
-    found = relations.groupBy("head_id", "rel_type").agg(F.count_distinct("tail_id").alias("n"), F.sort_array(F.collect_set("tail_id")).alias("t")).filter("n >= 2")
-    return found.orderBy(F.desc("n"), "head_id", "rel_type").limit(top).select("head_id", "rel_type", "n", F.slice("t", 1, samples).alias("tails"))
+    """Heads with two or more tails of one relation type, most first, with the least tails."""
+    pairs = relations.select("head_id", "rel_type", "tail_id").distinct()
+    worst = pairs.groupBy("head_id", "rel_type").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "head_id", "rel_type").limit(top)
+    nth = F.row_number().over(Window.partitionBy("head_id", "rel_type").orderBy("tail_id"))
+    some = pairs.join(F.broadcast(worst), ["head_id", "rel_type"]).withColumn("_r", nth).filter(F.col("_r") <= samples)  # top rows
+    out = some.groupBy("head_id", "rel_type").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("tail_id")).alias("tails"))
+    return out.orderBy(F.desc("n"), "head_id", "rel_type")
 
 
 def cross_document_entities(mentions: DataFrame, files: DataFrame) -> DataFrame:

@@ -164,13 +164,15 @@ def read_document(chunks: DataFrame, max_chars: int, start: int | None = None, e
     if end is not None:
         inside = inside & (F.col("chunk_index") < end)
     w = Window.partitionBy("file_id").orderBy("chunk_index")
-    size = F.length("text").cast("long")
-    upto = F.sum(size + 2).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 2
-    rows = chunks.filter(inside).withColumn("_n", F.row_number().over(w)).withColumn("_upto", upto)
-    rows = rows.withColumn("_all", F.count("*").over(Window.partitionBy("file_id")))
-    kept = rows.filter((F.col("_n") == 1) | (F.col("_upto") <= max_chars))
+    rows = chunks.filter(inside)
+    totals = rows.groupBy(F.col("file_id").alias("_file")).agg(F.count("*").alias("_all"))
+    # a chunk takes two at least, so each task can cut a file before it is gathered
+    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_chars // 2 + 2)
+    upto = F.sum(F.length("text").cast("long") + 2).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 2
+    kept = first.withColumn("_upto", upto).filter((F.col("_n") == 1) | (F.col("_upto") <= max_chars))
     last = F.max("_n").over(Window.partitionBy("file_id"))
-    return kept.withColumn("has_more", last < F.col("_all")).withColumn("text", F.substring("text", 1, max_chars)).drop("_n", "_upto", "_all")
+    out = kept.withColumn("_last", last).join(totals, F.col("file_id").eqNullSafe(F.col("_file")))
+    return out.withColumn("has_more", F.col("_last") < F.col("_all")).withColumn("text", F.substring("text", 1, max_chars)).drop("_n", "_upto", "_all", "_last", "_file")
 
 
 def recommend(points: DataFrame, seeds: DataFrame, per_seed: int = 2) -> DataFrame:

@@ -51,16 +51,30 @@ def card_lines(df: DataFrame, columns: list[str] | None = None, decimal: str = "
     return stats.join(tops, "position", "left").select("position", F.concat(F.lit("- "), F.col("column"), F.when(F.col("numeric"), num).otherwise(cat)).alias("line"))
 
 
+def number_rows(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Row numbers from 1 by a number, over buckets of its ranges and sums of their sizes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.select(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] or [])) if n > 1 else []
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    rows = df.withColumn("_b", bucket)
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_c"))  # a row a bucket
+    before = sizes.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy(order))
+    return rows.join(F.broadcast(before), "_b").withColumn(name, nth + F.col("_before")).drop("_b", "_before")
+
+
 def row_batches(df: DataFrame, order: str, columns: list[str], rows_per_chunk: int = ROWS_PER_CHUNK, max_chunks: int = MAX_CHUNKS, label: str = "table") -> DataFrame:
     """(chunk_index, heading, text): verbalised rows in batches, the first ``max_chunks``.
 
-    The cap is the operator's own; ``order`` ranks rows, and only those under the
-    cap are numbered. ``max_chunks`` below zero: all rows, numbered by bucket.
+    The cap is the operator's own; ``order``, a number, ranks rows. Below zero it
+    takes all rows, which are numbered by bucket.
     """
     rows = df.select(F.col(order).alias("_o"), text.verbalize(columns).alias("line"))
     if max_chunks >= 0:
         rows = rows.orderBy("_o").limit(max_chunks * rows_per_chunk)  # at most that many in the window
-    numbered = rows.withColumn("rn", F.row_number().over(Window.orderBy("_o")))
+        numbered = rows.withColumn("rn", F.row_number().over(Window.orderBy("_o")))
+    else:
+        numbered = number_rows(rows, "_o", "rn")
     batch = numbered.withColumn("b", F.floor((F.col("rn") - 1) / rows_per_chunk).cast("long"))
     out = batch.groupBy("b").agg(
         F.min("rn").alias("first"),

@@ -199,6 +199,9 @@ def test_table(spark):
     assert len(chunks) == 52 and chunks[1].heading == "t — righe 1–15" and "750 di 800" in chunks[-1].text
     assert "(num): min=1.234,50" in chunks[0].text and "blu (400)" in chunks[0].text
     assert tabular.table_chunks(df.limit(0), "n", ["n"], "t").count() == 1
+    whole = tabular.row_batches(df, "n", ["n"], max_chunks=-1, label="t").orderBy("chunk_index").collect()
+    assert len(whole) == 54 and whole[-1].heading == "t — righe 796–800"
+    assert [r.rn for r in tabular.number_rows(df, "n", "rn").orderBy("n").collect()] == list(range(1, 801))
 
 
 def test_evaluation(spark):
