@@ -17,6 +17,9 @@ from corpusforge.session import ship
 
 #: Text that one vectorised step works on; it bounds a task's working memory.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch where ``spark.sql.execution.arrow.maxRecordsPerBatch`` is unset.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -75,9 +78,23 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with this package on the workers.
+
+    Rows hold whole texts, so a batch has ``BATCH_ROWS`` of them unless the
+    session says otherwise; a task gives its buffers back when it is done.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -110,7 +110,7 @@ class Model:
         if found is None:
             whole = self.prefixes.get(word + "$")
             found = whole if whole is not None else next((self.prefixes[word[:n]] for n in reversed(PREFIX_SIZES) if n <= len(word) and word[:n] in self.prefixes), 0.0)
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             self.known[word] = found
         return found
