@@ -17,6 +17,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(c) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(col(c), SPACE + "+", " "))
@@ -120,20 +125,27 @@ def quality_signals(c) -> Column:
     text = F.coalesce(col(c), F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD}+)"), 1)
-    alpha_words = F.filter(words, lambda w: w.rlike(r"\p{L}"))
-    wordlike = F.filter(alpha_words, lambda w: F.length(w).between(2, 30) & w.rlike(f"[{VOWELS}]"))
-    chars, n = F.length(text).cast("long"), F.size(words).cast("long")
-    alpha = count(r"\p{L}")
-    return F.struct(
-        chars.alias("n_chars"),
-        n.alias("n_words"),
-        F.size(alpha_words).cast("long").alias("n_alpha_words"),
-        ratio(alpha, chars).alias("alpha_ratio"),
-        ratio(count(f"[{VOWELS}]"), alpha).alias("vowel_ratio_in_alpha"),
-        ratio(count(r"[^\p{L}\p{N}\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]"), chars).alias("symbol_ratio"),
-        ratio(F.size(wordlike), F.size(alpha_words)).alias("wordlike_ratio"),
-        ratio(F.size(F.array_distinct(F.transform(words, F.lower))), n).alias("unique_ratio"),
+    vowel = f"[{VOWELS}]"
+
+    def of_words(words: Column) -> Column:
+        alpha_words = F.filter(words, lambda w: w.rlike(r"\p{L}"))
+        counts = let(alpha_words, lambda a: F.struct(F.size(a).alias("alpha"), F.size(F.filter(a, lambda w: F.length(w).between(2, 30) & w.rlike(vowel))).alias("wordlike")))
+        return F.struct(F.size(words).cast("long").alias("n"), counts.alias("c"), F.size(F.array_distinct(F.transform(words, F.lower))).alias("distinct"))
+
+    words = let(F.regexp_extract_all(text, F.lit(f"({WORD}+)"), 1), of_words)
+    letters = F.struct(F.length(text).cast("long").alias("chars"), count(r"\p{L}").alias("alpha"), count(vowel).alias("vowels"), count(r"[^\p{L}\p{N}\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]").alias("symbols"))
+    return let(
+        F.struct(words.alias("w"), letters.alias("l")),
+        lambda s: F.struct(
+            s["l"]["chars"].alias("n_chars"),
+            s["w"]["n"].alias("n_words"),
+            s["w"]["c"]["alpha"].cast("long").alias("n_alpha_words"),
+            ratio(s["l"]["alpha"], s["l"]["chars"]).alias("alpha_ratio"),
+            ratio(s["l"]["vowels"], s["l"]["alpha"]).alias("vowel_ratio_in_alpha"),
+            ratio(s["l"]["symbols"], s["l"]["chars"]).alias("symbol_ratio"),
+            ratio(s["w"]["c"]["wordlike"], s["w"]["c"]["alpha"]).alias("wordlike_ratio"),
+            ratio(s["w"]["distinct"], s["w"]["n"]).alias("unique_ratio"),
+        ),
     )
 
 
@@ -150,15 +162,17 @@ PENALTIES = {
 def quality(c, signals=None, min_words: int = 4) -> Column:
     """(quality_score, quality_flags): 1 less a penalty for each sign of junk."""
     text = F.coalesce(col(c), F.lit(""))
-    s = quality_signals(text) if signals is None else col(signals)
-    held = {name: rule(s, min_words) for name, (_, rule) in PENALTIES.items()}
-    flags = F.filter(F.array(*[F.when(h, F.lit(name)) for name, h in held.items()]), lambda f: f.isNotNull())
-    penalty = sum((F.when(held[name], F.lit(p)).otherwise(F.lit(0.0)) for name, (p, _) in PENALTIES.items()), F.lit(0.0))
     blank = strip(text) == ""
-    return F.struct(
-        F.when(blank, F.lit(0.0)).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - penalty)), 3)).alias("quality_score"),
-        F.when(blank, F.array(F.lit("empty"))).otherwise(flags).alias("quality_flags"),
-    )
+
+    def judged(s: Column) -> Column:
+        held = {name: rule(s, min_words) for name, (_, rule) in PENALTIES.items()}
+        flags = F.filter(F.array(*[F.when(h, F.lit(name)) for name, h in held.items()]), lambda f: f.isNotNull())
+        penalty = sum((F.when(held[name], F.lit(p)).otherwise(F.lit(0.0)) for name, (p, _) in PENALTIES.items()), F.lit(0.0))
+        score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - penalty)), 3)
+        return F.struct(score.alias("quality_score"), flags.alias("quality_flags"))
+
+    empty = F.struct(F.lit(0.0).alias("quality_score"), F.array(F.lit("empty")).alias("quality_flags"))
+    return F.when(blank, empty).otherwise(let(quality_signals(text) if signals is None else col(signals), judged))
 
 
 # --- cells, names, numbers -------------------------------------------------
@@ -236,7 +250,10 @@ def truthy(c) -> Column:
 
 def windows(c, size: int = 300, overlap: int = 30) -> Column:
     """Overlapping windows of words; a text within one window is itself."""
-    words = F.filter(F.split(collapse(c), " "), lambda w: w != "")
-    n = F.size(words)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < n))
-    return F.when(n <= size, F.array(col(c))).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < n))
+        return F.when(n <= size, F.array(col(c))).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")))
+
+    return let(F.filter(F.split(collapse(c), " "), lambda w: w != ""), cut)

@@ -81,11 +81,13 @@ def attach(new: DataFrame, jobs: DataFrame) -> DataFrame:
     """Each new file against jobs of its name and directory: duplicate of the same
     content, and the files of other content that it replaces."""
     old = jobs.select(F.col("filename").alias("_f"), F.col("slug").alias("_s"), F.col("file_id").alias("old_id"), F.col("content_hash").alias("old_hash"), F.col("status").alias("old_status"))
-    same = (F.col("old_hash") == F.col("content_hash")) & (F.col("old_status") != "FAILED")
-    joined = new.join(old, (F.col("filename") == F.col("_f")) & F.col("slug").eqNullSafe(F.col("_s")), "left")
+    # one row for each content of a name before the join, however many jobs it had
+    contents = old.groupBy("_f", "_s", "old_hash").agg(F.min(F.when(F.col("old_status") != "FAILED", F.col("old_id"))).alias("live"), F.collect_set("old_id").alias("ids"))
+    same = F.col("old_hash") == F.col("content_hash")
+    joined = new.join(contents, (F.col("filename") == F.col("_f")) & F.col("slug").eqNullSafe(F.col("_s")), "left")
     return joined.groupBy(*new.columns).agg(
-        F.min(F.when(same, F.col("old_id"))).alias("duplicate_of"),
-        F.sort_array(F.collect_set(F.when(F.col("old_hash") != F.col("content_hash"), F.col("old_id")))).alias("supersedes_file_ids"),
+        F.min(F.when(same, F.col("live"))).alias("duplicate_of"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("old_hash") != F.col("content_hash"), F.col("ids")))))).alias("supersedes_file_ids"),
     )
 
 

@@ -18,15 +18,16 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def column_stats(df: DataFrame, columns: list[str] | None = None, decimal: str = ".", digits: int = 2) -> DataFrame:
     """Per column: rows, numbers among them, whether it is numeric, and their min, max, mean and sum."""
-    x = text.parse_number("value", decimal)
-    out = _long(df, columns or df.columns).withColumn("x", x).groupBy("position", "column").agg(
-        F.count("*").alias("n"),
-        F.count("x").alias("valid"),
-        F.round(F.min("x"), digits).alias("min"),
-        F.round(F.max("x"), digits).alias("max"),
-        F.round(F.avg("x"), digits).alias("mean"),
-        F.round(F.sum("x"), digits).alias("sum"),
-    )
+    kinds = dict(df.dtypes)
+    columns = columns or df.columns
+
+    def stats(i: int, c: str):
+        number = kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")
+        x = F.col(f"`{c}`").cast("double") if number else text.parse_number(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), decimal)
+        each = {"n": F.count(F.lit(1)), "valid": F.count(x)} | {k: F.round(f(x), digits) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("sum", F.sum))}
+        return F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), *[v.alias(k) for k, v in each.items()])
+
+    out = df.agg(F.array(*[stats(i, c) for i, c in enumerate(columns)]).alias("s")).select(F.explode("s").alias("s")).select("s.*")
     return out.withColumn("numeric", (F.col("n") > 0) & (F.col("valid") >= F.greatest(F.lit(1), F.floor(NUMERIC_SHARE * F.col("n")))))
 
 
