@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpusforge.session import ship
 
 #: Text that one vectorised step works on; it bounds a task's working memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of an Arrow batch where ``spark.sql.execution.arrow.maxRecordsPerBatch`` is unset.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -77,6 +78,15 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Hand memory that this worker no longer uses to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package on the workers.
 
@@ -92,7 +102,7 @@ def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
         try:
             yield from fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
