@@ -126,25 +126,29 @@ def quality_signals(c) -> Column:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     vowel = f"[{VOWELS}]"
-
-    def of_words(words: Column) -> Column:
-        alpha_words = F.filter(words, lambda w: w.rlike(r"\p{L}"))
-        counts = let(alpha_words, lambda a: F.struct(F.size(a).alias("alpha"), F.size(F.filter(a, lambda w: F.length(w).between(2, 30) & w.rlike(vowel))).alias("wordlike")))
-        return F.struct(F.size(words).cast("long").alias("n"), counts.alias("c"), F.size(F.array_distinct(F.transform(words, F.lower))).alias("distinct"))
-
-    words = let(F.regexp_extract_all(text, F.lit(f"({WORD}+)"), 1), of_words)
-    letters = F.struct(F.length(text).cast("long").alias("chars"), count(r"\p{L}").alias("alpha"), count(vowel).alias("vowels"), count(r"[^\p{L}\p{N}\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]").alias("symbols"))
+    bare = WORD[1:-1]
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), 1)
+    parts = F.struct(
+        F.length(text).cast("long").alias("chars"),
+        count(r"\p{L}").alias("alpha"),
+        (F.length(text) - F.length(F.translate(text, VOWELS, ""))).cast("long").alias("vowels"),
+        count(r"[^\p{L}\p{N}\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]").alias("symbols"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).alias("distinct"))).alias("words"),
+        # words with a letter; and those of 2 to 30 characters with a vowel
+        count(rf"[\p{{N}}_]*\p{{L}}{WORD}*").alias("alpha_words"),
+        count(rf"(?<![{bare}])(?={WORD}{{2,30}}(?![{bare}])){WORD}*?{vowel}{WORD}*").alias("wordlike"),
+    )
     return let(
-        F.struct(words.alias("w"), letters.alias("l")),
+        parts,
         lambda s: F.struct(
-            s["l"]["chars"].alias("n_chars"),
-            s["w"]["n"].alias("n_words"),
-            s["w"]["c"]["alpha"].cast("long").alias("n_alpha_words"),
-            ratio(s["l"]["alpha"], s["l"]["chars"]).alias("alpha_ratio"),
-            ratio(s["l"]["vowels"], s["l"]["alpha"]).alias("vowel_ratio_in_alpha"),
-            ratio(s["l"]["symbols"], s["l"]["chars"]).alias("symbol_ratio"),
-            ratio(s["w"]["c"]["wordlike"], s["w"]["c"]["alpha"]).alias("wordlike_ratio"),
-            ratio(s["w"]["distinct"], s["w"]["n"]).alias("unique_ratio"),
+            s["chars"].alias("n_chars"),
+            s["words"]["n"].alias("n_words"),
+            s["alpha_words"].alias("n_alpha_words"),
+            ratio(s["alpha"], s["chars"]).alias("alpha_ratio"),
+            ratio(s["vowels"], s["alpha"]).alias("vowel_ratio_in_alpha"),
+            ratio(s["symbols"], s["chars"]).alias("symbol_ratio"),
+            ratio(s["wordlike"], s["alpha_words"]).alias("wordlike_ratio"),
+            ratio(s["words"]["distinct"], s["words"]["n"]).alias("unique_ratio"),
         ),
     )
 
