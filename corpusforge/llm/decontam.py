@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,16 +51,17 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return common.map_arrow(rows, run, "item string, window binary").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def blocks(table: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[bytes, list[str]]]]:
-    """The windows, in lists whose text is within the limit."""
+def block_count(table: DataFrame, limit: int = BLOCK_BYTES) -> int:
+    """How many blocks of at most about ``limit`` bytes the windows take."""
     size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i))
-    table = table.persist(StorageLevel.DISK_ONLY)
     total = table.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
-    parts = 1 if total <= limit else 2 * (total // limit + 1)
-    for part in range(parts):
-        some = table if parts == 1 else table.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
-        yield [(bytes(r["window"]), r["items"]) for r in some.collect()]
-    table.unpersist()
+    return 1 if total <= limit else 2 * (total // limit + 1)
+
+
+def block(table: DataFrame, part: int, parts: int) -> list[tuple[bytes, list[str]]]:
+    """One block of the windows, dealt by hash."""
+    some = table if parts == 1 else table.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
+    return [(bytes(r["window"]), r["items"]) for r in some.collect()]
 
 
 _BUILT: dict[int, object] = {}
@@ -115,9 +115,9 @@ def scan_text(automaton, data: bytes) -> dict:
     }
 
 
-def _scan(df: DataFrame, text: str, keep: list[str] | None, block: list) -> DataFrame:
+def _scan(df: DataFrame, text: str, keep: list[str] | None, held: list) -> DataFrame:
     """``keep`` and ``hits`` of one block of windows."""
-    shared = df.sparkSession.sparkContext.broadcast(block)  # within block_bytes
+    shared = df.sparkSession.sparkContext.broadcast(held)  # within block_bytes
 
     def make():
         automaton = _automaton(shared)
@@ -141,16 +141,17 @@ def _spans_union(spans):
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` (all columns by default) and ``hits``: words, spans, items."""
-    found = list(blocks(windows(benchmark, size), block_bytes))
-    if len(found) == 1:
-        return _scan(df, text, keep, found[0])
+    table = common.materialise(windows(benchmark, size), "windows")
+    parts = block_count(table, block_bytes)
+    if parts == 1:
+        return _scan(df, text, keep, block(table, 0, 1))
     # what a text holds depends on it alone: passes meet at its hash
     hashed = F.sha2(common.text_or_empty(text), 256)
     texts = df.select(hashed.alias("_blob"), F.col(text).alias("_value"))
-    passes = [_scan(texts, "_value", ["_blob"], b).select("_blob", "hits.*") for b in found]
-    union = passes[0]
-    for p in passes[1:]:
-        union = union.unionByName(p)
+    union = None
+    for part in range(parts):  # the driver holds one block at a time
+        found = _scan(texts, "_value", ["_blob"], block(table, part, parts)).select("_blob", "hits.*")
+        union = found if union is None else union.unionByName(found)
     kept = df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)])
     name = common.free_name(kept, "hits")
     merged = union.groupBy("_blob").agg(

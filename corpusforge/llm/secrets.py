@@ -83,7 +83,7 @@ def _scan_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class BlobLedger:
-    """The table of scanned blobs at a path that all executors share."""
+    """The table of scanned blobs at a path that all executors share; one run writes it at a time."""
 
     def __init__(self, spark, path: str, create: bool = True):
         self.spark, self.path = spark, path
