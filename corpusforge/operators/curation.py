@@ -110,9 +110,56 @@ def similar_pairs(points: DataFrame, threshold: float, digits: int = 6, block_ro
     return left.groupBy("x", "y").applyInPandas(multiply, f"id {kind}, other {kind}, score double")
 
 
+def banded_pairs(points: DataFrame, threshold: float, digits: int = 6, miss: float = 1e-6, seed: int = 17) -> DataFrame:
+    """The same as ``similar_pairs`` for high thresholds, without comparing all blocks.
+
+    Signs against random planes are cut into bands, as many as leave a pair at the
+    threshold out with a chance of ``miss``; pairs that share a band are compared
+    exactly. Equal vectors are one class: its copies are paired with its least id
+    alone.
+    """
+    from math import acos, ceil, log, pi
+
+    import numpy as np
+    import pandas as pd
+
+    agree = 1 - acos(min(threshold, 1 - 1e-9)) / pi
+    bits = min(48, max(4, int(log(0.25) / log(agree))))
+    bands = ceil(log(miss) / log(1 - agree**bits))
+    kind = dict(points.dtypes)["id"]
+    rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    classes = rows.groupBy("vector").agg(F.min("id").alias("id"))
+
+    def sign(frames):
+        planes = None
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            v = np.stack(pdf["vector"])
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], bits * bands))
+            signs = ((v @ planes) > 0).reshape(len(v), bands, bits)
+            keys = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+            yield pd.DataFrame({"id": pdf["id"], "keys": list(keys)})
+
+    placed = classes.select("id", "vector").mapInPandas(sign, f"id {kind}, keys array<bigint>").select("id", F.posexplode("keys").alias("band", "key"))
+    x, y = placed.alias("x"), placed.alias("y")
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    va, vb = classes.select(F.col("id").alias("a"), F.col("vector").alias("va")), classes.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
+    scored = near.join(va, "a").join(vb, "b").select("a", "b", F.round(vectors.dot("va", "vb"), digits).alias("score")).filter(F.col("score") >= threshold)
+    first = rows.join(classes.withColumnRenamed("id", "a"), "vector")
+    copies = first.filter("id <> a").select("a", F.col("id").alias("b"), F.round(vectors.dot("vector", "vector"), digits).alias("score"))
+    one = scored.union(copies)
+    return one.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(one.select("b", "a", "score"))
+
+
+#: From this likeness on, bands find pairs with few planes; below it blocks are compared.
+BANDED = 0.9
+
+
 def near_duplicate_edges(points: DataFrame, weights: DataFrame, dense: float = 0.96, k: int = 20) -> DataFrame:
     """Pairs within each other's best k by vector that are also among the best k by shared terms."""
-    by_vector = neighbour_edges(similar_pairs(points, dense), k)
+    by_vector = neighbour_edges((banded_pairs if dense >= BANDED else similar_pairs)(points, dense), k)
     # only ids that have a dense neighbour can keep an edge
     ids = by_vector.select(F.col("a").alias("id")).union(by_vector.select("b")).distinct()
     some = weights.join(ids, "id", "left_semi")

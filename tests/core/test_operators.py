@@ -110,6 +110,24 @@ def test_near_duplicates_need_both_kinds_of_likeness(spark):
     assert sorted(map(tuple, blocked.select("id", "other").collect())) == sorted(map(tuple, curation.similar_pairs(points, 0.9).select("id", "other").collect()))
 
 
+def test_bands_find_what_blocks_find(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    v = r.standard_normal((300, 16))
+    near = v[:60] + 0.1 * r.standard_normal((60, 16))
+    every = np.concatenate([v, near, v[:5], v[:5]])
+    every /= np.linalg.norm(every, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "id int, vector array<double>")
+    exact = {tuple(x) for x in curation.similar_pairs(df, 0.96).select("id", "other").collect()}
+    found = {tuple(x) for x in curation.banded_pairs(df, 0.96).select("id", "other").collect()}
+    assert found <= exact and len(exact) > 60
+    copies = set(range(360, 370))
+    assert {p for p in exact if not copies & set(p)} == {p for p in found if not copies & set(p)}
+    same = lambda pairs: {r.id: r.component for r in curation.connected_components(spark.createDataFrame(sorted(pairs), "a int, b int")).collect()}
+    assert same(found) == same(exact)
+
+
 def test_outliers_and_clusters(spark):
     points = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(9)] + [(9, [-1.0, 0.0])], "id int, vector array<double>")
     assert [r.id for r in curation.semantic_outliers(points).collect()] == [9]
