@@ -4,9 +4,11 @@ Two kinds of places always start a pre-token of the byte-level pattern, whatever
 surrounds them: a single space or line end between two characters that are no
 white space, as every alternative that holds white space begins with it and none
 can reach it from the left; and an ASCII mark after an ASCII letter, as no
-alternative goes on from a letter to a mark. A text cut there gives the ids of
-the whole text, so each distinct unit is encoded by the library once per worker,
-and its ids are gathered for every place where the unit stands.
+alternative goes on from a letter to a mark. Neither is taken within a string that
+is an added token of the model, as the library looks for those first. A text cut
+there gives the ids of the whole text, so each distinct unit is encoded by the
+library once per worker, and its ids are gathered for every place where the unit
+stands.
 """
 
 from __future__ import annotations
@@ -46,12 +48,27 @@ def rare_space(raw: np.ndarray) -> np.ndarray:
     return at[hit]
 
 
-def unit_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where units begin in joined texts that begin at ``starts``."""
+def _spaced(data: bytes) -> bool:
+    return bool(_SPACE[np.frombuffer(data, np.uint8)].any())
+
+
+def places(data: bytes, part: bytes) -> list[int]:
+    """Where ``part`` begins in ``data``; places may overlap."""
+    out, at = [], data.find(part)
+    while at >= 0:
+        out.append(at)
+        at = data.find(part, at + 1)
+    return out
+
+
+def unit_starts(raw: np.ndarray, starts: np.ndarray, whole: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Where units begin in joined texts that begin at ``starts``, but for the insides of ``whole`` (start, end)."""
     begin = np.zeros(len(raw), bool)
     space = _SPACE[raw]
     begin[1:-1] = _BREAK[raw[1:-1]] & ~space[:-2] & ~space[2:]
     begin[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
+    for a, b in whole:
+        begin[a + 1 : b] = False
     begin[starts[starts < len(raw)]] = True
     return np.flatnonzero(begin)
 
@@ -154,8 +171,9 @@ class UnitEncoder:
     Units are told apart by 64-bit hashes of their bytes. New ones that begin with
     a space or line end and hold no other white space are encoded together: each
     one's ids begin at a token that begins with it, as no other of its tokens does.
-    Texts with white space outside ASCII are encoded as they are. At most about
-    ``most`` units are kept; then the encoder starts anew.
+    Texts with white space outside ASCII are encoded as they are, and so are those
+    with an added token that depends on what surrounds it. At most about ``most``
+    units are kept; then the encoder starts anew.
     """
 
     def __init__(self, model, most: int = 500_000):
@@ -165,6 +183,11 @@ class UnitEncoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         for written, i in vocabulary.items():
             self.begins[i] = written[0] in (chars[32], chars[10])
+        self.added, self.bound = [], []
+        for token in model.get_added_tokens_decoder().values():
+            content = token.content.encode()
+            free = not (token.lstrip or token.rstrip or token.single_word or _spaced(content))
+            (self.added if free else self.bound).append(content)
         self._clear()
 
     def _clear(self) -> None:
@@ -209,7 +232,8 @@ class UnitEncoder:
         sizes = np.asarray([len(t) for t in texts], np.int64)
         data = b"".join(texts)
         raw, offsets = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
-        odd = np.unique(np.searchsorted(offsets, rare_space(raw), side="right") - 1)
+        bound = np.asarray([p for token in self.bound for p in places(data, token)], np.int64)
+        odd = np.unique(np.searchsorted(offsets, np.concatenate([rare_space(raw), bound]), side="right") - 1)
         if len(odd):
             whole = odd.tolist()
             for i, ids in zip(whole, self._encode([texts[i].decode() for i in whole]), strict=True):
@@ -220,7 +244,8 @@ class UnitEncoder:
             return out
         if not data:
             return out
-        starts = unit_starts(raw, offsets)
+        added = [(p, p + len(token)) for token in self.added for p in places(data, token)]
+        starts = unit_starts(raw, offsets, added)
         ends = np.append(starts[1:], len(raw))
         hashes = common.span_hashes(raw, starts, ends)
         rows = self.table.find(hashes)
@@ -232,10 +257,9 @@ class UnitEncoder:
             at = np.flatnonzero(rows < 0)[at]
             spaces = np.concatenate([[0], np.cumsum(_SPACE[raw])])
             joined = _BREAK[raw[starts[at]]] & (spaces[ends[at]] - spaces[starts[at]] == 1) & (ends[at] - starts[at] > 1)
-            place = data.find(b"<|")
-            while place >= 0:  # may be a special string, which has no leading space
-                joined[at == np.searchsorted(starts, place, side="right") - 1] = False
-                place = data.find(b"<|", place + 1)
+            # an added token has no leading space; units must not form one together
+            joined &= not any(map(_spaced, self.bound))
+            joined &= ~np.isin(at, np.searchsorted(starts, np.asarray([p for p, _ in added], np.int64), side="right") - 1)
             self._learn(data, new, starts[at], ends[at], joined)
             rows = self.table.find(hashes)
         count = self.size[rows].astype(np.int64)

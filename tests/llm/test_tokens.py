@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from corpusforge.llm import bpe, common, tokenbin, tokencount, tokens
 from tests.llm import fixtures
@@ -41,6 +41,41 @@ def test_rank_file_ids(tik):
         assert encoder.encode([t.encode() for t in part]) == [packed(tik.encode_ordinary(t)) for t in part]
 
 
+SPECIAL = ["<|endoftext|>", "see <|endoftext|> here", "a<|endoftext|>b c", "<|endoftext|><|endoftext|> x-y", "x  <|endoftext|>\n's", "<|endoftext|", "é<|endoftext|>\u00a0z", "<|endof", "text|> q"]
+
+
+def test_added_tokens_keep_their_ids():
+    plain = Tokenizer.from_file(JSON)
+    encoder = tokens.UnitEncoder(tokens.load_json(JSON), most=500)
+    some = [*SPECIAL, *texts(2000, 60, seed=2), *SPECIAL]
+    for at in range(0, len(some), 300):
+        part = some[at : at + 300]
+        assert encoder.encode([t.encode() for t in part]) == [packed(plain.encode(t, add_special_tokens=False).ids) for t in part]
+    assert encoder.encode([b"see <|endoftext|> here"]) == [packed([3826, 220, 50256, 994])]
+
+
+def test_added_tokens_that_depend_on_their_surroundings():
+    model = Tokenizer.from_file(JSON)
+    model.add_special_tokens([AddedToken("[SEP]", lstrip=True, rstrip=True), AddedToken("stop", single_word=True), AddedToken("two words")])
+    encoder = tokens.UnitEncoder(model)
+    some = ["a [SEP] b c", "x\n[SEP]y", "nonstop stop it-stop.", "say two words now", "say two", "more words", *SPECIAL]
+    assert encoder.encode([t.encode() for t in some]) == [packed(model.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+def test_op8_and_op10_added_tokens(spark, tmp_path):
+    data = [*enumerate(SPECIAL), (50, "long word " * 4000 + "see <|endoftext|> here " * 3), (51, "after")]
+    path = fixtures.save(spark, tmp_path, documents=(data, "doc_id long, text string"))
+    plain = Tokenizer.from_file(JSON)
+    want, counts, start = [], [], 0
+    for i, t in data:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        counts.append((i, len(t.encode()), len(ids), len(ids) > 512))
+        want.append((i, start, len(ids) + 1, zlib.crc32(packed([*ids, 0]))))
+        start += len(ids) + 1
+    assert sorted(map(tuple, tokencount.op10_token_counts(spark, path).collect())) == counts
+    assert sorted(map(tuple, tokenbin.op8_token_binary(spark, path).collect())) == want
+
+
 def test_offsets_cover_split_characters(tik):
     table = bpe.token_bytes(RANKS)
     for t in ["plain words", "é語🙂 naïve 𝒳𝒴", "", "🙂🙂"]:
