@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm import bpe, common, decontam, neardup, secrets, toxicity
 
+#: Likeness of five-word shingles from which documents are near-duplicates.
+NEAR = (80, 100)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; learned from the labels of these documents."""
@@ -25,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate group."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The document of the least id of each near-duplicate group, at a likeness of 0.8 or more."""
+    kept = neardup.near_duplicates(docs, threshold=NEAR).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 

@@ -3,12 +3,13 @@
 Sketch: in round i every shingle is hashed into a bin of 125, and a bin that was
 empty so far keeps its least hash; after 125 such rounds, round 125 + j sends all
 shingles to bin j, so every bin fills. Large sets need one or two rounds. 25 bands
-of 5 bins find a pair of likeness 0.85 but for a chance of 4e-7.
+of 5 bins find a pair of likeness 0.85 but for a chance of 4e-7, and one of 0.80
+but for 5e-5.
 
 Texts of equal words are one class, so copies never make pairs. Nor does a bucket
 of a band form all its pairs: its classes are compared with a hub, the class with
-the smallest share of shingles that no other candidate has. Those within 0.7 of
-the hub are settled by it, the rest of the bucket gets another hub, and links grow
+the smallest share of shingles that no other candidate has. Those near the hub
+(0.7 for a threshold of 0.85) are settled by it, the rest of the bucket gets another hub, and links grow
 to components. What is left are pairs of different components. Of each, one is
 settled by a hub h that the other is within 0.55 of, as 1 - likeness is a metric.
 If x and y hold i and j shingles of h and share e others, they share at most
@@ -35,9 +36,8 @@ from corpusforge.llm import common
 
 COORDINATES, ROWS = 125, 5
 THRESHOLD = (85, 100)
-#: Likeness to a hub that settles a class, and that makes it one of the hub's members:
-#: 1 - MEMBER >= (1 - SETTLED) + (1 - 0.85).
-SETTLED, MEMBER = (70, 100), (55, 100)
+#: Likeness to a hub that makes a class one of the hub's members; ``settling`` follows from it.
+MEMBER = (55, 100)
 #: Hubs of one bucket before its last pairs are formed.
 ROUNDS = 3
 
@@ -174,11 +174,16 @@ def _remaining(settled: DataFrame, members: DataFrame, open_: DataFrame, nodes:
     return common.materialise(within.union(beyond).union(alone).distinct(), "pairs")
 
 
+def settling(threshold: tuple[int, int]) -> tuple[int, int]:
+    """Likeness to a hub that settles a class: 1 - MEMBER = (1 - settling) + (1 - threshold)."""
+    num, den = threshold
+    return den * (MEMBER[0] + MEMBER[1]) - MEMBER[1] * num, MEMBER[1] * den
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     num, den = threshold
-    if (1 - MEMBER[0] / MEMBER[1]) + 1e-9 < (1 - SETTLED[0] / SETTLED[1]) + (1 - num / den):
-        raise ValueError("members of a hub must reach beyond what it settles by the threshold's distance")
+    settled = settling(threshold)
     texts = df.select(F.col(key).cast("long").alias("doc_id"), common.text_or_empty(text).cast("binary").alias("text"))
     rows = common.materialise(common.map_arrow(texts, _classes, "doc_id long, class binary, n long, bands array<long>"), "rows")
     classes = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -206,7 +211,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         pairs = common.materialise(faced.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
         sim = common.materialise(_shared(pairs, sets).distinct(), "compared")
         compared.append(sim)
-        near = sim.filter(_reaches(F.col("i"), F.col("n"), F.col("m"), SETTLED)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+        near = sim.filter(_reaches(F.col("i"), F.col("n"), F.col("m"), settled)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
         open_ = common.materialise(faced.filter("id != hub").join(near, ["id", "hub"], "left_anti").drop("hub"), "open")
 
     each = compared[0]
@@ -217,7 +222,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     edges = each.filter(alike(threshold)).select("a", "b")
     labels = components(nodes, edges)
     of_hub = lambda q: each.filter(alike(q)).select(F.col("a").alias("id"), F.col("b").alias("hub"), "i")
-    rest = _remaining(of_hub(SETTLED), of_hub(MEMBER), open_, nodes, labels, sets, threshold)
+    rest = _remaining(of_hub(settled), of_hub(MEMBER), open_, nodes, labels, sets, threshold)
     more = common.materialise(_shared(rest, sets).filter(alike(threshold)).select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(nodes, edges.union(more))

@@ -62,6 +62,24 @@ def test_groups(spark):
     assert len({c for _, _, c, _ in got}) > 20
 
 
+def test_groups_at_other_thresholds(spark):
+    data = [(i, t) for i, t in planted(12) if i is not None and shingles(t or "")]
+    sets = [shingles(t) for _, t in data]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for num in (80, 90):
+        least = {i: i for i, _ in data}
+        links = [(data[i][0], data[j][0]) for i in range(len(data)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+        for _ in data:
+            for x, y in links:
+                least[x] = least[y] = min(least[x], least[y])
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, threshold=(num, 100)).collect()}
+        assert got == least
+
+
+def test_settling():
+    assert [round(a / b, 6) for a, b in map(neardup.settling, [(85, 100), (80, 100), (4, 5)])] == [0.7, 0.75, 0.75]
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -114,6 +114,18 @@ def test_pipeline(spark, folder):
     assert sorted(got) == sorted(want) and 100 < len(got) < len(docs)
 
 
+def test_near_copies_from_four_fifths_on_are_dropped(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    edited = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    other = " ".join(f"v{i}" for i in range(104))
+    # 90 of 110 shingles are shared: 0.82; then 85 of 115: 0.74
+    for edits, kept in (((20, 60), [1, 3]), ((20, 50, 80), [1, 2, 3])):
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, edited(*edits)), (3, other)], "doc_id long, text string")
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == kept
+
+
 def merged(spans):
     out = []
     for a, b in sorted((a, b) for _, a, b in spans):
