@@ -25,6 +25,12 @@ from corpusforge.llm import common
 # The kinds in their order. Of (anchors, pattern, group, least
 # size), a text is searched for the pattern only if it holds an anchor.
 _ASSIGN = rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+# A private key runs to the END line of its label; where that is missing, over header fields and
+# runs of base64 with what parts them, line ends within quoted strings too.
+_GAP = rb"""(?:\\[nrt]|[\s>"'|#*,\\])"""
+_FIELDS = rb"(?:" + _GAP + rb"++[A-Za-z][A-Za-z-]*+:\x20(?:(?![A-Za-z0-9+/]{40})[^\r\n\\])*+)*+"
+_BODY = _FIELDS + _GAP + rb"*[A-Za-z0-9+/]{20,}(?:" + _GAP + rb"+[A-Za-z0-9+/]{20,})*(?:={1,2}|" + _GAP + rb"+[A-Za-z0-9+/]{1,19}={0,2})?(?:" + _GAP + rb"+=[A-Za-z0-9+/]{4}(?![A-Za-z0-9+/]))?"
+_KEY = rb"-----BEGIN ([A-Z ]*PRIVATE KEY(?: BLOCK)?)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----|(?:" + _BODY + rb")?)"
 RULES = {
     "assign": ((b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key"), re.compile(rb"(?i:" + _ASSIGN[: _ASSIGN.index(b")") + 1] + rb")" + _ASSIGN[_ASSIGN.index(b")") + 1 :]), 2, 6),
     "access": ((b"akia",), re.compile(rb"AKIA[A-Z0-9]+"), 0, 20),
@@ -33,7 +39,7 @@ RULES = {
     "slack": ((b"xox",), re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 15),
     "google": ((b"aiza",), re.compile(rb"AIza[0-9A-Za-z_-]{35,}"), 0, 39),
     "jwt": ((b"eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 28),
-    "private_key": ((b"private key",), re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 20),
+    "private_key": ((b"private key",), re.compile(_KEY), 0, 20),
 }
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = tuple(RULES)
