@@ -110,13 +110,12 @@ def similar_pairs(points: DataFrame, threshold: float, digits: int = 6, block_ro
     return left.groupBy("x", "y").applyInPandas(multiply, f"id {kind}, other {kind}, score double")
 
 
-def banded_pairs(points: DataFrame, threshold: float, digits: int = 6, miss: float = 1e-6, seed: int = 17) -> DataFrame:
-    """The same as ``similar_pairs`` for high thresholds, without comparing all blocks.
+def _banded_classes(points: DataFrame, threshold: float, digits: int, miss: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(id, a, score) of each vector, its class and its likeness to itself; (a, b, score) of alike classes, a < b.
 
-    Signs against random planes are cut into bands, as many as leave a pair at the
-    threshold out with a chance of ``miss``; pairs that share a band are compared
-    exactly. Equal vectors are one class: its copies are paired with its least id
-    alone.
+    Equal vectors are one class, named by its least id. Signs against random planes
+    are cut into bands, as many as leave a pair at the threshold out with a chance of
+    ``miss``; classes that share a band are compared exactly.
     """
     from math import acos, ceil, log, pi
 
@@ -148,18 +147,43 @@ def banded_pairs(points: DataFrame, threshold: float, digits: int = 6, miss: flo
     va, vb = classes.select(F.col("id").alias("a"), F.col("vector").alias("va")), classes.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
     scored = near.join(va, "a").join(vb, "b").select("a", "b", F.round(vectors.dot("va", "vb"), digits).alias("score")).filter(F.col("score") >= threshold)
     first = rows.join(classes.withColumnRenamed("id", "a"), "vector")
-    copies = first.filter("id <> a").select("a", F.col("id").alias("b"), F.round(vectors.dot("vector", "vector"), digits).alias("score"))
-    one = scored.union(copies)
+    return first.select("id", "a", F.round(vectors.dot("vector", "vector"), digits).alias("score")), scored
+
+
+def banded_pairs(points: DataFrame, threshold: float, digits: int = 6, miss: float = 1e-6, seed: int = 17) -> DataFrame:
+    """The pairs of ``similar_pairs`` for high thresholds, without comparing all blocks.
+
+    Copies of a vector are paired with their least id alone, and only that one with others.
+    """
+    first, scored = _banded_classes(points, threshold, digits, miss, seed)
+    one = scored.union(first.filter("id <> a").select("a", F.col("id").alias("b"), "score"))
     return one.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(one.select("b", "a", "score"))
 
 
+def banded_edges(points: DataFrame, threshold: float, k: int = 20, digits: int = 6, miss: float = 1e-6, seed: int = 17) -> DataFrame:
+    """``neighbour_edges`` of all ``similar_pairs``, every copy's among them, for high thresholds.
+
+    The best k of a vector are among the best k + 1 of its class, itself being one,
+    and those among the least k + 1 ids of each alike class: so copies make at most
+    k + 1 rows each.
+    """
+    first, scored = _banded_classes(points, threshold, digits, miss, seed)
+    itself = first.filter((F.col("id") == F.col("a")) & (F.col("score") >= threshold)).select("a", F.col("a").alias("b"), "score")
+    links = scored.union(scored.select("b", "a", "score")).union(itself)
+    least = F.row_number().over(Window.partitionBy("b").orderBy("other"))
+    heads = first.select(F.col("a").alias("b"), F.col("id").alias("other")).withColumn("_n", least).filter(F.col("_n") <= k + 1).drop("_n")
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "other"))
+    nearest = links.join(heads, "b").withColumn("_n", best).filter(F.col("_n") <= k + 1).select("a", "other", "score")
+    return neighbour_edges(first.select("id", "a").join(nearest, "a").filter("id <> other").select("id", "other", "score"), k)
+
+
 #: From this likeness on, bands find pairs with few planes; below it blocks are compared.
 BANDED = 0.9
 
 
 def near_duplicate_edges(points: DataFrame, weights: DataFrame, dense: float = 0.96, k: int = 20) -> DataFrame:
     """Pairs within each other's best k by vector that are also among the best k by shared terms."""
-    by_vector = neighbour_edges((banded_pairs if dense >= BANDED else similar_pairs)(points, dense), k)
+    by_vector = banded_edges(points, dense, k) if dense >= BANDED else neighbour_edges(similar_pairs(points, dense), k)
     # only ids that have a dense neighbour can keep an edge
     ids = by_vector.select(F.col("a").alias("id")).union(by_vector.select("b")).distinct()
     some = weights.join(ids, "id", "left_semi")

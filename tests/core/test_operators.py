@@ -1,5 +1,6 @@
 """Operators on small frames, with what they promise: order, nulls, ties, failsafes."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,22 @@ def test_recommend(spark):
     seeds = spark.createDataFrame([(0, 0.9)], "id long, score double")
     got = search.recommend(points, seeds, 2).collect()
     assert sorted((r.id, r.source, r.score) for r in got) == [(0, "seed", 0.9), (1, "neighbor", 0.0), (2, "neighbor", 0.0)]
+
+
+def test_near_duplicate_edges_of_copies(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((12, 16))
+    rows = [(1, base[0]), (5, base[0]), (6, base[0])]
+    for i in range(7, 120):  # copies and near copies; one group is larger than k
+        g = min(i % 20, 11)
+        rows.append((i, base[g] if i % 3 else base[g] + 0.03 * r.standard_normal(16)))
+    unit = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in rows]
+    points = spark.createDataFrame(unit, "id long, vector array<double>")
+    terms = [(1, "other", 1.0), (5, "same", 50.0), (6, "same", 50.0)] + [(i, f"t{t}", float(r.uniform(0.5, 2))) for i in range(7, 120) for t in r.choice(8, 2, replace=False)]
+    weights = spark.createDataFrame(terms, "id long, term string, weight double")
+    got = {tuple(x) for x in curation.near_duplicate_edges(points, weights, 0.96, 5).collect()}
+    assert (5, 6) in got and len(got) > 20
+    by_vector = curation.neighbour_edges(curation.similar_pairs(points, 0.96), 5)
+    assert {tuple(x) for x in curation.banded_edges(points, 0.96, 5).collect()} == {tuple(x) for x in by_vector.collect()}
+    shared = weights.alias("x").join(weights.alias("y"), "term").filter("x.id <> y.id").groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("other")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("score"))
+    assert got == {tuple(x) for x in by_vector.intersect(curation.neighbour_edges(shared, 5)).collect()}
