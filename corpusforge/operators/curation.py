@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import vectors
+from corpusforge.session import shared_dir
 
 
 def body_provenance(chunks: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def purge_file(provenance: DataFrame, file_ids: list[str]) -> DataFrame:
 def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder in spark.checkpoint.dir and read back, to cut lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/corpusforge"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

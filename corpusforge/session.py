@@ -1,4 +1,4 @@
-"""The package on the executors."""
+"""The package on the executors, and the folder that they share."""
 
 from __future__ import annotations
 
@@ -11,6 +11,19 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all machines reach; one of its own on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers, once per application."""
     app = spark.sparkContext.applicationId
