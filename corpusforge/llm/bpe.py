@@ -32,47 +32,45 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def byte_to_char(text: bytes) -> np.ndarray:
-    """For each byte position, and the end, how many characters begin before it.
-
-    A position inside a character gives that character's index plus one, so a
-    token that ends there covers the character, and ``begins`` tells it apart.
-    """
-    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
-    return np.concatenate([[0], np.cumsum(begins)])
+def char_begins(text: bytes) -> np.ndarray:
+    """Whether a character begins at each byte position, and True for the end."""
+    return np.append((np.frombuffer(text, np.uint8) & 0xC0) != 0x80, True)
 
 
-def offsets(ids: bytes, data: bytes, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-last character of each token.
+def offsets(ids: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """First and past-the-last character of each token, as pairs.
 
-    Tokens that share a split character all cover it.
+    A byte position is mapped to the number of characters that begin before it.
+    Tokens that share a split character all cover it: one that begins inside of it
+    starts at that character, and one that ends inside of it ends after it.
     """
-    sizes = np.asarray([len(table[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
-    ends = np.cumsum(sizes)
-    chars = byte_to_char(data)
-    begins = np.append((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, True)
-    starts = ends - sizes
-    return (chars[starts] - ~begins[starts]).astype(np.int32), chars[ends].astype(np.int32)
+    size = sizes[np.frombuffer(ids, "<u4")]
+    ends = np.cumsum(size)
+    starts = ends - size
+    begins = char_begins(data)
+    before = np.concatenate([[0], np.cumsum(begins[:-1])])
+    return np.column_stack([before[starts] - ~begins[starts], before[ends]]).astype("<u4")
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_offsets: bool = False) -> DataFrame:
     """``keep`` (all columns by default) and ``ids``: little-endian unsigned 32-bit integers.
 
-    ``with_offsets`` adds ``char_starts`` and ``char_ends`` for each token.
+    ``with_offsets`` adds ``offsets``: such integers too, two for each token, its
+    first and its past-the-last character.
     """
     more = [("ids", T.BinaryType())]
     if with_offsets:
-        more += [(n, T.ArrayType(T.IntegerType())) for n in ("char_starts", "char_ends")]
+        more.append(("offsets", T.BinaryType()))
 
     def make():
         encoder = tokens.ranks_encoder(path, public_tokenizers.PATTERN)
+        sizes = np.asarray([len(t) for t in token_bytes(path)], np.int64) if with_offsets else None
 
         def run(texts: list[bytes]) -> list[list]:
             ids = encoder.encode(texts)
             if not with_offsets:
                 return [ids]
-            spans = [offsets(i, t, token_bytes(path)) for i, t in zip(ids, texts, strict=True)]
-            return [ids, [s for s, _ in spans], [e for _, e in spans]]
+            return [ids, [offsets(i, t, sizes).tobytes() for i, t in zip(ids, texts, strict=True)]]
 
         return run
 
@@ -93,13 +91,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    """Digests of the ids of every document, and of what they decode to."""
+    """Digests of the ids of every document, of what they decode to, and of the tokens' places."""
     path = public_tokenizers.path(MULTI_50K)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    decoded = decode(encode(docs, path, keep=["doc_id"]), path)
+    decoded = decode(encode(docs, path, keep=["doc_id"], with_offsets=True), path)
     return decoded.select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("offsets", 256).alias("offsets_sha256"),
     )

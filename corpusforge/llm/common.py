@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusforge.session import ship
+from corpusforge.session import shared_dir, ship
 
 #: Text that one vectorised step works on; it bounds a task's working memory.
 SLICE_BYTES = 1 << 19
@@ -38,29 +40,24 @@ ALNUM_WORDS = _table(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x
 SPACE_WORDS = _table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one under /tmp where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints/corpusforge"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: later steps start there."""
+def materialise(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder, or one in it, and read it back: later steps start there."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else fresh_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables that no frame reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -144,9 +141,7 @@ def map_text(df: DataFrame, text: str, keep: list[str] | None, more: list[tuple[
 
 # --- word hashes -----------------------------------------------------------
 
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+_HASH_KEY = "corpusforge word"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -158,48 +153,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]), dtype=np.uint64) for b in (_B, _B_INV)]
-    return _POWERS[0], _POWERS[1]
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit SipHash values of words, which no structure within them makes collide."""
+    return hash_array(np.asarray(words, dtype=object), hash_key=_HASH_KEY, categorize=False) if words else np.empty(0, np.uint64)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of bytes."""
-    power, inverse = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(raw) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of translated text (spaces separate)."""
-    raw = np.frombuffer(data, np.uint8)
-    word = np.empty(len(raw) + 2, bool)
-    word[0] = word[-1] = False
-    np.not_equal(raw, 32, out=word[1:-1])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edge[0::2], edge[1::2]
-    return starts, span_hashes(raw, starts, ends)
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of translated text, in bounded steps."""
-    if len(data) <= 4 * SLICE_BYTES:
-        return _hash_block(data)[1]
-    out, at = [], 0
+def word_hashes(data: bytes) -> tuple[np.ndarray, bytes]:
+    """A hash for each word of translated text (spaces separate), and a digest of all words.
+
+    A long text is worked on in steps, so that its words are never all held as objects.
+    """
+    out, digest, at = [np.empty(0, np.uint64)], hashlib.blake2b(digest_size=16), 0
     while at < len(data):
-        end = min(len(data), at + 4 * SLICE_BYTES)
-        if end < len(data):
-            cut = data.rfind(b" ", at, end)
-            end = cut if cut > at else (data.find(b" ", end) if data.find(b" ", end) > 0 else len(data))
-        out.append(_hash_block(data[at:end])[1])
+        end = data.find(b" ", at + SLICE_BYTES)
+        end = len(data) if end < 0 else end
+        words = data[at:end].split()
+        digest.update(b"".join([w + b" " for w in words]))
+        out.append(hash_words(words))
         at = end
-    return np.concatenate(out)
+    return np.concatenate(out), digest.digest()
 
 
 _SHINGLE = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -222,23 +194,13 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
         return np.unique(mix(h))
 
 
-def shingles_of(texts: list[bytes], table: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Shingle hashes of many texts, the text of each, and each text's word hashes.
+def shingles_of(texts: list[bytes], table: bytes, k: int = 5) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Shingle hashes of many texts, the text of each, and a digest of each text's words.
 
     Hashes are in the order of the texts and of places in them, repeats included.
     """
-    data = [t.translate(table) for t in texts]
-    words: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
-    small = [i for i, d in enumerate(data) if len(d) <= SLICE_BYTES]
-    if small:
-        ends = np.cumsum([len(data[i]) + 1 for i in small])
-        starts, hashes = _hash_block(b" ".join(data[i] for i in small))
-        cuts = np.searchsorted(starts, ends[:-1])
-        for i, part in zip(small, np.split(hashes, cuts), strict=True):
-            words[i] = part
-    for i, d in enumerate(data):
-        if len(d) > SLICE_BYTES:
-            words[i] = word_hashes(d)
+    read = [word_hashes(t.translate(table)) for t in texts]
+    words, digests = [w for w, _ in read], [d for _, d in read]
     counts = np.asarray([len(w) for w in words], np.int64)
     of = np.repeat(np.arange(len(texts)), counts)
     flat = np.concatenate(words) if words else np.empty(0, np.uint64)
@@ -255,37 +217,44 @@ def shingles_of(texts: list[bytes], table: bytes, k: int = 5) -> tuple[np.ndarra
         parts.append(shingle_hashes(words[i], k))
         rows.append(np.asarray([i]))
     if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), words
+        return np.empty(0, np.uint64), np.empty(0, np.int64), digests
     h, rows = np.concatenate(parts), np.concatenate(rows)
     order = np.argsort(rows, kind="stable")
-    return h[order], rows[order], words
+    return h[order], rows[order], digests
 
 
 # --- order by key over many tasks ------------------------------------------
 
 
-def order_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
-    """Upper bounds that cut ``key`` into about equal buckets, from its column alone.
+class Ranges:
+    """Ranges that cut a column of whole numbers into about equal buckets.
 
-    The list has one number per bucket, so it grows with the number of
-    partitions and not with the rows.
+    ``starts`` holds the least key of each bucket but the first; each is a key of
+    the table, so no bucket is empty. There is one number for each partition, so the
+    list doesn't grow with the rows; tasks look keys up in it by bisection.
     """
-    if buckets < 2:
-        return []
-    at = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(key, at, 10 * buckets).alias("b")).first()["b"]
-    return sorted(set(found or []))
 
+    def __init__(self, df: DataFrame, key: str, buckets: int):
+        at = [i / buckets for i in range(1, buckets)] or [0.5]
+        found = df.select(F.min(key).alias("least"), F.count_if(F.col(key).isNull()).alias("nulls"), F.percentile_approx(key, at, 10 * buckets).alias("at")).first()
+        keys = sorted(set(found["at"] or [])) if buckets > 1 else []
+        if found["nulls"] == 0:
+            keys = [k for k in keys if k > found["least"]]
+        self.head = None if found["nulls"] else found["least"]
+        self.starts = np.asarray(keys, np.int64)
+
+    @property
+    def count(self) -> int:
+        return len(self.starts) + 1
 
-def bucket_of(key: str, bounds: list[int]):
-    """The number of bounds below the key; null keys come first."""
-    if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(array, lambda b: b < F.col(key))))
+    def bucket(self, keys: pa.Array) -> np.ndarray:
+        """The bucket of each key; null keys come first."""
+        known = np.asarray(pc.is_valid(keys))
+        found = np.searchsorted(self.starts, np.asarray(pc.fill_null(keys, 0)), side="right")
+        return np.where(known, found, 0).astype(np.int32)
 
 
-def by_order(df: DataFrame, key: str, bucket: str, buckets: int) -> DataFrame:
+def by_bucket(df: DataFrame, bucket: str, buckets: int) -> DataFrame:
     """One partition for each value 0..buckets-1 of ``bucket``."""
     return df.repartitionById(buckets, F.col(bucket).cast("int"))
 

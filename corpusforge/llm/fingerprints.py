@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,19 +89,24 @@ def with_next(df: DataFrame, fn, schema: str, key: str = "doc_id") -> DataFrame:
     of (key, text, ends) where a true ``ends`` marks the last row of a bucket,
     which only serves as the next of the one before.
     """
-    spark = df.sparkSession
-    bounds = common.order_bounds(df, key, common.partitions(spark))
-    rows = df.select(F.col(key).alias("k"), common.text_or_empty().alias("t"), common.bucket_of(key, bounds).cast("int").alias("b"))
-    heads = rows.groupBy("b").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k")).alias("h")).orderBy("b").collect()  # one a bucket
-    if not heads:
-        return spark.createDataFrame([], schema)
-    own = F.array(F.struct("b", F.lit(False).alias("halo")))
-    to = own
-    for i, row in enumerate(heads):
-        before = F.struct(F.lit(heads[i - 1]["b"]).cast("int").alias("b"), F.lit(True).alias("halo"))
-        to = F.when((F.col("b") == row["b"]) & F.col("k").eqNullSafe(F.lit(row["h"]["k"]).cast("long")), F.concat(own, F.array(before))).otherwise(to)
-    dealt = rows.withColumn("to", F.explode(to)).select("to.b", "to.halo", "k", "t")
-    ordered = common.by_order(dealt, "k", "b", len(bounds) + 1).sortWithinPartitions("b", "halo", F.asc_nulls_first("k"), "t")
+    ranges = common.Ranges(df, key, common.partitions(df.sparkSession))
+    rows = df.select(F.col(key).cast("long").alias("k"), common.text_or_empty().alias("t"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            b = ranges.bucket(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.zeros(len(b), bool)), *batch.columns], names=["b", "halo", "k", "t"])
+            first = np.where(b > 0, ranges.starts[b - 1], 0 if ranges.head is None else ranges.head) if len(ranges.starts) else np.full(len(b), ranges.head or 0)
+            known = np.asarray(pc.is_valid(keys))
+            head = np.where((b == 0) & (ranges.head is None), ~known, known & (np.asarray(pc.fill_null(keys, 0)) == first))
+            if head.any():
+                some = batch.filter(pa.array(head))
+                to = ((b[head] - 1) % ranges.count).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(to), bool)), *some.columns], names=["b", "halo", "k", "t"])
+
+    dealt = common.map_arrow(rows, deal, "b int, halo boolean, k long, t string")
+    ordered = common.by_bucket(dealt, "b", ranges.count).sortWithinPartitions("b", "halo", F.asc_nulls_first("k"), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream():
@@ -149,7 +155,7 @@ def _op4_rows(stream) -> Iterator[pa.RecordBatch]:
             if (done := finish(group)) is not None:
                 yield done
             group, size = [group[-1]], len(group[-1][1])
-    if (done := finish(group)) is not None:
+    if group and (done := finish(group)) is not None:
         yield done
 
 

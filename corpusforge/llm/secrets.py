@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +39,7 @@ RULES = {
     "github": ((b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 40),
     "slack": ((b"xox",), re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 15),
     "google": ((b"aiza",), re.compile(rb"AIza[0-9A-Za-z_-]{35,}"), 0, 39),
-    "jwt": ((b"eyj",), re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 28),
+    "jwt": ((b"eyj",), re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 28),
     "private_key": ((b"private key",), re.compile(_KEY), 0, 20),
 }
 BASE_KINDS = ("assign", "access", "hex")
@@ -100,8 +101,13 @@ class BlobLedger:
         return self.spark.read.schema(_LEDGER).parquet(self.path)
 
     def current(self) -> DataFrame:
+        """(blob, spans) by the rules as they are; runs at one time may have added a blob twice."""
         return self.read().filter(F.col("rules") == RULES_VERSION).select("blob", "spans")
 
+    def findings(self) -> DataFrame:
+        """One row (blob, spans) for each blob in which something was found."""
+        return self.current().filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+
     def unseen(self, blobs: DataFrame) -> DataFrame:
         """One row (blob, text) for each blob that the current rules haven't scanned."""
         fresh = blobs.join(self.current().select("blob"), "blob", "left_anti")
@@ -119,23 +125,39 @@ def scan_secrets(df: DataFrame, ledger: BlobLedger, text: str = "text", keep: li
     ledger.update(df.select(address.alias("blob"), value.cast("binary").alias("text")))
     name = common.free_name(df.select(*keep), "secret_spans")
     paths = df.select(address.alias("_blob"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"))
-    found = ledger.current().filter(F.size("spans") > 0)
+    found = ledger.findings()
     joined = paths.join(found, paths["_blob"] == found["blob"], "left")
     return joined.select("_row.*", F.coalesce("spans", F.expr("array()").cast(_SPANS)).alias(name))
 
 
+def redact_text(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with each stretch of overlapping (start, end) replaced by one mark, in one pass."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def redact(df: DataFrame, spans: str = "secret_spans", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The text with each stretch of overlapping spans replaced by one mark."""
-    begins = F.array_sort(F.col(spans), lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(y["end"] - x["end"]).cast("int"))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
+    others = [c for c in df.columns if c != text]
+    places = F.transform(F.col(spans), lambda s: F.struct(s["start"], s["end"]))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text}`").alias("_text"), places.alias("_places"))
+    schema = T.StructType([rows.schema["_row"], rows.schema["_text"]])
 
-    def add(acc, span):
-        gap = F.when(span["start"] >= acc["at"], F.concat(F.substring(F.col(text), (acc["at"] + 1).cast("int"), (span["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["done"], gap).alias("done"), F.greatest(acc["at"], span["end"]).alias("at"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in common.slices(batch.column(1)):
+                texts, found = batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)
+                if pc.any(pc.greater(pc.list_value_length(found), 0)).as_py():
+                    clean = [redact_text(t, [(x["start"], x["end"]) for x in p], mark) if t is not None and p else t for t, p in zip(texts.to_pylist(), found.to_pylist(), strict=True)]
+                    texts = pa.array(clean, pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts], names=["_row", "_text"])
 
-    end = F.aggregate(begins, start, add)
-    whole = F.concat(end["done"], F.substring(F.col(text), (end["at"] + 1).cast("int"), F.length(text)))
-    return df.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text)))
+    done = common.map_arrow(rows, run, schema)
+    return done.select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in df.columns])
 
 
 def span_list(column, kinds: tuple[str, ...] | None = None):
@@ -145,9 +167,10 @@ def span_list(column, kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op7_secret_ledger(spark, sf_dir: str) -> DataFrame:
+def op7_secret_ledger(spark, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
+    """Findings of every document; a ledger that earlier runs filled is used where its path is given."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ledger = BlobLedger(spark, common.fresh_path(spark, "ledger"))
+    ledger = BlobLedger(spark, ledger_path or common.fresh_path(spark, "ledger"))
     found = scan_secrets(docs, ledger, keep=["doc_id"])
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

@@ -124,16 +124,17 @@ def write_ids(df: DataFrame, out: str, path: str, key: str = "doc_id", text: str
     width = 2 if tokens.load_json(path).get_vocab_size() <= 1 << 16 else 4
     dictionary = train_dictionary(df, path, width, key, text)
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{out}/dictionary")
-    bounds = common.order_bounds(df, key, common.partitions(spark))
-    rows = df.select(common.text_or_empty(text).cast("binary").alias("t"), F.col(key).cast("long").alias("k"), common.bucket_of(key, bounds).cast("int").alias("b"))
+    ranges = common.Ranges(df, key, common.partitions(spark))
+    rows = df.select(common.text_or_empty(text).cast("binary").alias("t"), F.col(key).cast("long").alias("k"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = _compressor(dictionary).compress
         for batch in batches:
             for a, b in common.slices(batch.column(0)):
                 ids = _ids(tokens.json_encoder(path), batch.column(0).slice(a, b - a).to_pylist(), width)
+                keys = batch.column(1).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(i) for i in ids], pa.int64()), pa.array([compress(i.tobytes()) for i in ids], pa.binary())],
+                    [pa.array(ranges.bucket(keys)), keys, pa.array([len(i) for i in ids], pa.int64()), pa.array([compress(i.tobytes()) for i in ids], pa.binary())],
                     names=["b", "k", "n", "frame"],
                 )
 
@@ -161,7 +162,7 @@ def write_ids(df: DataFrame, out: str, path: str, key: str = "doc_id", text: str
             yield shard()[1]
 
     frames = common.map_arrow(rows, encode, "b int, k long, n long, frame binary")
-    ordered = common.by_order(frames, "k", "b", len(bounds) + 1).sortWithinPartitions("b", F.asc_nulls_first("k"), "n", "frame")
+    ordered = common.by_bucket(frames, "b", ranges.count).sortWithinPartitions("b", F.asc_nulls_first("k"), "n", "frame")
     common.map_arrow(ordered, pack, _SHARDS).write.option("compression", "none").parquet(f"{out}/shards")
 
 

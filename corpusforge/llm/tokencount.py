@@ -1,19 +1,29 @@
 """Token counts; huge documents are encoded in overlapping chunks and spliced.
 
-Two neighbouring chunks overlap. In the overlap, both encodings must start a
-token at the same character, and that character must be a proven pre-token
-start: a single space between two characters that are no white space. Left of
-it the first chunk counts, from it on the second. Where an overlap has no such
-place it is widened, in the end to the rest of the document.
+Two neighbouring chunks overlap, and both are encoded with offsets. They are
+spliced at a place of the overlap that is a stable boundary of both:
+
+- a single space between two characters that are no white space, where a
+  pre-token starts whatever surrounds it, if both start a token there; or
+- any place between two such characters, with no apostrophe in the three before
+  it, if both have the same token before it and the same after it. Whether a
+  pre-token starts there depends on the two characters alone, so both chunks and
+  the whole text agree on it. If none starts, the tokens at both sides are parts
+  of one run of merges, and a sequence of tokens is what merging gives exactly if
+  each two neighbours are: the first merge over a seam would be one of the pair.
+
+No place is taken inside a string that the library takes for an added token. Left
+of the place the first chunk counts, from it on the second. Where an overlap has no
+such place it is widened, and where the whole chunk has none the chunk is doubled,
+so the work stays in proportion to the text.
 
 Defined results: a null or empty text has no tokens; special strings in texts
 count as the library counts them by default; repeated rows are counted each;
-no text is cut.
+no text is cut. The model must be a byte-level BPE by the common pattern.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 
 import public_tokenizers
@@ -24,52 +34,77 @@ from pyspark.sql import types as T
 from corpusforge.llm import common, tokens
 
 BYTE_50K = "byte_bpe_50k.json"
-_STABLE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a chunk, and of the overlap of two; texts of more bytes are spliced.
+CHUNK, OVERLAP = 8192, 128
+#: No white space to Python, but to some libraries.
+_DOUBTFUL = {"\u180e", "\u200b", "\ufeff"}
 
 
-def _starts(model, text: str) -> list[int]:
-    """The first character of each token, spaces included."""
-    return [a for a, _ in model.encode(text, add_special_tokens=False).offsets]
+class Chunk:
+    """The tokens of a stretch of a text, placed in that text."""
 
+    def __init__(self, model, text: str, start: int, stop: int):
+        found = model.encode(text[start:stop], add_special_tokens=False)
+        self.ids = found.ids
+        self.starts = [start + a for a, _ in found.offsets]
+        self.ends = [start + b for _, b in found.offsets]
 
-def _has(sorted_list: list[int], x: int) -> int:
-    """The first place of x, or -1."""
-    at = bisect_left(sorted_list, x)
-    return at if at < len(sorted_list) and sorted_list[at] == x else -1
+    def after(self, i: int) -> Chunk:
+        """What is left from token ``i`` on."""
+        self.ids, self.starts, self.ends = self.ids[i:], self.starts[i:], self.ends[i:]
+        return self
 
 
-def count_spliced(model, text: str, chunk: int = 32_768, overlap: int = 256) -> int:
-    """The number of tokens of a text of any length, one chunk in memory at a time.
+def _solid(c: str) -> bool:
+    return not c.isspace() and c not in _DOUBTFUL
+
+
+def splice(text: str, left: Chunk, right: Chunk, first: int, added: list[str]) -> tuple[int, int] | None:
+    """Numbers of the tokens of both that begin at a common stable place from ``first`` on."""
+    at = {s: j for j, s in reversed(list(enumerate(right.starts)))}
+    last = left.ends[-1] - 1 if left.ends else 0
+    for i in range(bisect_left(left.starts, first), len(left.starts)):
+        p = left.starts[i]
+        if p >= last:
+            return None
+        j = at.get(p)
+        if not i or not j or left.starts[i - 1] == p or left.ends[i - 1] != p or right.ends[j - 1] != p:
+            continue
+        if not _solid(text[p - 1]):
+            continue
+        if any(text.find(a, max(0, p - len(a) + 1), p + len(a) - 1) >= 0 for a in added):
+            continue
+        if text[p] == " " and _solid(text[p + 1]):
+            return i, j
+        same = left.ids[i] == right.ids[j] and left.ends[i] == right.ends[j] and left.ids[i - 1] == right.ids[j - 1]
+        if same and _solid(text[p]) and "'" not in text[max(0, p - 3) : p]:
+            return i, j
+    return None
+
+
+def count_spliced(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, added: list[str] | None = None) -> int:
+    """The number of tokens of a text of any length, about a chunk in memory at a time.
 
     ``model`` must give untrimmed offsets.
     """
+    if added is None:
+        added = [t.decode() for t in tokens.added_tokens(model)]
     total, begin, end = 0, 0, min(chunk, len(text))
-    left = _starts(model, text[begin:end])
+    left = Chunk(model, text, begin, end)
     while end < len(text):
-        width, cut = overlap, None
-        while True:
-            start = max(begin + 1, end - width)
-            stop = min(len(text), start + chunk)
-            right = _starts(model, text[start:stop])
-            # the last character before a chunk's end may be read otherwise there
-            for m in _STABLE.finditer(text, start + 1, end - 1):
-                i, j = _has(left, m.start() - begin), _has(right, m.start() - start)
-                if i >= 0 and j >= 0:
-                    cut = (i, j, m.start())
-                    break
-            if cut or start == begin + 1:
-                break
+        width, found = overlap, None
+        stop = min(len(text), end + chunk)
+        while found is None and width < end - begin:
+            right = Chunk(model, text, end - width, stop)
+            found = splice(text, left, right, end - width + 1, added)
             width *= 4
-        if cut is None:  # no stable place in the chunk: it grows
-            end = min(len(text), end + chunk)
-            left = _starts(model, text[begin:end])
+        if found is None:  # no stable place in the chunk: it doubles
+            end = min(len(text), end + max(chunk, end - begin))
+            left = Chunk(model, text, begin, end)
             continue
-        i, j, at = cut
-        total += i
-        # what is left of the right chunk, seen from the splice
-        left = [s + start - at for s in right[j:]]
-        begin, end = at, stop
-    return total + len(left)
+        total += found[0]
+        begin, end, left = right.starts[found[1]], stop, right.after(found[1])
+    return total + len(left.ids)
 
 
 def untrimmed(path: str):
@@ -81,15 +116,18 @@ def untrimmed(path: str):
     return model
 
 
-def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = 32_768, overlap: int = 256) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``keep`` (all columns by default) and ``n_tokens``."""
 
     def make():
         encoder, offset_model = tokens.json_encoder(path), untrimmed(path)
+        added = [t.decode() for t in encoder.added]
+        most = float("inf") if tokens.depends_on_neighbours(encoder.model) else chunk
 
         def run(texts: list[bytes]) -> list[list]:
-            short = iter(encoder.encode([t for t in texts if len(t) <= chunk]))
-            return [[len(next(short)) // 4 if len(t) <= chunk else count_spliced(offset_model, t.decode(), chunk, overlap) for t in texts]]
+            huge = [len(t) > most for t in texts]
+            short = iter(encoder.encode([t for t, h in zip(texts, huge, strict=True) if not h]))
+            return [[count_spliced(offset_model, t.decode(), chunk, overlap, added) if h else len(next(short)) // 4 for t, h in zip(texts, huge, strict=True)]]
 
         return run
 

@@ -1,76 +1,33 @@
-"""What the three tokenising operators share: vocabularies and unit-wise encoding.
+"""What the three tokenising operators share: vocabularies, long texts, units.
 
 Two kinds of places always start a pre-token of the byte-level pattern, whatever
-surrounds them: a single space or line end between two characters that are no
-white space, as every alternative that holds white space begins with it and none
-can reach it from the left; and an ASCII mark after an ASCII letter, as no
-alternative goes on from a letter to a mark. Neither is taken within a string that
-is an added token of the model, as the library looks for those first. A text cut
-there gives the ids of the whole text, so each distinct unit is encoded by the
-library once per worker, and its ids are gathered for every place where the unit
-stands.
+surrounds them: the first of a run of white space, as every alternative that holds
+white space begins with it and none reaches it from the left; and an ASCII mark
+after an ASCII letter, as no alternative goes on from a letter to a mark. A text cut
+there gives the ids of the whole text. Texts are left whole if they hold white space
+outside ASCII next to which that fails, or a string that the library takes for an
+added token.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 
-from corpusforge.llm import common
-
-_BYTE = np.arange(256)
-_SPACE = np.isin(_BYTE, [9, 10, 11, 12, 13, 32])
-_BREAK = np.isin(_BYTE, [10, 32])
-_LETTER = ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
-_MARK = (_BYTE > 32) & (_BYTE < 127) & ~_LETTER & ~((_BYTE >= 48) & (_BYTE <= 57))
-#: First bytes of white space outside ASCII, and separators that libraries take differently.
-_RARE = np.isin(_BYTE, [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
-
-
-def rare_space(raw: np.ndarray) -> np.ndarray:
-    """Positions of white space outside ASCII, and of the separators 1C to 1F."""
-    at = np.flatnonzero(_RARE[raw])
-    if not len(at):
-        return at
-    ahead = np.concatenate([raw, np.zeros(2, np.uint8)])
-    a, b, c = raw[at], ahead[at + 1], ahead[at + 2]
-    hit = a < 0x20
-    hit |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
-    hit |= (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) & ((c == 0x80) | (c == 0x8E))
-    hit |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))
-    hit |= (a == 0xE2) & (b == 0x81) & ((c == 0x9F) | (c == 0xA0))
-    hit |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
-    return at[hit]
-
-
-def _spaced(data: bytes) -> bool:
-    return bool(_SPACE[np.frombuffer(data, np.uint8)].any())
-
-
-def places(data: bytes, part: bytes) -> list[int]:
-    """Where ``part`` begins in ``data``; places may overlap."""
-    out, at = [], data.find(part)
-    while at >= 0:
-        out.append(at)
-        at = data.find(part, at + 1)
-    return out
-
-
-def unit_starts(raw: np.ndarray, starts: np.ndarray, whole: list[tuple[int, int]] = ()) -> np.ndarray:
-    """Where units begin in joined texts that begin at ``starts``, but for the insides of ``whole`` (start, end)."""
-    begin = np.zeros(len(raw), bool)
-    space = _SPACE[raw]
-    begin[1:-1] = _BREAK[raw[1:-1]] & ~space[:-2] & ~space[2:]
-    begin[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
-    for a, b in whole:
-        begin[a + 1 : b] = False
-    begin[starts[starts < len(raw)]] = True
-    return np.flatnonzero(begin)
+#: White space outside ASCII, and separators that libraries take differently; and what all of it begins with.
+_RARE_BEGINS = [bytes([b]) for b in range(0x1C, 0x20)] + [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"]
+_RARE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8-\xaf]|\x81[\x9f\xa0])|\xe3\x80\x80"
+#: From one certain start of a pre-token to the next.
+_UNIT = re.compile(rb"\s*+[^A-Za-z\s]*+(?:[A-Za-z]++(?:[\x00-\x08\x0e-\x1f0-9\x7f-\xff][^A-Za-z\s]*+)?+)*+")
+_CUT = re.compile(rb"(?<=[!-~])[ \n]")
+#: Longer texts are encoded in pieces of about this size.
+PIECE_BYTES = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -125,148 +82,128 @@ def load_ranks(path: str, pattern: str):
     return model
 
 
-class HashRows:
-    """Row numbers of 64-bit keys, by open addressing in arrays."""
-
-    def __init__(self, most: int):
-        self.bits = max(8, int(2 * most).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.rows = np.full(1 << self.bits, -1, np.int32)
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The row of each key, or -1."""
-        out = np.full(len(keys), -1, np.int32)
-        at, left = self._home(keys), np.arange(len(keys))
-        while len(left):
-            row = self.rows[at]
-            same = self.keys[at] == keys[left]
-            out[left[same]] = row[same]
-            go = ~same & (row >= 0)
-            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
-        return out
-
-    def grown(self, n: int) -> HashRows:
-        """The same rows in a table with room for n."""
-        out, full = HashRows(n), self.rows >= 0
-        out.add(self.keys[full], self.rows[full])
-        return out
-
-    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
-        """New, distinct keys."""
-        at = self._home(keys)
-        while len(keys):
-            free = np.flatnonzero(self.rows[at] < 0)
-            self.rows[at[free]] = rows[free]
-            self.keys[at[free]] = keys[free]
-            left = self.rows[at] != rows
-            keys, rows, at = keys[left], rows[left], (at[left] + 1) & (len(self.keys) - 1)
-
-
-class UnitEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
-
-    Units are told apart by 64-bit hashes of their bytes. New ones that begin with
-    a space or line end and hold no other white space are encoded together: each
-    one's ids begin at a token that begins with it, as no other of its tokens does.
-    Texts with white space outside ASCII are encoded as they are, and so are those
-    with an added token that depends on what surrounds it. At most about ``most``
-    units are kept; then the encoder starts anew.
+def added_tokens(model) -> list[bytes]:
+    """The strings that the library looks for before any pre-token."""
+    return [token.content.encode() for token in model.get_added_tokens_decoder().values()]
+
+
+def depends_on_neighbours(model) -> bool:
+    """Whether some added token takes white space along or must be a word of its own."""
+    return any(t.lstrip or t.rstrip or t.single_word for t in model.get_added_tokens_decoder().values())
+
+
+class PieceEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, by the library alone.
+
+    A text of more than ``piece`` bytes is encoded in pieces, so that what the
+    library holds for a text is bounded; see the module for where it is left whole.
+    """
+
+    def __init__(self, model, piece: int = PIECE_BYTES):
+        self.model, self.piece = model, piece
+        self.added = added_tokens(model)
+        self.rare = re.compile(_RARE)
+
+    def whole(self, text: bytes) -> bool:
+        """Whether a text has no places to cut it at."""
+        if any(a in text for a in self.added):
+            return True
+        return any(b in text for b in _RARE_BEGINS) and self.rare.search(text) is not None
+
+    def pieces(self, text: bytes) -> Iterator[bytes]:
+        at = 0
+        while len(text) - at > self.piece and (cut := _CUT.search(text, at + self.piece)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def library(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        short = iter(self.library([t for t in texts if len(t) <= self.piece]))
+        return [next(short) if len(t) <= self.piece else self.encode_long(t) for t in texts]
+
+    def encode_long(self, text: bytes) -> bytes:
+        if self.whole(text):
+            return self.library([text])[0]
+        return b"".join([self.library([piece])[0] for piece in self.pieces(text)])
+
+
+class UnitEncoder(PieceEncoder):
+    """The same, with the ids of each unit remembered by its bytes.
+
+    Corpora repeat words, so most units were met before. The memo holds about
+    ``most`` bytes and then starts anew; units over ``LONG`` bytes aren't kept.
     """
 
-    def __init__(self, model, most: int = 500_000):
-        self.model, self.most = model, most
-        vocabulary = model.get_vocab()
-        chars = byte_characters()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        for written, i in vocabulary.items():
-            self.begins[i] = written[0] in (chars[32], chars[10])
-        self.added, self.bound = [], []
-        for token in model.get_added_tokens_decoder().values():
-            content = token.content.encode()
-            free = not (token.lstrip or token.rstrip or token.single_word or _spaced(content))
-            (self.added if free else self.bound).append(content)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.table, self.n, self.used = HashRows(self.most), 0, 0
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.ids = np.zeros(1 << 18, np.uint32)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _keep(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Append units with their ids, one after another."""
-        n, used = self.n + len(hashes), self.used + len(ids)
-        while len(self.first) < n:
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while len(self.ids) < used:
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.first[self.n : n] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : n] = sizes
-        self.ids[self.used : used] = ids
-        if n > len(self.table.keys) // 2:
-            self.table = self.table.grown(n)
-        self.table.add(hashes, np.arange(self.n, n, dtype=np.int32))
-        self.n, self.used = n, used
-
-    def _learn(self, data: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray) -> None:
-        for at in range(0, int(joined.sum()), 2000):
-            some = np.flatnonzero(joined)[at : at + 2000]
-            (raw,) = self._encode([b"".join([data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]).decode()])
-            ids = np.frombuffer(raw, np.uint32)
-            cuts = np.append(np.flatnonzero(self.begins[ids]), len(ids))
-            if len(cuts) != len(some) + 1:
+    LONG, TOGETHER = 200, 2000
+
+    def __init__(self, model, most: int = 250 << 20, piece: int = PIECE_BYTES):
+        super().__init__(model, piece)
+        self.most, self.size, self.ids = most, 0, {}
+        back = {c: b for b, c in enumerate(byte_characters())}
+        self.lengths = np.zeros(max(model.get_vocab().values()) + 1, np.int64)
+        for written, i in model.get_vocab().items():
+            self.lengths[i] = sum(c in back for c in written)
+        self.spaced = any(re.search(rb"\s", a) for a in self.added)
+
+    def _learn(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Units with their ids. Those that white space parts from others are encoded together.
+
+        As the tokens of a text cover its bytes in order, their lengths tell whose they are.
+        """
+        apart = [self.spaced or u[:1] not in (b" ", b"\n") or u[-1:].isspace() for u in units]
+        alone = [u for u, a in zip(units, apart, strict=True) if a]
+        yield from zip(alone, self.library(alone), strict=True)
+        rest = [u for u, a in zip(units, apart, strict=True) if not a]
+        for at in range(0, len(rest), self.TOGETHER):
+            some = rest[at : at + self.TOGETHER]
+            ids = np.frombuffer(self.library([b"".join(some)])[0], np.uint32)
+            done, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(u) for u in some])
+            cuts = np.searchsorted(done, wanted)
+            if not np.array_equal(done[cuts], wanted):
                 raise ValueError("units and their tokens disagree")
-            self._keep(hashes[some], ids, np.diff(cuts))
-        alone = np.flatnonzero(~joined)
-        if len(alone):
-            each = [np.frombuffer(r, np.uint32) for r in self._encode([data[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)])]
-            self._keep(hashes[alone], np.concatenate(each), np.asarray([len(i) for i in each]))
+            raw, begin = ids.tobytes(), 0
+            for unit, end in zip(some, (4 * (cuts + 1)).tolist(), strict=True):
+                yield unit, raw[begin:end]
+                begin = end
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        sizes = np.asarray([len(t) for t in texts], np.int64)
-        data = b"".join(texts)
-        raw, offsets = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes
-        bound = np.asarray([p for token in self.bound for p in places(data, token)], np.int64)
-        odd = np.unique(np.searchsorted(offsets, np.concatenate([rare_space(raw), bound]), side="right") - 1)
-        if len(odd):
-            whole = odd.tolist()
-            for i, ids in zip(whole, self._encode([texts[i].decode() for i in whole]), strict=True):
-                out[i] = ids
-            left = sorted(set(range(len(texts))).difference(whole))
-            for i, ids in zip(left, self.encode([texts[i] for i in left]) if left else (), strict=True):
-                out[i] = ids
-            return out
-        if not data:
-            return out
-        added = [(p, p + len(token)) for token in self.added for p in places(data, token)]
-        starts = unit_starts(raw, offsets, added)
-        ends = np.append(starts[1:], len(raw))
-        hashes = common.span_hashes(raw, starts, ends)
-        rows = self.table.find(hashes)
-        if (rows < 0).any():
-            if self.n > self.most:
-                self._clear()
-                rows[:] = -1
-            new, at = np.unique(hashes[rows < 0], return_index=True)
-            at = np.flatnonzero(rows < 0)[at]
-            spaces = np.concatenate([[0], np.cumsum(_SPACE[raw])])
-            joined = _BREAK[raw[starts[at]]] & (spaces[ends[at]] - spaces[starts[at]] == 1) & (ends[at] - starts[at] > 1)
-            # an added token has no leading space; units must not form one together
-            joined &= not any(map(_spaced, self.bound))
-            joined &= ~np.isin(at, np.searchsorted(starts, np.asarray([p for p, _ in added], np.int64), side="right") - 1)
-            self._learn(data, new, starts[at], ends[at], joined)
-            rows = self.table.find(hashes)
-        count = self.size[rows].astype(np.int64)
-        upto = np.cumsum(count)
-        ids = self.ids[np.repeat(self.first[rows] - (upto - count), count) + np.arange(upto[-1])]
-        bounds = np.concatenate([[0], upto])[np.searchsorted(starts, np.append(offsets, len(raw)))]
-        return [ids[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
+        return [i for some in self._some(texts) for i in some]
+
+    def _some(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """Texts in groups of at most about one piece."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > self.piece:
+                yield self._group(group)
+                group, size = [], 0
+            if len(text) > self.piece:
+                yield [self.encode_long(text) if self.whole(text) else b"".join(self._group(list(self.pieces(text))))]
+            else:
+                group.append(text)
+                size += len(text)
+        if group:
+            yield self._group(group)
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        if self.size > self.most:
+            self.size, self.ids = 0, {}
+        units = [None if self.whole(t) else _UNIT.findall(t) for t in texts]
+        new = list(set().union(*(u for u in units if u is not None)).difference(self.ids))
+        once = {}
+        for unit, ids in self._learn(new):
+            if len(unit) > self.LONG:
+                once[unit] = ids
+            else:
+                self.ids[unit] = ids
+                self.size += len(unit) + len(ids) + 150
+        if once:
+            get = lambda u: self.ids[u] if u in self.ids else once[u]
+        else:
+            get = self.ids.__getitem__
+        return [self.library([t])[0] if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -97,3 +97,34 @@ def test_sketches_fill_and_estimate():
             errors.append(np.mean(s[0] == s[1]) - len(set(a) & set(b)) / len(set(a) | set(b)))
         assert max(map(abs, errors)) < 0.2
     assert (neardup.fast_sketch(np.empty(0, np.uint64), np.empty(0, np.int64), 1) == neardup._NONE).all()
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    from tests.llm.test_tokens import MORSE, THUE
+
+    df = spark.createDataFrame([(1, THUE), (2, MORSE), (3, f"a b c {THUE} d"), (4, f"a b c {MORSE} d")], "doc_id long, text string")
+    assert all(r.kept for r in neardup.near_duplicates(df).collect())
+
+
+def test_null_ids_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = text.replace("w50 ", "")
+    data = [(None, text)] * 40 + [(None, near)] * 30 + [(None, f"n{i}") for i in range(30)] + [(7, "other words here for this id")] * 20 + [(7, near + " end")] * 5
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in got} == {(None, 7, 70), (None, None, 30), (7, 7, 25)}
+
+
+def test_no_link_is_lost_in_large_buckets(spark, monkeypatch):
+    """Many variants that share edits at random: hubs settle few of them, and nodes have many links."""
+    monkeypatch.setattr(neardup, "SPREAD", 5)
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    edits = [(r.randrange(150), f"e{k}") for k in range(12)]
+    data = []
+    for i in range(150):
+        words = list(base)
+        for at, w in r.sample(edits, r.choice([1, 2, 3, 4, 5])):
+            words[at] = w
+        data.append((i, " ".join(words)))
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=str)
+    assert got == plain(data)

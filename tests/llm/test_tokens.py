@@ -76,38 +76,104 @@ def test_op8_and_op10_added_tokens(spark, tmp_path):
     assert sorted(map(tuple, tokenbin.op8_token_binary(spark, path).collect())) == want
 
 
+def plain_offsets(whole, text):
+    """First and past-the-last character of tokens, from the bytes that each character has."""
+    of = [i for i, c in enumerate(text) for _ in c.encode()]
+    out, at = [], 0
+    for raw in whole:
+        out += [of[at], of[at + len(raw) - 1] + 1]
+        at += len(raw)
+    return out
+
+
 def test_offsets_cover_split_characters(tik):
     table = bpe.token_bytes(RANKS)
-    for t in ["plain words", "é語🙂 naïve 𝒳𝒴", "", "🙂🙂"]:
+    sizes = np.asarray([len(t) for t in table])
+    for t in ["plain words", "é語🙂 naïve 𝒳𝒴", "", "🙂🙂", *texts(300, 40, seed=3)]:
         ids = packed(tik.encode_ordinary(t))
-        starts, ends = bpe.offsets(ids, t.encode(), table)
-        got = [t[a:b] for a, b in zip(starts, ends, strict=True)]
         whole = [table[i] for i in np.frombuffer(ids, "<u4")]
-        for piece, raw in zip(got, whole, strict=True):
-            assert raw in piece.encode() and len(piece.encode()) < len(raw) + 8
+        assert bpe.offsets(ids, t.encode(), sizes).ravel().tolist() == plain_offsets(whole, t)
         assert b"".join(whole).decode() == t
 
 
+# two words of 1024 letters that a polynomial modulo 2**64 can't tell apart
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_weak_hashes_confuse(spark, tmp_path, tik):
+    data = [(1, THUE), (2, MORSE), (3, f"x {MORSE} y"), (4, f"x {THUE} y")]
+    path = fixtures.save(spark, tmp_path, documents=(data, "doc_id long, text string"))
+    plain = Tokenizer.from_file(JSON)
+    ids = {i: plain.encode(t, add_special_tokens=False).ids for i, t in data}
+    for r in bpe.op1_byte_bpe(spark, path).collect():
+        t = dict(data)[r.doc_id]
+        assert (r.ids_sha256, r.decoded_sha256) == (hashlib.sha256(packed(tik.encode_ordinary(t))).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert {r.doc_id: r.ids_crc32 for r in tokenbin.op8_token_binary(spark, path).collect()} == {i: zlib.crc32(packed([*x, 0])) for i, x in ids.items()}
+    assert {r.doc_id: r.n_tokens for r in tokencount.op10_token_counts(spark, path).collect()} == {i: len(x) for i, x in ids.items()}
+
+
+def test_long_texts_in_pieces():
+    plain = Tokenizer.from_file(JSON)
+    for kind in (tokens.UnitEncoder, tokens.PieceEncoder):
+        encoder = kind(tokens.load_json(JSON), piece=50)
+        some = [*texts(1500, 150, seed=4), *SPECIAL, "x" * 3000, " " * 500, "word, " * 300]
+        assert encoder.encode([t.encode() for t in some]) == [packed(plain.encode(t, add_special_tokens=False).ids) for t in some]
+
+
 def test_op1_round_trip(spark, tmp_path, tik):
     path = fixtures.save(spark, tmp_path, documents=(fixtures.rows(), "doc_id long, text string"))
     got = by_key(bpe.op1_byte_bpe(spark, path).collect())
     for r, (_, t) in zip(got, sorted(fixtures.rows(), key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
         ids = tik.encode_ordinary(t or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert r.offsets_sha256 == hashlib.sha256(packed(plain_offsets([tik.decode_single_token_bytes(i) for i in ids], t or ""))).hexdigest()
 
 
 def test_encode_keeps_clashing_columns(spark):
     df = fixtures.frame(spark)
     got = bpe.decode(bpe.encode(df, RANKS, with_offsets=True), RANKS, "ids_")
-    assert got.columns == [*df.columns, "ids_", "char_starts", "char_ends", "decoded"]
+    assert got.columns == [*df.columns, "ids_", "offsets", "decoded"]
     assert all((r.text or "").encode() == bytes(r.decoded) and r.ids == "x" for r in got.collect())
     assert bpe.encode(df.limit(0), RANKS).count() == 0
 
 
 def test_spliced_counts():
     model, plain = tokencount.untrimmed(JSON), Tokenizer.from_file(JSON)
-    for t in [*texts(1500, 200), "word " * 3000, "x" * 5000, " " * 3000, "a　b c" * 900]:
-        assert tokencount.count_spliced(model, t, 40, 8) == len(plain.encode(t, add_special_tokens=False).ids), t[:50]
+    unspaced = ["語", "言", "語言", "x", "y", "<|endoftext|>", "<|endo", "text|>", "'", "'re", "\u200b"]
+    some = [*texts(1500, 200), "word " * 3000, "x" * 5000, " " * 3000, "a　b c" * 900, "'s's" * 400]
+    some += ["".join(random.Random(i).choices(unspaced, k=200)) for i in range(300)]
+    for t in some:
+        for chunk, overlap in ((40, 8), (100, 16)):
+            assert tokencount.count_spliced(model, t, chunk, overlap) == len(plain.encode(t, add_special_tokens=False).ids), t[:50]
+
+
+def test_splicing_takes_time_in_proportion():
+    model = tokencount.untrimmed(JSON)
+    r = random.Random(6)
+    text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300_000))
+    seen = []
+
+    class Counting:
+        def get_added_tokens_decoder(self):
+            return model.get_added_tokens_decoder()
+
+        def encode(self, part, add_special_tokens):
+            seen.append(len(part))
+            return model.encode(part, add_special_tokens=add_special_tokens)
+
+    assert tokencount.count_spliced(Counting(), text) == len(model.encode(text, add_special_tokens=False).ids)
+    assert sum(seen) < 1.2 * len(text)
+    seen.clear()
+    assert tokencount.count_spliced(Counting(), " " * 300_000) > 0  # no place to splice at
+    assert sum(seen) < 10 * 300_000
+
+
+@pytest.mark.parametrize("size", [tokencount.CHUNK - 10, tokencount.CHUNK + 10])
+def test_both_sides_of_a_chunk(spark, size):
+    t = ("see <|endoftext|> here " * size)[:size]
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert tokencount.count_tokens(df, JSON).first()["n_tokens"] == len(Tokenizer.from_file(JSON).encode(t, add_special_tokens=False).ids)
 
 
 def test_op10_counts(spark, tmp_path):
