@@ -75,29 +75,40 @@ def graph_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def expand_mentions(mentions: DataFrame, seeds: DataFrame, total: int, df_max: float = 0.5, limit: int = 20, digits: int = 6) -> DataFrame:
-    """Chunks that share entities with the seeds, weighted by how rare those are.
+    """Chunks that share entities with the seeds (chunk_id), weighted by how rare those are."""
+    return expand_mentions_each(mentions, seeds.withColumn("query_id", F.lit(0)), total, df_max, limit, digits).drop("query_id")
+
+
+def expand_mentions_each(mentions: DataFrame, seeds: DataFrame, total: int, df_max: float = 0.5, limit: int = 20, digits: int = 6) -> DataFrame:
+    """The same for each query of the seeds (query_id, chunk_id).
 
     Entities in more than ``df_max`` of all chunks go before the fan-out: they
     would link all to all, and are what skews the join.
     """
     total = max(total, 1)
-    of_seeds = mentions.join(seeds, "chunk_id", "left_semi").select("entity_id").distinct()
-    degree = mentions.join(of_seeds, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("deg"))
+    of_seeds = mentions.join(seeds, "chunk_id").select("query_id", "entity_id").distinct()
+    degree = mentions.join(of_seeds.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("deg"))
     rare = degree.filter(F.col("deg") / total <= df_max).select("entity_id", F.log(F.lit(float(total)) / F.col("deg")).alias("idf"))
-    near = mentions.join(rare, "entity_id").join(seeds, "chunk_id", "left_anti")
-    out = near.groupBy("chunk_id").agg(
+    near = mentions.join(of_seeds.join(rare, "entity_id"), "entity_id").join(seeds, ["query_id", "chunk_id"], "left_anti")
+    out = near.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum("idf"), digits).alias("weight"),
         F.count_distinct("entity_id").alias("shared"),
         F.slice(F.sort_array(F.collect_set("entity_id")), 1, 3).alias("via"),
     )
-    return out.orderBy(F.desc("weight"), "chunk_id").limit(limit)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "chunk_id"))
+    return out.withColumn("_n", nth).filter(F.col("_n") <= limit).drop("_n")
 
 
 def expand_next(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Chunks next to a seed, either way, that are no seeds."""
+    """Chunks next to a seed (chunk_id), either way, that are no seeds."""
+    return expand_next_each(edges, seeds.withColumn("query_id", F.lit(0))).drop("query_id")
+
+
+def expand_next_each(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same for each query of the seeds (query_id, chunk_id)."""
     both = edges.select(F.col("src").alias("x"), F.col("dst").alias("chunk_id")).union(edges.select("dst", "src"))
-    found = both.join(seeds.select(F.col("chunk_id").alias("x")), "x", "left_semi").select("chunk_id").distinct()
-    return found.join(seeds, "chunk_id", "left_anti")
+    found = both.join(seeds.select("query_id", F.col("chunk_id").alias("x")), "x").select("query_id", "chunk_id").distinct()
+    return found.join(seeds, ["query_id", "chunk_id"], "left_anti")
 
 
 def is_junk(name, min_len: int = 3, drop_numeric: bool = True):

@@ -76,10 +76,19 @@ def deleted_remotely(indexed: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def overlapping_jobs(jobs: DataFrame) -> DataFrame:
-    """(a, b) of completed sync jobs (job_id, status, folder_ids) that share a folder."""
-    folders = jobs.filter("status = 'COMPLETED'").select("job_id", F.explode(F.array_distinct("folder_ids")).alias("folder"))
-    x, y = folders.alias("x"), folders.alias("y")
-    return x.join(y, (F.col("x.folder") == F.col("y.folder")) & (F.col("x.job_id") < F.col("y.job_id"))).select(F.col("x.job_id").alias("a"), F.col("y.job_id").alias("b")).distinct()
+    """(job_id, class_id, links) of completed sync jobs (job_id, status, folder_ids) with folders.
+
+    Jobs of the same folders are one class, named by its least id. Classes that share
+    a folder are linked, so a shared folder pairs no jobs; ``links`` counts the other
+    jobs that share a folder with this one.
+    """
+    placed = jobs.filter("status = 'COMPLETED'").select("job_id", F.array_sort(F.array_distinct("folder_ids")).alias("folders")).filter(F.size("folders") > 0)
+    classes = placed.groupBy("folders").agg(F.min("job_id").alias("class_id"), F.count("*").alias("n"))
+    within = classes.select("class_id", "n", F.explode("folders").alias("folder"))
+    x, y = within.alias("x"), within.alias("y")
+    pairs = x.join(y, F.col("x.folder") == F.col("y.folder")).select(F.col("x.class_id").alias("class_id"), F.col("y.class_id").alias("other"), F.col("y.n").alias("n")).distinct()
+    links = pairs.groupBy("class_id").agg((F.sum("n") - 1).alias("links"))
+    return placed.join(classes.select("folders", "class_id"), "folders").join(links, "class_id").select("job_id", "class_id", "links")
 
 
 def rolled_up(sync_jobs: DataFrame, jobs: DataFrame) -> DataFrame:

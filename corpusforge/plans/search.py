@@ -95,29 +95,30 @@ def candidates(points: DataFrame, weights: DataFrame, queries: DataFrame, query_
 
 
 def augment(rows: DataFrame, points: DataFrame, request: SearchRequest, mentions: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """Candidates of one query fused with the graph and lexical channels, where asked for.
+    """Each query's candidates fused with its graph and lexical channels, where asked for.
 
     rows: query_id, id, rank. Without an extra channel the rows come back unchanged.
     """
     extra = []
-    one = rows.select("query_id").limit(1)
     allowed = points.filter(filters.scope(request.slugs) & filters.compile_filter(points, request.filters))
     if request.graph_expand and mentions is not None:
-        seeds = rows.orderBy("rank").limit(request.graph_seeds).select(F.col("id").alias("chunk_id"))
+        seeds = search.top_k(rows.select("query_id", "id", "rank"), request.graph_seeds, [F.asc("rank"), F.asc("id")], rank="_nth").select("query_id", F.col("id").alias("chunk_id"))
         inside = mentions.join(allowed.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-        near = graph.expand_mentions(inside, seeds, allowed.count(), request.graph_df_max, request.graph_neighbors).select(F.col("chunk_id").alias("id"), F.col("weight").alias("w"))
+        near = graph.expand_mentions_each(inside, seeds, allowed.count(), request.graph_df_max, request.graph_neighbors).select("query_id", F.col("chunk_id").alias("id"), F.col("weight").alias("w"))
         if edges is not None:
-            beside = graph.expand_next(edges, seeds).join(near.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select(F.col("chunk_id").alias("id"), F.lit(0.0).alias("w"))
-            near = near.unionByName(beside)
+            beside = graph.expand_next_each(edges, seeds).select("query_id", F.col("chunk_id").alias("id")).join(near, ["query_id", "id"], "left_anti")
+            near = near.unionByName(beside.withColumn("w", F.lit(0.0)))
         extra.append(("graph", near))
     if request.terms:
-        extra.append(("lexical", search.lexical_channel(allowed, request.terms).select("id", F.col("overlap").cast("double").alias("w"))))
+        # the request's terms go for all of its queries; the channel has thirty rows at most
+        hits = search.lexical_channel(allowed, request.terms).select("id", F.col("overlap").cast("double").alias("w"))
+        extra.append(("lexical", rows.select("query_id").distinct().join(F.broadcast(hits))))
     if not extra:
         return rows
     channels = rows.select("query_id", F.lit("vector").alias("channel"), "id", "rank")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("w"), "id")).cast("long")
     for name, df in extra:
-        ranked = search.top_k(df.join(F.broadcast(one)).withColumn("channel", F.lit(name)), 10**6, [F.desc("w"), F.asc("id")])  # one row
-        channels = channels.unionByName(ranked.select("query_id", "channel", "id", "rank"))
+        channels = channels.unionByName(df.select("query_id", F.lit(name).alias("channel"), "id", nth.alias("rank")))
     return search.top_k(search.rrf(channels), request.fusion_limit, [F.desc("score"), F.asc("id")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text
-from corpusforge.operators import curation, entities
+from corpusforge.operators import curation, entities, search
 from corpusforge.plans.projections import Tables
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import DOT, LINES, TOKENS
@@ -225,20 +225,29 @@ def similar_pairs(t: Tables):
     return curation.similar_pairs(t.points(), DENSE).filter("id < other")
 
 
-EDGES = f"""{PAIRS}, tops AS (
-  SELECT least(id, other) AS a, greatest(id, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM pairs) WHERE n <= 20
-), edges AS (SELECT DISTINCT a, b FROM tops), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+EDGES = f"""{PAIRS}, dense_edges AS (
+  SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM pairs) WHERE n <= 20
+), weights AS (
+  SELECT doc_id AS id, term, count(*) AS w FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) GROUP BY ALL
+), shared AS (
+  SELECT x.id, y.id AS other, sum(x.w * y.w) AS score FROM weights x JOIN weights y USING (term) WHERE x.id <> y.id AND x.id IN (SELECT a FROM dense_edges UNION SELECT b FROM dense_edges) GROUP BY ALL
+), sparse_edges AS (
+  SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS n FROM shared) WHERE n <= 20
+), edges AS (SELECT a, b FROM dense_edges INTERSECT SELECT a, b FROM sparse_edges), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT reach.a, e.b FROM reach JOIN both_ways e ON e.a = reach.b),
 components AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
 
 
 def clusters(t: Tables):
-    return curation.connected_components(curation.neighbour_edges(curation.similar_pairs(t.points(), DENSE)))
+    """Components of points near by vector whose documents are also near by words."""
+    points = t.points()
+    docs = t.read("documents").join(points.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return curation.connected_components(curation.near_duplicate_edges(points, search.term_weights(docs, "doc_id", "text"), DENSE))
 
 
 @query(f"WITH RECURSIVE {EDGES} SELECT * FROM components")
 def near_dup_clusters(t: Tables):
-    """Components of the mutual neighbours by vector."""
+    """Components of mutual neighbours both by vector and by words."""
     return clusters(t)
 
 

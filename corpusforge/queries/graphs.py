@@ -11,8 +11,8 @@ from corpusforge.queries.registry import query
 from corpusforge.queries.shared import MENTIONS
 
 MERGED = f"{MENTIONS}, merged AS (SELECT chunk_id, entity_id, max(score) AS score FROM mentions GROUP BY ALL)"
-SEED_IDS = tuple(range(10))
-SEEDS = ", ".join(map(str, SEED_IDS))
+#: Searches start from every row whose id is divisible by this.
+EVERY = 20
 #: Of the driver's parts none is in half of all orders; this share cuts some.
 DF_MAX = 0.0025
 
@@ -22,7 +22,7 @@ def mentions(t: Tables):
 
 
 def seeds(t: Tables):
-    return t.spark.createDataFrame([(i,) for i in SEED_IDS], "chunk_id long")
+    return t.read("orders").filter(F.col("o_orderkey") % EVERY == 0).select(F.col("o_orderkey").alias("chunk_id"))
 
 
 def entities(t: Tables):
@@ -50,9 +50,9 @@ def relation_merge(t: Tables):
 
 
 @query(f"""WITH {MERGED}, total AS (SELECT count(*) AS n FROM orders),
-touched AS (SELECT DISTINCT entity_id FROM merged WHERE chunk_id IN ({SEEDS})),
+touched AS (SELECT DISTINCT entity_id FROM merged WHERE chunk_id % {EVERY} = 0),
 rare AS (SELECT entity_id, ln(max(n)::DOUBLE / count(*)) AS idf FROM merged, total WHERE entity_id IN (SELECT entity_id FROM touched) GROUP BY entity_id HAVING count(*) / max(n) <= {DF_MAX}),
-e AS (SELECT chunk_id, round(sum(idf), 6) AS weight, count(DISTINCT entity_id) AS shared, list_sort(list_distinct(list(entity_id)))[1:3] AS via FROM merged JOIN rare USING (entity_id) WHERE chunk_id NOT IN ({SEEDS}) GROUP BY chunk_id)
+e AS (SELECT chunk_id, round(sum(idf), 6) AS weight, count(DISTINCT entity_id) AS shared, list_sort(list_distinct(list(entity_id)))[1:3] AS via FROM merged JOIN rare USING (entity_id) WHERE chunk_id % {EVERY} <> 0 GROUP BY chunk_id)
 SELECT chunk_id, weight, shared, array_to_string(via, ',') AS via FROM e ORDER BY weight DESC, chunk_id LIMIT 20""")
 def expand_mentions_idf(t: Tables):
     """Orders that share rare parts with the seeds."""
@@ -74,10 +74,10 @@ def next_edges(t: Tables):
     return chain(t)
 
 
-@query(f"WITH {CHAIN}, s AS (SELECT unnest([0, 1001, 2002]) AS id) SELECT DISTINCT x AS chunk_id FROM (SELECT dst AS x, src AS y FROM edges UNION ALL SELECT src, dst FROM edges) WHERE y IN (SELECT id FROM s) AND x NOT IN (SELECT id FROM s)")
+@query(f"WITH {CHAIN}, s AS (SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations WHERE (conv_id * 1000 + turn) % {EVERY} = 0) SELECT DISTINCT x AS chunk_id FROM (SELECT dst AS x, src AS y FROM edges UNION ALL SELECT src, dst FROM edges) WHERE y IN (SELECT id FROM s) AND x NOT IN (SELECT id FROM s)")
 def expand_next(t: Tables):
-    """Turns next to three seeds, either way."""
-    ids = t.spark.createDataFrame([(0,), (1001,), (2002,)], "chunk_id long")
+    """Turns next to a seed, either way."""
+    ids = t.turns().select((F.col("file_id") * 1000 + F.col("chunk_index")).alias("chunk_id")).distinct().filter(F.col("chunk_id") % EVERY == 0)
     return graph.expand_next(chain(t), ids)
 
 
@@ -86,15 +86,17 @@ def graph_stats(t: Tables):
     return graph.graph_stats({"orders": t.read("orders"), "parts": t.read("part"), "mentions": mentions(t)})
 
 
-PRUNED = f"""{MERGED}, {ENTITIES}, {RELATIONS}, named AS (SELECT * FROM entities WHERE length(trim(name)) >= 3 AND NOT regexp_full_match(trim(name), '[0-9.,;:()\\-/ ]+')),
+SOLD_ALONE = "sold_alone AS (SELECT DISTINCT l_suppkey AS head_id, l_partkey AS tail_id FROM lineitem WHERE l_quantity = 1 AND l_suppkey <> l_partkey)"
+PRUNED = f"""{MERGED}, {ENTITIES}, {SOLD_ALONE}, named AS (SELECT * FROM entities WHERE length(trim(name)) >= 3 AND NOT regexp_full_match(trim(name), '[0-9.,;:()\\-/ ]+')),
 kept AS (SELECT * FROM merged WHERE score >= 0.85 AND entity_id IN (SELECT entity_id FROM named)),
-rels AS (SELECT * FROM relations WHERE files[1] < 100 AND head_id IN (SELECT entity_id FROM named) AND tail_id IN (SELECT entity_id FROM named)),
+rels AS (SELECT * FROM sold_alone WHERE head_id IN (SELECT entity_id FROM named) AND tail_id IN (SELECT entity_id FROM named)),
 entities_left AS (SELECT * FROM named WHERE entity_id IN (SELECT entity_id FROM kept) OR entity_id IN (SELECT head_id FROM rels) OR entity_id IN (SELECT tail_id FROM rels))"""
 
 
 def some_relations(t: Tables):
-    """Relations whose first file is among the first hundred, so that some parts have none."""
-    return relations(t).filter(F.col("files")[0] < 100)
+    """Relations of parts sold one at a time; the others have none."""
+    alone = t.read("lineitem").filter("l_quantity = 1 AND l_suppkey <> l_partkey")
+    return alone.select(F.col("l_suppkey").alias("head_id"), F.col("l_partkey").alias("tail_id")).distinct()
 
 
 @query(f"WITH {PRUNED} SELECT entity_id, name FROM entities_left")
@@ -109,9 +111,10 @@ def prune_stats(t: Tables):
     return graph.prune_stats(entities(t), mentions(t), some_relations(t), 0.85)
 
 
-@query(f"WITH {ENTITIES}, {RELATIONS}, r AS (SELECT * FROM relations WHERE files[1] < 100), m AS (SELECT l_partkey AS e FROM lineitem WHERE l_discount = 0.07) SELECT entity_id, name FROM entities WHERE entity_id NOT IN (SELECT e FROM m) AND entity_id NOT IN (SELECT head_id FROM r) AND entity_id NOT IN (SELECT tail_id FROM r)")
+@query(f"WITH {ENTITIES}, {SOLD_ALONE}, m AS (SELECT l_partkey AS e FROM lineitem WHERE l_discount = 0.07 AND l_quantity < 10) SELECT entity_id, name FROM entities WHERE entity_id NOT IN (SELECT e FROM m) AND entity_id NOT IN (SELECT head_id FROM sold_alone) AND entity_id NOT IN (SELECT tail_id FROM sold_alone)")
 def orphan_entities(t: Tables):
-    some = t.read("lineitem").filter("l_discount = 0.07").select(F.col("l_partkey").alias("entity_id"))
+    """Parts that no small lot at seven per cent names and that were never sold alone."""
+    some = t.read("lineitem").filter("l_discount = 0.07 AND l_quantity < 10").select(F.col("l_partkey").alias("entity_id"))
     return graph.orphans(entities(t), some, some_relations(t))
 
 
@@ -128,10 +131,10 @@ def cross_doc_entities(t: Tables):
     return graph.cross_document_entities(mentions(t), files)
 
 
-@query(f"WITH {RELATIONS} SELECT DISTINCT head_id AS src, tail_id AS dst FROM relations WHERE head_id < 50 AND tail_id < 50")
+@query(f"WITH {RELATIONS} SELECT DISTINCT head_id AS src, tail_id AS dst FROM relations WHERE head_id % {EVERY} = 0 AND tail_id % {EVERY} = 0 AND head_id IN (SELECT p_partkey FROM part) AND tail_id IN (SELECT p_partkey FROM part)")
 def subgraph_links(t: Tables):
-    """Relations with both ends among the first fifty nodes."""
-    nodes = t.spark.range(50)
+    """Relations with both ends among the parts of a query set."""
+    nodes = t.read("part").filter(F.col("p_partkey") % EVERY == 0).select(F.col("p_partkey").alias("id"))
     return graph.links_among(relations(t).select(F.col("head_id").alias("src"), F.col("tail_id").alias("dst")), nodes)
 
 

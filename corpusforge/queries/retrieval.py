@@ -13,20 +13,21 @@ from corpusforge.plans.projections import Tables
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import DOT, JOBS, TOKENS
 
-QUERY_IDS = (0, 1, 2)
+#: Every row whose id is divisible by this is a query, against all rows.
+EVERY = 20
 AS_OF = 1735689600.0
 
 
-def vectors_of(t: Tables, ids=QUERY_IDS):
-    return t.points().filter(F.col("id").isin(*ids)).select(F.col("id").alias("query_id"), "vector")
+def vectors_of(t: Tables):
+    return t.points().filter(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "vector")
 
 
 def weights(t: Tables):
     return search.term_weights(t.read("documents"), "doc_id", "text")
 
 
-def terms_of(t: Tables, ids=QUERY_IDS):
-    return search.term_weights(t.read("documents").filter(F.col("doc_id").isin(*ids)), "doc_id", "text").withColumnRenamed("id", "query_id")
+def terms_of(t: Tables):
+    return search.term_weights(t.read("documents").filter(F.col("doc_id") % EVERY == 0), "doc_id", "text").withColumnRenamed("id", "query_id")
 
 
 def dense(t: Tables, k: int = 150):
@@ -37,17 +38,16 @@ def sparse(t: Tables, k: int = 150):
     return search.sparse_channel(weights(t), terms_of(t), k)
 
 
-IDS = ", ".join(map(str, QUERY_IDS))
 DENSE_SQL = f"""dense AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
     SELECT q.vec_id AS query_id, p.vec_id AS id, round({DOT.format(a='q.embedding', b='p.embedding')}, 6) AS score
-    FROM embeddings q, embeddings p WHERE q.vec_id IN ({IDS})) WHERE score >= 0.05 QUALIFY rank <= 150
+    FROM embeddings q, embeddings p WHERE q.vec_id % {EVERY} = 0) WHERE score >= 0.05 QUALIFY rank <= 150
 )"""
 SPARSE_SQL = f"""weights AS (
   SELECT doc_id AS id, term, count(*) AS w FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL
 ), sparse AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-    SELECT q.id AS query_id, d.id, sum(q.w * d.w)::BIGINT AS score FROM weights q JOIN weights d USING (term) WHERE q.id IN ({IDS}) GROUP BY ALL) QUALIFY rank <= 150
+    SELECT q.id AS query_id, d.id, sum(q.w * d.w)::BIGINT AS score FROM weights q JOIN weights d USING (term) WHERE q.id % {EVERY} = 0 GROUP BY ALL) QUALIFY rank <= 150
 )"""
 FUSED_SQL = f"""{DENSE_SQL}, {SPARSE_SQL}, channels AS (
   SELECT query_id, 'dense' AS channel, id, score::DOUBLE AS score, rank FROM dense UNION ALL SELECT query_id, 'sparse', id, score::DOUBLE, rank FROM sparse
@@ -63,7 +63,7 @@ def channels(t: Tables):
 
 @query(f"WITH {DENSE_SQL} SELECT * FROM dense")
 def dense_topk(t: Tables):
-    """Exact nearest vectors of three queries."""
+    """Exact nearest vectors of each query."""
     return dense(t).select("query_id", "id", "score", "rank")
 
 
@@ -130,14 +130,14 @@ def mmr_order(t: Tables):
     return search.mmr(pool, 0.4, 15).filter("position <= 15")
 
 
-@query(f"""WITH seeds AS (SELECT id, score FROM (WITH {DENSE_SQL} SELECT * FROM dense) WHERE query_id = 0 AND rank <= 3),
+@query(f"""WITH seeds AS (SELECT vec_id AS id, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id % {EVERY} = 0),
 near AS (SELECT s.id AS query_id, p.vec_id AS id, round({DOT.format(a='q.embedding', b='p.embedding')}, 6) AS score FROM seeds s JOIN embeddings q ON q.vec_id = s.id JOIN embeddings p ON p.vec_id <> s.id),
 two AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM near QUALIFY n <= 2)
 SELECT id, score, 'seed' AS source, NULL::DOUBLE AS similarity FROM seeds UNION ALL
 SELECT id, 0.0, 'neighbor', max(score) FROM two WHERE id NOT IN (SELECT id FROM seeds) GROUP BY id""")
 def recommend_neighbors(t: Tables):
-    """The best three points of a query, then the nearest two of each that are new."""
-    seeds = dense(t).filter("query_id = 0 AND rank <= 3").select("id", "score")
+    """The seeds, then the nearest two points of each that are new."""
+    seeds = vectors_of(t).select(F.col("query_id").alias("id"), F.lit(1.0).alias("score"))
     return search.recommend(t.points(), seeds, 2)
 
 
@@ -251,13 +251,14 @@ def eval_recall_mrr(t: Tables):
     return evaluation.metrics(evaluation.ranks(found, rare))
 
 
-@query(f"""WITH {FUSED_SQL}, one AS (SELECT id, rank FROM dense WHERE query_id = 0), two AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fused WHERE query_id = 0)
-SELECT label AS query_id, min(one.rank) AS "off", min(two.rank) AS "on", CASE WHEN coalesce(min(two.rank), 1e9) < coalesce(min(one.rank), 1e9) THEN 'better' WHEN coalesce(min(two.rank), 1e9) > coalesce(min(one.rank), 1e9) THEN 'worse' ELSE 'same' END AS delta
-FROM embeddings LEFT JOIN one ON one.id = vec_id LEFT JOIN two ON two.id = vec_id GROUP BY label""")
+@query(f"""WITH {FUSED_SQL}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused),
+one AS (SELECT query_id || ':' || label AS query_id, min(rank) AS "off" FROM dense JOIN embeddings ON id = vec_id GROUP BY 1), two AS (SELECT query_id || ':' || label AS query_id, min(rank) AS "on" FROM ranked JOIN embeddings ON id = vec_id GROUP BY 1)
+SELECT query_id, "off", "on", CASE WHEN coalesce("on", 1e9) < coalesce("off", 1e9) THEN 'better' WHEN coalesce("on", 1e9) > coalesce("off", 1e9) THEN 'worse' ELSE 'same' END AS delta FROM one FULL JOIN two USING (query_id)""")
 def eval_compare(t: Tables):
-    """The first rank of each category with and without fusion."""
-    labels = t.points().select("id", F.col("category").alias("query_id"))
-    one = dense(t).filter("query_id = 0").select("id", "rank")
-    two = search.top_k(search.rrf(channels(t)), 10**6, [F.desc("score"), F.asc("id")]).filter("query_id = 0").select("id", "rank")
-    first = lambda r: labels.join(r, "id", "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    return evaluation.compare(first(one), first(two)).select("query_id", "off", "on", "delta")
+    """The first rank of each category, for each query, with and without fusion."""
+    labels = t.points().select("id", "category")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))).cast("long")
+    fused = search.rrf(channels(t)).select("query_id", "id", best.alias("rank"))
+    name = F.concat_ws(":", F.col("query_id").cast("string"), F.col("category").cast("string")).alias("query_id")
+    first = lambda r: r.join(labels, "id").groupBy(name).agg(F.min("rank").alias("rank"))
+    return evaluation.compare(first(dense(t)), first(fused)).select("query_id", "off", "on", "delta")

@@ -21,24 +21,34 @@ def remote(t: Tables):
 
 
 def jobs(t: Tables):
-    return t.jobs().select("job_id", F.col("file_id").cast("string").alias("file_id"), F.col("file_id").alias("remote_id"), "status", (F.col("k") % 10).cast("string").alias("remote_modified"))
+    return _roles(t.jobs())
+
+
+def current(t: Tables):
+    """The latest job of each file."""
+    latest = t.jobs().groupBy("file_id").agg(F.max_by(F.struct("job_id", "status", "k"), F.struct("created_at", "job_id")).alias("j"))
+    return _roles(latest.select("file_id", "j.*"))
+
+
+def _roles(rows):
+    return rows.select("job_id", F.col("file_id").cast("string").alias("file_id"), F.col("file_id").alias("remote_id"), "status", (F.col("k") % 10).cast("string").alias("remote_modified"))
 
 
 REMOTE = "remote AS (SELECT doc_id AS id, 'doc_' || doc_id || CASE WHEN doc_id % 8 = 0 THEN '.exe' WHEN doc_id % 3 = 0 THEN '.PDF' ELSE '.txt' END AS name, n_chars AS size, (n_chars % 10)::VARCHAR AS modified FROM documents)"
-INDEXED = f"{JOBS}, indexed AS (SELECT job_id, file_id::VARCHAR AS file_id, file_id AS remote_id, status, (k % 10)::VARCHAR AS remote_modified FROM jobs)"
-DECIDED = f"""{INDEXED}, {REMOTE}, decided AS (
+LATEST = "latest AS (SELECT * FROM indexed QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY created_at DESC, job_id DESC) = 1)"
+INDEXED = f"{JOBS}, indexed AS (SELECT job_id, file_id::VARCHAR AS file_id, file_id AS remote_id, status, (k % 10)::VARCHAR AS remote_modified, created_at FROM jobs)"
+DECIDED = f"""{INDEXED}, {LATEST}, {REMOTE}, decided AS (
   SELECT r.*, CASE WHEN id % 8 = 0 THEN 'extension' WHEN size > 10000 THEN 'size' WHEN id % 50 = 7 THEN 'excluded'
     WHEN NOT ((contains(lower(name), 'doc_1') OR contains(lower(name), 'doc_2') OR contains(lower(name), 'doc_3')) AND regexp_matches(name, '^(?:doc_\\d+\\.)')) THEN 'include_rules'
     WHEN contains(lower(name), '99') AND regexp_matches(name, '^(?:doc_1)') THEN 'exclude_rules'
-    WHEN EXISTS (SELECT 1 FROM indexed i WHERE i.remote_id = r.id AND status IN ('PENDING', 'PROCESSING') AND job_id < 300) THEN 'in_flight'
-    WHEN EXISTS (SELECT 1 FROM indexed i WHERE i.remote_id = r.id AND status = 'COMPLETED' AND remote_modified = r.modified AND job_id < 300) THEN 'unchanged'
+    WHEN EXISTS (SELECT 1 FROM latest i WHERE i.remote_id = r.id AND status IN ('PENDING', 'PROCESSING')) THEN 'in_flight'
+    WHEN EXISTS (SELECT 1 FROM latest i WHERE i.remote_id = r.id AND status = 'COMPLETED' AND remote_modified = r.modified) THEN 'unchanged'
     ELSE 'included' END AS reason FROM remote r)"""
 
 
 def decided(t: Tables):
     out = remote(t).filter("id % 50 = 7").select(F.col("id").alias("remote_id"))
-    # the first jobs alone, so that not every file is in flight
-    return sync.admission(remote(t), jobs(t).filter("job_id < 300"), EXTENSIONS, INCLUDE, EXCLUDE, out, max_size=10_000)
+    return sync.admission(remote(t), current(t), EXTENSIONS, INCLUDE, EXCLUDE, out, max_size=10_000)
 
 
 @query(f"WITH {DECIDED} SELECT id, reason, reason = 'included' AS included FROM decided")
@@ -57,23 +67,26 @@ def sync_superseded(t: Tables):
     return sync.superseded_by_sync(remote(t), jobs(t)).groupBy("id", "file_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {INDEXED}, {REMOTE} SELECT job_id, remote_id FROM indexed WHERE remote_id NOT IN (SELECT id FROM remote WHERE id % 5 <> 0)")
+@query(f"WITH {INDEXED}, {REMOTE} SELECT job_id, remote_id FROM indexed WHERE remote_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
 def deleted_remote(t: Tables):
-    """Jobs whose remote file is gone."""
-    return sync.deleted_remotely(jobs(t), remote(t).filter("id % 5 <> 0")).select("job_id", "remote_id")
+    """Jobs whose remote file is gone: the listing has no file in English."""
+    listing = t.read("documents").filter("lang <> 'en'").select(F.col("doc_id").alias("id"))
+    return sync.deleted_remotely(jobs(t), listing).select("job_id", "remote_id")
 
 
-@query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderstatus, [o_custkey % 400, (o_custkey + 1) % 400] AS f FROM orders WHERE o_orderkey < 600), f AS (SELECT DISTINCT job_id, unnest(f) AS folder FROM j WHERE o_orderstatus = 'F')
-SELECT DISTINCT x.job_id AS a, y.job_id AS b FROM f x JOIN f y ON x.folder = y.folder AND x.job_id < y.job_id""")
+@query("""WITH j AS (SELECT o_orderkey AS job_id, list_sort([o_custkey % 400, (o_custkey + 1) % 400]) AS folders FROM orders WHERE o_orderstatus = 'F'),
+c AS (SELECT folders, min(job_id) AS class_id, count(*) AS n FROM j GROUP BY folders), f AS (SELECT class_id, n, unnest(folders) AS folder FROM c),
+p AS (SELECT DISTINCT x.class_id, y.class_id AS other, y.n FROM f x JOIN f y USING (folder)), l AS (SELECT class_id, (sum(n) - 1)::BIGINT AS links FROM p GROUP BY class_id)
+SELECT job_id, class_id, links FROM j JOIN c USING (folders) JOIN l USING (class_id)""")
 def sync_overlap(t: Tables):
-    """Completed sync jobs that share a folder; the first six hundred orders play the jobs."""
-    rows = t.read("orders").filter("o_orderkey < 600")
-    rows = rows.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"), F.array(F.col("o_custkey") % 400, (F.col("o_custkey") + 1) % 400).alias("folder_ids"))
+    """Completed sync jobs with the number of others that share a folder; orders play the jobs."""
+    folders = F.array(F.col("o_custkey") % 400, (F.col("o_custkey") + 1) % 400)
+    rows = t.read("orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"), folders.alias("folder_ids"))
     return sync.overlapping_jobs(rows)
 
 
-@query(f"WITH {JOBS} SELECT c_custkey AS sync_job_id, CASE WHEN c_custkey IN (SELECT file_id FROM jobs WHERE status IN ('PENDING', 'PROCESSING') AND k < 20) THEN 'PROCESSING' ELSE 'COMPLETED' END AS status FROM customer")
+@query(f"WITH {JOBS} SELECT c_custkey AS sync_job_id, CASE WHEN c_custkey IN (SELECT file_id FROM jobs WHERE status IN ('PENDING', 'PROCESSING')) THEN 'PROCESSING' ELSE 'COMPLETED' END AS status FROM customer")
 def sync_rollup(t: Tables):
     """Sync jobs are in process while one of their files is."""
-    children = t.jobs().filter("k < 20").select(F.col("file_id").alias("sync_job_id"), "status")
+    children = t.jobs().select(F.col("file_id").alias("sync_job_id"), "status")
     return sync.rolled_up(t.read("customer").select(F.col("c_custkey").alias("sync_job_id"), F.lit("COMPLETED").alias("status")), children)

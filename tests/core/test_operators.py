@@ -254,6 +254,17 @@ def test_search_end_to_end(spark):
     more = plan.augment(first, points, plan.SearchRequest(graph_expand=True, terms=["cat"]), mentions)
     assert {r.id for r in more.collect()} == {0, 2, 4}
     assert plan.augment(first, points, plan.SearchRequest()) is first
+    # each query has its own seeds, and all of them the lexical rows
+    two = spark.createDataFrame([(7, 0, 1), (8, 3, 1)], "query_id long, id long, rank long")
+    linked = spark.createDataFrame([(0, "e"), (4, "e"), (3, "f"), (1, "f")], "chunk_id long, entity_id string")
+    both = plan.augment(two, points, plan.SearchRequest(graph_expand=True, terms=["cat"]), linked, spark.createDataFrame([(3, 4)], "src long, dst long")).collect()
+    assert {(r.query_id, r.id) for r in both} == {(7, 0), (7, 4), (7, 2), (8, 3), (8, 1), (8, 4), (8, 2)}
+
+
+def test_overlapping_jobs(spark):
+    rows = [(1, "COMPLETED", ["a", "b"]), (2, "COMPLETED", ["b", "a", "a"]), (3, "COMPLETED", ["b", "c"]), (4, "COMPLETED", ["c"]), (5, "FAILED", ["c"]), (6, "COMPLETED", []), (7, "COMPLETED", ["z"])]
+    got = {tuple(r) for r in sync.overlapping_jobs(spark.createDataFrame(rows, "job_id long, status string, folder_ids array<string>")).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 3, 3), (4, 4, 1), (7, 7, 0)}
 
 
 def test_recommend(spark):
