@@ -1,13 +1,15 @@
 """License scans by template markup compiled to token automata.
 
 A template is a license text with ``<<opt>> ... <<end>>`` around wording that
-may be missing and ``<<var n>>`` where up to n words of any kind may stand. It
-is compiled to a nondeterministic automaton over words and run with states
-determinised as texts need them. A place matches if every mandatory word stands
-there in order, with nothing else between but what the markup allows.
+may be missing, ``<<var>>`` where words of any kind and number may stand, and
+``<<var n>>`` where up to n may. All templates are compiled to one nondeterministic
+automaton over words, which reads a text once. A place matches if every mandatory
+word stands there in order, with nothing else between but what the markup allows.
 
 Defined results: a null or empty text has no words and no labels; repeated
-places count each; a text may carry several labels; texts are scanned whole.
+places count each; where two starts of a template lead to the same place of it,
+the later one counts, so a text is read in time in proportion to its words; a text
+may carry several labels; texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ BASE_PHRASES = {
     "reserved": "all rights reserved",
 }
 
+_AS_IS = """
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties
+of merchantability fitness for a particular purpose and noninfringement in no event shall <<var>> be liable for any claim
+damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+software or the use or other dealings in the software
+"""
 _MIT_GRANT = """
 permission is hereby granted free of charge to any person obtaining a copy of this software and associated
 documentation files the software to deal in the software without restriction including without limitation the rights
@@ -39,6 +47,12 @@ _ISC_GRANT = """
 permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby
 granted provided that the above copyright notice and this permission notice appear in all copies
 """
+_ISC_AS_IS = """
+the software is provided as is and <<var>> disclaims all warranties with regard to this software including all implied
+warranties of merchantability and fitness in no event shall <<var>> be liable for any special direct indirect or
+consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+negligence or other tortious action arising out of or in connection with the use or performance of this software
+"""
 _BSD_TWO = """
 redistribution and use in source and binary forms with or without modification are permitted provided that the following
 conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of
@@ -46,17 +60,60 @@ conditions and the following disclaimer <<opt>>2<<end>> redistributions in binar
 notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the
 distribution
 """
-_BSD_THREE = _BSD_TWO + """
-<<opt>>3<<end>> neither the name of <<var 12>> nor the names of <<opt>>its<<end>> <<var 4>> contributors may be used to
+_BSD_NAME = """
+<<opt>>3<<end>> neither the name of <<var>> nor the names of <<opt>>its<<end>> <<var>> contributors may be used to
 endorse or promote products derived from this software without specific prior written permission
 """
+_BSD_AS_IS = """
+this software is provided by <<var>> as is and any express or implied warranties including but not limited to the implied
+warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var>> be liable for
+any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use
+of this software even if advised of the possibility of such damage
+"""
+_APACHE = """
+licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+you may obtain a copy of the license at <<opt>>http<<end>> <<opt>>https<<end>> www apache org licenses license 2 0
+<<opt>>unless required by applicable law or agreed to in writing software distributed under the license is distributed on an
+as is basis without warranties or conditions of any kind either express or implied see the license for the specific language
+governing permissions and limitations under the license<<end>>
+"""
+_GPL = """
+is free software you can redistribute it and or modify it under the terms of the gnu general public license as
+published by the free software foundation either version %d of the license or at your option any later version <<var 12>>
+is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+merchantability or fitness for a particular purpose see the gnu general public license for more details
+"""
+_ZLIB = """
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
+damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this
+software must not be misrepresented you must not claim that you wrote the original software if you use this software in a
+product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must
+be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or
+altered from any source distribution
+"""
+_UNLICENSE = """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
+sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non
+commercial and by any means
+"""
 
-#: label: (score, template). Full texts score 1, notices that name a license 0.8.
+#: label: (score, template). Full texts score 1, a grant without its disclaimer 0.9, notices that name a license 0.8.
 TEMPLATES = {
-    "mit": (1.0, _MIT_GRANT),
-    "isc": (1.0, _ISC_GRANT),
-    "bsd-2-clause": (1.0, _BSD_TWO),
-    "bsd-3-clause": (1.0, _BSD_THREE),
+    "mit": (1.0, _MIT_GRANT + _AS_IS),
+    "isc": (1.0, _ISC_GRANT + _ISC_AS_IS),
+    "bsd-2-clause": (1.0, _BSD_TWO + _BSD_AS_IS),
+    "bsd-3-clause": (1.0, _BSD_TWO + _BSD_NAME + _BSD_AS_IS),
+    "apache-2.0-header": (1.0, _APACHE),
+    "gpl-2.0-header": (1.0, _GPL.replace("%d", "2")),
+    "gpl-3.0-header": (1.0, _GPL.replace("%d", "3")),
+    "zlib": (1.0, _ZLIB),
+    "unlicense": (1.0, _UNLICENSE),
+    "mit-grant": (0.9, _MIT_GRANT),
+    "isc-grant": (0.9, _ISC_GRANT),
+    "bsd-conditions": (0.9, _BSD_TWO),
     "mit-notice": (0.8, "<<opt>>released<<end>> <<opt>>licensed<<end>> <<opt>>distributed<<end>> under the <<opt>>terms of the<<end>> mit license"),
     "apache-2.0": (0.8, "licensed under the apache license <<opt>>version<<end>> 2 0 <<opt>>the license you may not use this file except in compliance with the license<<end>>"),
     "gpl-2.0": (0.8, "gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 2 <<opt>>of the license<<end>> <<opt>>or at your option any later version<<end>>"),
@@ -70,7 +127,7 @@ TEMPLATES = {
 }
 BASE_SCORE = 0.5
 
-_TAG = re.compile(r"<<(opt|end|var \d+)>>")
+_TAG = re.compile(r"<<(opt|end|var(?: \d+)?)>>")
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -79,19 +136,24 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class TokenAutomaton:
-    """One automaton for all templates; states are sets of template positions."""
+    """One automaton for all templates; its states are places in them."""
 
     def __init__(self, templates: dict[str, str]):
         self.moves: list[dict[bytes, list[int]]] = []
         self.any: list[list[int]] = []
         self.skips: list[list[int]] = []
         self.accepts: dict[int, str] = {}
-        self.starts: dict[bytes, list[int]] = {}
         self.anchors: set[bytes] = set()
-        self._next: dict[tuple[frozenset, bytes | None], frozenset] = {}
-        for label, template in templates.items():
-            self._compile(label, template)
-        self.vocabulary = {w for m in self.moves for w in m}
+        firsts = [self._compile(label, template) for label, template in templates.items()]
+        # where a word leads from a state, skips included
+        closed = [self._closed(s) for s in range(len(self.moves))]
+        self.next = [{w: self._joined(closed, to) for w, to in m.items()} for m in self.moves]
+        self.other = [self._joined(closed, to) for to in self.any]
+        self.starts: dict[bytes, tuple[int, ...]] = {}
+        for first in firsts:
+            for state in closed[first]:
+                for w, to in self.next[state].items():
+                    self.starts[w] = tuple({*self.starts.get(w, ()), *to})
 
     def _state(self) -> int:
         self.moves.append({})
@@ -99,7 +161,12 @@ class TokenAutomaton:
         self.skips.append([])
         return len(self.moves) - 1
 
-    def _compile(self, label: str, template: str) -> None:
+    def _skip(self, at: int) -> int:
+        new = self._state()
+        self.skips[at].append(new)
+        return new
+
+    def _compile(self, label: str, template: str) -> int:
         at = first = self._state()
         opened: list[int] = []
         mandatory: list[bytes] = []
@@ -112,12 +179,15 @@ class TokenAutomaton:
                     if not opened:
                         mandatory.append(w)
             elif piece == "opt":
+                at = self._skip(at)
                 opened.append(at)
             elif piece == "end":
                 self.skips[opened.pop()].append(at)
-                new = self._state()
-                self.skips[at].append(new)
-                at = new
+                at = self._skip(at)
+            elif piece == "var":
+                at = self._skip(at)
+                self.any[at].append(at)
+                at = self._skip(at)
             else:
                 end = self._state()
                 for _ in range(int(piece.split()[1])):
@@ -131,45 +201,44 @@ class TokenAutomaton:
             raise ValueError(f"template {label}: unclosed region or no mandatory word")
         self.accepts[at] = label
         self.anchors.add(max(mandatory, key=len))
-        for state in self._closed({first}):
-            for w in self.moves[state]:
-                self.starts.setdefault(w, []).append(first)
+        return first
 
-    def _closed(self, states) -> frozenset:
-        seen, todo = set(states), list(states)
+    def _closed(self, state: int) -> set[int]:
+        seen, todo = {state}, [state]
         while todo:
             for s in self.skips[todo.pop()]:
                 if s not in seen:
                     seen.add(s)
                     todo.append(s)
-        return frozenset(seen)
+        return seen
 
-    def step(self, states: frozenset, word: bytes) -> frozenset:
-        key = (states, word if word in self.vocabulary else None)
-        found = self._next.get(key)
-        if found is None:
-            out = {t for s in states for t in (*self.moves[s].get(word, ()), *self.any[s])}
-            found = self._next[key] = self._closed(out)
-        return found
+    @staticmethod
+    def _joined(closed: list[set[int]], states: list[int]) -> tuple[int, ...]:
+        return tuple(sorted(set().union(*(closed[s] for s in states))))
 
     def may_match(self, data: bytes) -> bool:
         """Whether translated text holds some template's longest mandatory word."""
         return any(a in data for a in self.anchors)
 
     def places(self, words: list[bytes]) -> list[tuple[str, int, int]]:
-        """(label, first word, past-the-last word), the longest of each label and start."""
+        """(label, first word, past-the-last word), the longest of each label and start, in one pass."""
         found: dict[tuple[str, int], int] = {}
-        starts = self.starts
+        starts, accepts = self.starts, self.accepts
+        active: dict[int, int] = {}  # state: the latest start that leads there
         for i, w in enumerate(words):
-            if w not in starts:
+            if not active and w not in starts:
                 continue
-            states, j = self._closed(starts[w]), i
-            while states and j < len(words):
-                states = self.step(states, words[j])
-                j += 1
-                for s in states:
-                    if s in self.accepts:
-                        found[self.accepts[s], i] = j
+            now: dict[int, int] = {}
+            for state, start in active.items():
+                for to in (*self.next[state].get(w, ()), *self.other[state]):
+                    if now.get(to, -1) < start:
+                        now[to] = start
+            for to in starts.get(w, ()):
+                now[to] = i
+            for state, start in now.items():
+                if state in accepts:
+                    found[accepts[state], start] = i + 1
+            active = now
         return [(label, i, j) for (label, i), j in found.items()]
 
 
