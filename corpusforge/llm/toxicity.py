@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Lexical transducers rewrite words as classes: insults by a trie of prefixes whose
-weights are learned from labelled documents, threats, targets, negations and
-reported speech by fixed words. Small machines over those classes are composed,
-and the composition reads one clause at a time: an insult counts as direct,
-negated or reported by the state in which it stands, and more with a target in
-its clause. A logistic model of a document's clauses gives the score.
+A lexical transducer reads words letter by letter and writes classes: insults with
+weights, which are learned from labelled documents as prefixes and whole words, and
+threats, targets, negations and reported speech by fixed words. Small machines over
+those classes are composed, and the composition reads one clause at a time. An insult
+counts as direct, negated or reported by the state in which it stands, and more with a
+target in its clause. A threat is a threatening word and a target within a few words,
+either first, and counts unless it is negated or reported. A logistic model of a
+document's clauses gives the score.
 
 Only labelled documents outside the held-out quarter are learned from, at most
 ``MOST_TOXIC`` and ``MOST_CLEAN`` of them, picked by hash; the model has at most
@@ -13,7 +15,7 @@ Only labelled documents outside the held-out quarter are learned from, at most
 
 Defined results: null and empty texts have the score of a text without matches;
 without any usable label every score is 0; equal texts have equal scores; a
-document with several labels is toxic if one says so.
+document with several labels is toxic if one says so; texts are read whole.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ LEAST_DOCS, LEAST_G2 = 3, 20.0
 THRESHOLD = 0.3
 #: Words after a negation that it covers.
 NEGATION_REACH = 3
+#: Words within which a threat and its target stand.
+THREAT_REACH = 4
 
 # Words of each class.
 THREATS = "kill killing murder hurt destroy beat shoot stab burn hang die töten umbringen vernichten erschießen tuer détruire frapper brûler matar golpear destruir quemar".split()
@@ -53,6 +57,39 @@ PREFIX_SIZES = range(3, 10)
 # --- transducers -----------------------------------------------------------
 
 
+class Lexicon:
+    """A transducer from letters to a class and weight: a trie with outputs at its states.
+
+    A key that ends with ``$`` is written for that word alone, any other for all words
+    that begin with it; the deepest output that a word reaches counts.
+    """
+
+    def __init__(self, outputs: dict[str, tuple[int, float]]):
+        self.next: list[dict[str, int]] = [{}]
+        self.out: list[tuple[int, float] | None] = [None]
+        for key, value in outputs.items():
+            at = 0
+            for c in key:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.out.append(None)
+                at = self.next[at][c]
+            self.out[at] = value
+
+    def read(self, word: str) -> tuple[int, float]:
+        at, found = 0, None
+        for c in word:
+            at = self.next[at].get(c, -1)
+            if at < 0:
+                break
+            found = self.out[at] or found
+        else:
+            end = self.next[at].get("$")
+            found = (end is not None and self.out[end]) or found
+        return found or (OTHER, 0.0)
+
+
 class Machine:
     """A deterministic machine over word classes; ``move(state, class)`` is tabulated."""
 
@@ -81,11 +118,22 @@ def targeted() -> Machine:
     return Machine(False, (False, True), lambda s, c: s or c == TARGET)
 
 
-def threatened() -> Machine:
-    return Machine(False, (False, True), lambda s, c: s or c == THREAT)
+def threatening() -> Machine:
+    """(what was seen, words it still waits): a threat and a target, either first, make it done."""
+    idle, done = (OTHER, 0), (INSULT, 0)
+    states = [idle, done, *((kind, k) for kind in (THREAT, TARGET) for k in range(1, THREAT_REACH + 1))]
+
+    def move(state, c):
+        kind, left = state
+        if c in (THREAT, TARGET):
+            return done if {kind, c} == {THREAT, TARGET} else (c, THREAT_REACH)
+        return (kind, left - 1) if left > 1 else idle
 
+    return Machine(idle, states, move)
 
-GRAMMAR = negation() @ reported() @ targeted() @ threatened()
+
+THREATENED = (INSULT, 0)
+GRAMMAR = negation() @ reported() @ targeted() @ threatening()
 
 
 @dataclass
@@ -98,18 +146,18 @@ class Model:
     scale: list[float] = field(default_factory=list)
 
     def __post_init__(self):
-        self.classes = {w: (k, 1.0) for k, words in ((TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS)) for w in words}
-        self.heads = {p[:3] for p in self.prefixes}
-        self.known: dict[str, float] = {}
+        fixed = {w + "$": (k, 0.0) for k, words in ((TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS)) for w in words}
+        self.fixed = Lexicon(fixed)
+        self.insults = Lexicon({p: (INSULT, x) for p, x in self.prefixes.items()})
+        self.known: dict[str, tuple[int, float]] = {}
 
-    def insult(self, word: str) -> float:
-        """The weight at the deepest state of the prefix trie that accepts the word."""
-        if word[:3] not in self.heads:
-            return 0.0
+    def read(self, word: str) -> tuple[int, float]:
+        """The class and weight of a word; what was learned goes before the fixed words."""
         found = self.known.get(word)
         if found is None:
-            whole = self.prefixes.get(word + "$")
-            found = whole if whole is not None else next((self.prefixes[word[:n]] for n in reversed(PREFIX_SIZES) if n <= len(word) and word[:n] in self.prefixes), 0.0)
+            found = self.insults.read(word)
+            if found[1] <= 0:
+                found = self.fixed.read(word)
             if len(self.known) > 50_000:
                 self.known.clear()
             self.known[word] = found
@@ -118,17 +166,18 @@ class Model:
     def features(self, text: str) -> list[float]:
         low = text.lower()
         words = _WORD.findall(low)
-        hits = {w: x for w in set(words) if (x := self.insult(w)) > 0}
+        read = {w: found for w in set(words) if (found := self.read(w))[0] != OTHER}
+        hits = sum(kind == INSULT for kind, _ in read.values())
         out = Counter()
-        if hits or any(w in self.classes and self.classes[w][0] == THREAT for w in set(words)):
+        if hits or any(kind == THREAT for kind, _ in read.values()):
             for clause in _CLAUSE.split(low):
-                self._clause(_WORD.findall(clause), hits, out)
+                self._clause(_WORD.findall(clause), read, out)
         total = out["direct"] + out["negated"] + out["reported"]
         per = 100 / (len(words) + 20)
         return [
             np.log1p(total),
             np.log1p(per * total),
-            np.log1p(len(hits)),
+            np.log1p(hits),
             np.log1p(out["count"]),
             np.log1p(per * out["count"]),
             out["negated"] / (total + 1),
@@ -137,21 +186,19 @@ class Model:
             np.log1p(out["threats"]),
         ]
 
-    def _clause(self, words: list[str], hits: dict[str, float], out: Counter) -> None:
+    def _clause(self, words: list[str], read: dict[str, tuple[int, float]], out: Counter) -> None:
         state, own = GRAMMAR.start, Counter()
         for w in words:
-            x = hits.get(w, 0.0)
-            kind = INSULT if x else self.classes.get(w, (OTHER,))[0]
+            kind, weight = read.get(w, (OTHER, 0.0))
             state = GRAMMAR.table[state, kind]
-            if x:
-                ((covered, told), _), _ = state
-                own["negated" if covered else "reported" if told else "direct"] += x
+            ((covered, told), _), threat = state
+            if kind == INSULT:
+                own["negated" if covered else "reported" if told else "direct"] += weight
                 own["count"] += 1
-        (_, target), threat = state
-        if target:
+            if threat == THREATENED and not covered and not told:
+                own["threats"] += 1
+        if state[0][1]:  # a target in the clause
             own["targeted"] = own["direct"]
-        if threat and target:
-            own["threats"] = 1
         out.update(own)
 
     def score(self, text: str) -> float:
