@@ -35,7 +35,7 @@ from corpusforge.llm import common, tokens
 
 BYTE_50K = "byte_bpe_50k.json"
 #: Characters of a chunk, and of the overlap of two; texts of more bytes are spliced.
-CHUNK, OVERLAP = 8192, 128
+CHUNK, OVERLAP = 16_384, 128
 #: No white space to Python, but to some libraries.
 _DOUBTFUL = {"\u180e", "\u200b", "\ufeff"}
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -68,7 +69,7 @@ def test_labels_of_held_out_rows_are_not_learned(spark, folder):
     flipped = labels.selectExpr("doc_id", "IF(crc32(CAST(doc_id AS STRING)) % 4 = 2, 1 - toxic, toxic) AS toxic")
     one, two = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
     assert one.prefixes == two.prefixes and np.allclose(one.weights, two.weights)
-    assert one.insult("grubbling") > 0 and one.insult("idiot") > 0 and not one.insult("thand")
+    assert one.read("grubbling")[1] > 0 and one.read("idiot")[1] > 0 and not one.read("thand")[1]
 
 
 def test_grammar_contexts():
@@ -79,7 +80,73 @@ def test_grammar_contexts():
     assert read("not today. idiot")["negated"] == 0 and read("she said he is an idiot")["reported"] == 0.8
     assert model.features("you idiot")[7] > 0 and model.features("an idiot")[7] == 0
     assert model.features("idiots")[0] == 0 and model.features("scummy")[0] > 0
-    assert model.features("I will kill you")[8] > 0
+    threats = lambda t: round(np.expm1(model.features(t)[8]))
+    assert threats("I will kill you") == 1 and threats("you will burn") == 1 and threats("kill you. hurt them") == 2
+    assert threats("I will not kill you") == 0 and threats("he said kill you") == 0
+    assert threats("kill time with one two three four you") == 0 and threats("kill. you") == 0
+
+
+def plain_features(prefixes, text):
+    """The features by rules over lists of words, without machines."""
+
+    def insult(w):
+        best = prefixes.get(w + "$")
+        for n in range(len(w), 0, -1):
+            best = prefixes.get(w[:n]) if best is None else best
+        return best or 0.0
+
+    kind = lambda w: next((k for k, ws in (("T", toxicity.TARGETS), ("S", toxicity.REPORTS), ("N", toxicity.NEGATIONS), ("K", toxicity.THREATS)) if w in ws), "")
+    low = (text or "").lower()
+    every = re.findall(r"[^\W\d_]+", low)
+    direct = negated = told = targeted = count = threats = 0
+    for clause in re.split(r"[.!?;\n]+", low):
+        words = re.findall(r"[^\W\d_]+", clause)
+        kinds = ["I" if insult(w) > 0 else kind(w) for w in words]
+        here = 0
+        waiting = None
+        for i, (w, k) in enumerate(zip(words, kinds)):
+            # targets don't use up the reach of a negation
+            since = [j for j in range(i) if kinds[j] == "N"]
+            covered = k == "N" or bool(since) and sum(x != "T" for x in kinds[since[-1] + 1 : i + 1]) < 3
+            speech = "S" in kinds[:i]
+            if k == "I":
+                count += 1
+                if covered:
+                    negated += insult(w)
+                elif speech:
+                    told += insult(w)
+                else:
+                    here += insult(w)
+            if k in ("K", "T"):
+                if waiting and waiting[0] != k and i - waiting[1] <= 4:
+                    threats += not covered and not speech
+                    waiting = None
+                else:
+                    waiting = (k, i)
+        direct += here
+        if "T" in kinds:
+            targeted += here
+    total = direct + negated + told
+    per = 100 / (len(every) + 20)
+    log = np.log1p
+    return [log(total), log(per * total), log(len({w for w in every if insult(w) > 0})), log(count), log(per * count), negated / (total + 1), told / (total + 1), targeted / (total + 1), log(threats)]
+
+
+def test_scores_against_plain_rules(spark):
+    r = random.Random(8)
+    prefixes = {"idiot$": 4.0, "scum": 3.0, "scumbag": 5.0, "sc": 0.5, "not": 0.0, "you$": 0.0}
+    words = ["idiot", "idiots", "scummy", "scumbags", "scare", "you", "du", "not", "nie", "said", "dit", "kill", "töten", "die", "plain", "word", "Ünder", ".", "!", ";", "\n", "x1"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["", "long scum you kill " * 20_000]
+    weights = [0.1, 0.5, -0.2, 0.3, 0.4, 0.1, -0.3, 0.2, 0.6, 0.7]
+    model = toxicity.Model(prefixes, weights, [0.5] * 9, [2.0] * 9)
+    want = []
+    for t in texts:
+        x = plain_features(prefixes, t)
+        assert np.allclose(model.features(t), x), t
+        want.append(1 / (1 + np.exp(-(weights[0] + sum(w * (v - 0.5) / 2.0 for w, v in zip(weights[1:], x))))))
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    got = [x.toxicity for x in toxicity.score_toxicity(docs, model, keep=["doc_id"]).orderBy("doc_id").collect()]
+    assert np.allclose(got, [*want, want[texts.index("")]])
 
 
 def test_no_labels_and_no_rows(spark):

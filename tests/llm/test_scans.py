@@ -54,14 +54,48 @@ def test_license_markup():
     assert ends("a b d e") == [(0, 4)]
     assert ends("a b c d q r e") == [(0, 7)]
     assert ends("a c d e") == [] and ends("a d q r s e") == [] and ends("a b c q d e") == []
-    mit = licenses._MIT_GRANT
+    mit = licenses.TEMPLATES["mit"][1].replace("<<var>>", "the authors or copyright holders")
     full = re.sub("<<opt>>.*?<<end>>", "", mit).encode()
     assert ("mit", 0) in [p[:2] for p in licenses.scan(full)[2]]
     assert not [p for p in licenses.scan(full.replace(b"hereby", b"never"))[2] if p[0] == "mit"]
+    # a changed disclaimer leaves the grant alone
+    assert {p[0] for p in licenses.scan(full.replace(b"tort", b"court"))[2]} == {"mit-grant"}
+    far = licenses.TokenAutomaton({"y": "a <<var>> b <<opt>>c<<end>> d"})
+    assert far.places(b"a b d".split()) == [("y", 0, 3)]
+    assert far.places(b"x a q q q q b q b c d q".split()) == [("y", 1, 11)]
+    assert far.places(b"a q a q b d".split()) == [("y", 2, 6)]  # the later start
+    assert far.places([b"a"] * 300_000) == []
     with pytest.raises(ValueError):
         licenses.TokenAutomaton({"x": "<<opt>>only optional<<end>>"})
 
 
+def template_regex(template):
+    """A template as a regular expression over words that each end with a space."""
+    out = []
+    for i, piece in enumerate(licenses._TAG.split(template)):
+        if i % 2 == 0:
+            out += [re.escape(w) + " " for w in piece.split()]
+        else:
+            out.append({"opt": "(?:", "end": ")?", "var": r"(?:\S+ )*"}.get(piece) or r"(?:\S+ ){0,%s}" % piece.split()[1])
+    return re.compile("".join(out))
+
+
+def test_templates_against_regular_expressions():
+    r = random.Random(9)
+    templates = {"p": "a <<opt>>b <<opt>>c<<end>><<end>> d <<var 2>> e", "q": "b <<var>> c a", "r": "<<opt>>c<<end>> a a <<opt>>b<<end>>"}
+    machine = licenses.TokenAutomaton(templates)
+    for _ in range(3000):
+        words = [r.choice("abcdeq") for _ in range(r.randint(0, 14))]
+        text = "".join(w + " " for w in words)
+        got = {}
+        for label, i, j in machine.places([w.encode() for w in words]):
+            assert template_regex(templates[label]).fullmatch("".join(w + " " for w in words[i:j])), (label, words, i, j)
+            got.setdefault(label, set()).add(i)
+        for label, template in templates.items():
+            # labels are those that occur anywhere
+            assert (label in got) == bool(re.search(r"(?:^|(?<= ))" + template_regex(template).pattern, text)), (label, words)
+
+
 def plain_spans(text):
     text, found = text or "", []
     letters = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password")
