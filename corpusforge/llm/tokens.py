@@ -139,7 +139,7 @@ class UnitEncoder(PieceEncoder):
 
     LONG, TOGETHER = 200, 2000
 
-    def __init__(self, model, most: int = 250 << 20, piece: int = PIECE_BYTES):
+    def __init__(self, model, most: int = 150 << 20, piece: int = PIECE_BYTES):
         super().__init__(model, piece)
         self.most, self.size, self.ids = most, 0, {}
         back = {c: b for b, c in enumerate(byte_characters())}
