@@ -7,12 +7,12 @@ of 5 bins find a pair of likeness 0.85 but for a chance of 4e-7, and one of 0.80
 but for 5e-5.
 
 Texts of equal words are one class, so copies never make pairs. Nor does a bucket
-of a band form all its pairs at once: its classes are compared with hubs, those
-with the smallest share of shingles that no other candidate has. Those near a hub
-(0.7 for a threshold of 0.85) are settled by it, and what is left of the bucket gets
-twice as many hubs until nothing is; links grow to components. What remains are
-pairs of different components, of which one is settled by a hub h that the other is
-within 0.55 of, as 1 - likeness is a metric.
+of a band form all its pairs: its classes are compared with a hub, the class with
+the smallest share of shingles that no other candidate has. Those near the hub
+(0.7 for a threshold of 0.85) are settled by it, the rest of the bucket gets another
+hub, three times in all, and links grow to components. What is left are pairs of
+different components: those of classes that no hub settled, and those of which one is
+settled by a hub h that the other is within 0.55 of, as 1 - likeness is a metric.
 If x and y hold i and j shingles of h and share e others, they share at most
 min(i, j) + e; so they are found by a range of (i, j) alone, or by the shingles
 outside of h that both have, and the bound must reach the threshold before their
@@ -41,6 +41,8 @@ COORDINATES, ROWS = 125, 5
 THRESHOLD = (85, 100)
 #: Likeness to a hub that makes a class one of the hub's members; ``settling`` follows from it.
 MEMBER = (55, 100)
+#: Hubs of one bucket before the pairs of different components are formed of what is left.
+ROUNDS = 3
 #: Links of one node, or rows of one label, that a task joins.
 SPREAD = 1000
 
@@ -170,7 +172,7 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.select("a", "b", size("sa").alias("n"), size("sb").alias("m"), size(F.array_intersect("sa", "sb")).alias("i"))
 
 
-def _remaining(settled: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, q: tuple[int, int], folder: str) -> DataFrame:
+def _remaining(settled: DataFrame, members: DataFrame, open_: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, q: tuple[int, int], folder: str) -> DataFrame:
     """Pairs (a, b) of different components that may still be alike enough."""
     known = common.materialise(nodes.join(labels, "id"), "known", folder)
     place = lambda t, name: common.materialise(t.join(known, "id").select("hub", "id", "i", "n", "cap", "label"), name, folder)
@@ -188,17 +190,15 @@ def _remaining(settled: DataFrame, members: DataFrame, nodes: DataFrame, labels:
     also = one.alias("x").join(two.alias("y").hint("merge"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.h") == F.col("y.h")) & apart)
     counted = also.groupBy(F.col("x.hub"), *ends, least.alias("least"), (sizes[0] + sizes[1]).alias("sizes")).agg(F.countDistinct("x.h").alias("e"))
     beyond = counted.filter(_reaches(F.col("least") + F.col("e"), F.col("sizes"), F.lit(0), q)).select("a", "b")
-    return common.materialise(within.union(beyond).distinct(), "pairs", folder)
 
+    last = common.materialise(open_.join(known.select("id", "label"), "id").select("key", "id", "n", "cap", "label"), "last", folder)
+    alone = last.alias("x").join(last.alias("y").hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & apart).select(*ends)
+    return common.materialise(within.union(beyond).union(alone).distinct(), "pairs", folder)
 
-def _with_hubs(open_: DataFrame, slots: int, folder: str) -> DataFrame:
-    """Open rows with the hubs of their bucket: at most one for each slot that classes are dealt into.
 
-    Rows that are alone in their bucket are left out.
-    """
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots)) if slots > 1 else F.lit(0)
-    best = open_.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("share", "id")).alias("hub"), F.count("*").alias("c"))
-    hubs = best.groupBy("key").agg(F.collect_list("hub.id").alias("hubs"), F.sum("c").alias("c")).filter("c > 1").select("key", "hubs")
+def _with_hub(open_: DataFrame, folder: str) -> DataFrame:
+    """Open rows with the hub of their bucket; rows that are alone in theirs are left out."""
+    hubs = open_.groupBy("key").agg(F.min(F.struct("share", "id")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("hub.id").alias("hub"))
     return common.materialise(open_.join(common.materialise(hubs, "hubs", folder), "key"), "faced", folder)
 
 
@@ -236,30 +236,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     nodes = save(sized.filter(F.col("cap") * den >= F.col("n") * num), "nodes")
 
     open_ = save(members.join(nodes, "id"), "open")
-    compared, slots = [], 1
-    while True:
-        faced = _with_hubs(open_, slots, folder)
-        if faced.isEmpty():
-            break
-        against = faced.select("id", F.explode("hubs").alias("hub")).filter("id != hub")
-        pairs = save(against.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    compared = []
+    for _ in range(ROUNDS):
+        faced = _with_hub(open_, folder)
+        pairs = save(faced.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
         sim = save(_shared(pairs, sets).distinct(), "compared")
         compared.append(sim)
-        near = sim.filter(_reaches(F.col("i"), F.col("n"), F.col("m"), settled)).groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))
-        left = faced.filter(~F.array_contains("hubs", F.col("id"))).join(near, "id", "left")
-        open_ = save(left.filter(F.col("near").isNull() | ~F.arrays_overlap("hubs", "near")).drop("hubs", "near"), "open")
-        slots *= 2
-
-    none = df.sparkSession.createDataFrame([], "a long, b long, n long, m long, i long")
-    each = none
-    for sim in compared:
+        near = sim.filter(_reaches(F.col("i"), F.col("n"), F.col("m"), settled)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+        open_ = save(faced.filter("id != hub").join(near, ["id", "hub"], "left_anti").drop("hub"), "open")
+
+    each = compared[0]
+    for sim in compared[1:]:
         each = each.union(sim)
     each = save(each.distinct(), "compared")
     alike = lambda q: _reaches(F.col("i"), F.col("n"), F.col("m"), q)
     edges = each.filter(alike(threshold)).select("a", "b")
     labels = components(nodes, edges, folder)
     of_hub = lambda q: each.filter(alike(q)).select(F.col("a").alias("id"), F.col("b").alias("hub"), "i")
-    rest = _remaining(of_hub(settled), of_hub(MEMBER), nodes, labels, sets, threshold, folder)
+    rest = _remaining(of_hub(settled), of_hub(MEMBER), open_, nodes, labels, sets, threshold, folder)
     more = save(_shared(rest, sets).filter(alike(threshold)).select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(nodes, edges.union(more), folder)
