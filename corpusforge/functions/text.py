@@ -125,18 +125,24 @@ def quality_signals(c) -> Column:
     text = F.coalesce(col(c), F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    vowel = f"[{VOWELS}]"
-    bare = WORD[1:-1]
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), 1)
+    without = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+    has_vowel = lambda w: F.length(F.translate(w, VOWELS, "")) < F.length(w)
+    words = F.regexp_extract_all(text, F.lit(f"({WORD}+)"), 1)
     parts = F.struct(
         F.length(text).cast("long").alias("chars"),
-        count(r"\p{L}").alias("alpha"),
+        without(r"\p{L}+").alias("alpha"),
         (F.length(text) - F.length(F.translate(text, VOWELS, ""))).cast("long").alias("vowels"),
-        count(r"[^\p{L}\p{N}\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]").alias("symbols"),
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).alias("distinct"))).alias("words"),
-        # words with a letter; and those of 2 to 30 characters with a vowel
+        without(r"[^\p{L}\p{N}\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]+").alias("symbols"),
+        let(
+            words,
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n"),
+                F.size(F.array_distinct(F.transform(w, F.lower))).alias("distinct"),
+                F.size(F.filter(w, lambda x: F.length(x).between(2, 30) & has_vowel(x))).cast("long").alias("wordlike"),
+            ),
+        ).alias("words"),
+        # words with a letter; those of 2 to 30 characters with a vowel are counted above
         count(rf"[\p{{N}}_]*\p{{L}}{WORD}*").alias("alpha_words"),
-        count(rf"(?<![{bare}])(?={WORD}{{2,30}}(?![{bare}])){WORD}*?{vowel}{WORD}*").alias("wordlike"),
     )
     return let(
         parts,
@@ -147,7 +153,7 @@ def quality_signals(c) -> Column:
             ratio(s["alpha"], s["chars"]).alias("alpha_ratio"),
             ratio(s["vowels"], s["alpha"]).alias("vowel_ratio_in_alpha"),
             ratio(s["symbols"], s["chars"]).alias("symbol_ratio"),
-            ratio(s["wordlike"], s["alpha_words"]).alias("wordlike_ratio"),
+            ratio(s["words"]["wordlike"], s["alpha_words"]).alias("wordlike_ratio"),
             ratio(s["words"]["distinct"], s["words"]["n"]).alias("unique_ratio"),
         ),
     )
@@ -221,8 +227,9 @@ def slugify(c, most: int | None = None) -> Column:
 
 
 def property_key(c) -> Column:
-    """snake_case of a property's name."""
-    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """snake_case of a property's name: spaces and hyphens join words, other signs go."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), f"(?:{SPACE}|-)+", "_"), "[^a-z0-9_]+", "")
+    return F.regexp_replace(F.regexp_replace(plain, "_+", "_"), "^_|_$", "")
 
 
 def loose_name(c) -> Column:

@@ -174,3 +174,29 @@ def page(df: DataFrame, limit: int, after: tuple | None = None, order: str = "cr
 def fingerprint(counts: DataFrame) -> DataFrame:
     """A hash of a one-row frame of counts, as the key of cached overviews."""
     return counts.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(counts.columns)]), 256).alias("fingerprint"))
+
+
+def expire_runs(runs: DataFrame, as_of: float, seconds: int = 1800) -> DataFrame:
+    """Running runs without a sign of life for ``seconds`` have failed; so has one that never gave any."""
+    stale = (F.col("status") == "running") & (F.lit(as_of) - F.coalesce(F.col("updated_at"), F.lit(0)) > seconds)
+    return runs.withColumn("error", F.when(stale, F.lit("timed out"))).withColumn("status", F.when(stale, F.lit("failed")).otherwise(F.col("status")))
+
+
+def single_flight(requests: DataFrame, runs: DataFrame, as_of: float, seconds: int = 1800) -> DataFrame:
+    """(key, request_id): the oldest request of each key that no live run holds.
+
+    requests: key, request_id, created_at. runs: key, status, updated_at; a run that
+    ``expire_runs`` ends holds its key no longer, as a lock that has expired.
+    """
+    held = expire_runs(runs, as_of, seconds).filter("status = 'running'").select("key").distinct()
+    oldest = F.min(F.struct("created_at", "request_id")).alias("_first")
+    return requests.groupBy("key").agg(oldest).join(held, "key", "left_anti").select("key", "_first.request_id")
+
+
+#: Bytes that a point counts for, whatever its size; a fixed value.
+POINT_BYTES = 1024
+
+
+def usage(points: DataFrame, by: str) -> DataFrame:
+    """Points and bytes of each store."""
+    return points.groupBy(by).agg(F.count("*").alias("points"), (F.count("*") * POINT_BYTES).alias("usage_bytes"))

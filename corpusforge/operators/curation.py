@@ -202,6 +202,11 @@ def redundancy_stats(components: DataFrame, total: int) -> DataFrame:
     ).withColumn("kept", F.col("points") - F.col("redundant")).withColumn("pct", F.round(100 * F.col("redundant") / F.greatest(F.col("points"), F.lit(1)), 1))
 
 
+def largest_clusters(components: DataFrame, n: int = 8) -> DataFrame:
+    """(component, size) of the n largest clusters, the least component first of equals."""
+    return components.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(n)
+
+
 def mark_redundant(points: DataFrame, components: DataFrame, as_text: bool = True) -> DataFrame:
     """``redundant``: in a cluster, and not its least id (compared as text by default)."""
     order = F.col("id").cast("string") if as_text else F.col("id")
@@ -219,8 +224,30 @@ def centroid(points: DataFrame, digits: int = 12) -> DataFrame:
 def semantic_outliers(points: DataFrame, threshold: float = 0.35, digits: int = 6) -> DataFrame:
     """(id, similarity) of points far from the centroid; none among fewer than three."""
     enough = points.limit(3).count() >= 3
-    scored = points.join(F.broadcast(centroid(points))).select("id", F.round(vectors.dot(vectors.normalize("vector"), "c"), digits).alias("similarity"))
-    return scored.filter((F.col("similarity") < threshold) & F.lit(enough))
+    return centroid_similarity(points, digits).filter((F.col("similarity") < threshold) & F.lit(enough))
+
+
+def centroid_similarity(points: DataFrame, digits: int = 6) -> DataFrame:
+    """(id, similarity) of each point to the centroid, which is one row."""
+    return points.join(F.broadcast(centroid(points))).select("id", F.round(vectors.dot(vectors.normalize("vector"), "c"), digits).alias("similarity"))
+
+
+def outlier_summary(points: DataFrame, threshold: float = 0.35, digits: int = 6) -> DataFrame:
+    """One row: points, outliers, their per cent, mean similarity; fewer than three points have neither."""
+    out = centroid_similarity(points, digits).agg(F.count("*").alias("points"), F.count_if(F.col("similarity") < threshold).alias("n"), F.avg("similarity").alias("mean"))
+    enough = F.col("points") >= 3
+    return out.select(
+        "points",
+        F.when(enough, F.col("n")).otherwise(F.lit(0)).alias("outliers"),
+        F.when(enough, F.round(100 * F.col("n") / F.col("points"), 1)).otherwise(F.lit(0.0)).alias("outlier_pct"),
+        F.when(enough, F.round("mean", 3)).otherwise(F.lit(0.0)).alias("mean_similarity"),
+    )
+
+
+def outlier_samples(points: DataFrame, n: int = 25, digits: int = 6) -> DataFrame:
+    """The n points least like the centroid, the least id first of equals; none among fewer than three."""
+    enough = points.limit(3).count() >= 3
+    return centroid_similarity(points, digits).filter(F.lit(enough)).orderBy("similarity", "id").limit(n)
 
 
 def semantic_clusters(points: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:

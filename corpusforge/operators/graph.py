@@ -168,6 +168,25 @@ def links_among(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str =
     return out.select(*edges.columns).distinct()
 
 
+def around_hits(hits: DataFrame, files: DataFrame, mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of a search: nodes (kind, id, seed) and links (src, type, dst), ids as text.
+
+    Hits (id) are chunks; with them come their documents (files: chunk_id, file_id),
+    the entities they mention and the relations between those.
+    """
+    text = lambda c: F.col(c).cast("string")
+    chunks = hits.select(F.col("id").alias("chunk_id")).distinct()
+    of = files.join(chunks, "chunk_id", "left_semi").select("chunk_id", "file_id").distinct()
+    said = mentions.join(chunks, "chunk_id", "left_semi").select("chunk_id", "entity_id").distinct()
+    entities = said.select(F.col("entity_id").alias("id")).distinct()
+    between = links_among(relations.select("head_id", "rel_type", "tail_id"), entities, "head_id", "tail_id")
+    node = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), text(c).alias("id"), F.lit(kind == "chunk").alias("seed"))
+    link = lambda df, src, kind, dst: df.select(text(src).alias("src"), kind.alias("type"), text(dst).alias("dst"))
+    nodes = node(chunks, "chunk", "chunk_id").unionByName(node(of.select("file_id").distinct(), "document", "file_id")).unionByName(node(entities, "entity", "id"))
+    links = link(of, "file_id", F.lit("HAS_CHUNK"), "chunk_id").unionByName(link(said, "chunk_id", F.lit("MENTIONS"), "entity_id")).unionByName(link(between, "head_id", F.col("rel_type"), "tail_id"))
+    return nodes, links
+
+
 def export(nodes: DataFrame, edges: DataFrame, cap: int) -> tuple[DataFrame, DataFrame, bool]:
     """At most ``cap`` nodes by id, the edges among them, and whether nodes were left out."""
     kept = nodes.orderBy("id").limit(cap)

@@ -137,6 +137,12 @@ def mmr(rows: DataFrame, diversity: float, k: int, by: str = "query_id") -> Data
     return rows.select(by, "id", "score", "position", "vector").groupBy(by).applyInPandas(order, f"{by} {kinds[by]}, id {kinds['id']}, score double, position long")
 
 
+def best_reranked(rows: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(query_id, id, score, rank): each id's best score of at least the threshold, the best k of a query."""
+    best = rows.filter(F.col("score") >= threshold).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_k(best, k, [F.desc("score"), F.asc("id")])
+
+
 def suppress_low_quality(rows: DataFrame, least: float, by: list[str] | None = None) -> DataFrame:
     if least <= 0:
         return rows

@@ -14,6 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FILE_SIZE = 512 * 1024 * 1024
+#: Attributes that the sync sets itself; fixed values.
+RESERVED_ATTRIBUTES = ("sharepoint_file_modified", "sharepoint_file_id")
+
+
+def attributes_match(wanted: Column, attributes: Column) -> Column:
+    """Whether a file has all attributes wanted of it; null asks for none.
+
+    Keys that are reserved, hold a dot or begin with a dollar sign ask for nothing.
+    """
+    asked = F.map_filter(wanted, lambda k, _: ~(k.isin(*RESERVED_ATTRIBUTES) | F.contains(k, F.lit(".")) | F.startswith(k, F.lit("$"))))
+    return F.coalesce(F.forall(F.map_entries(asked), lambda e: F.coalesce(F.try_element_at(attributes, e["key"]) == e["value"], F.lit(False))), F.lit(True))
 
 
 def rule_matches(kind: str, value: str, name: str = "name") -> Column:

@@ -73,9 +73,15 @@ class SearchRequest:
 
 
 def rerank(rows: DataFrame, reranker: Reranker = word_cosine) -> DataFrame:
-    """rows (query, text) with ``rerank_score``, in Arrow batches."""
-    scorer = F.pandas_udf(lambda q, t: reranker(q, t), "double")
-    return rows.withColumn("rerank_score", scorer("query", "text"))
+    """rows (query, text) with ``rerank_score``, in Arrow batches; null where the reranker fails."""
+
+    def scores(q: pd.Series, t: pd.Series) -> pd.Series:
+        try:
+            return reranker(q, t)
+        except Exception:  # a model may fail in any way; its queries keep their fused order
+            return pd.Series([None] * len(q), dtype="float64")
+
+    return rows.withColumn("rerank_score", F.pandas_udf(scores, "double")("query", "text"))
 
 
 def candidates(points: DataFrame, weights: DataFrame, queries: DataFrame, query_terms: DataFrame, request: SearchRequest) -> DataFrame:
@@ -131,8 +137,10 @@ def finish(rows: DataFrame, points: DataFrame, request: SearchRequest, queries:
         out = search.first_by_text(out, [F.desc("score"), F.asc("id")])
     if request.rerank and queries is not None:
         pool = search.top_k(out, request.rerank_pool, [F.desc("score"), F.asc("id")])
-        out = rerank(pool.join(queries.select("query_id", "query"), "query_id"), reranker).filter(F.col("rerank_score") >= request.score_threshold)
-        out = out.withColumn("score", F.col("rerank_score")).drop("query")
+        out = rerank(pool.join(queries.select("query_id", "query"), "query_id"), reranker)
+        failed = F.max(F.col("rerank_score").isNull()).over(Window.partitionBy("query_id"))
+        out = out.withColumn("_failed", failed).filter(F.col("_failed") | (F.col("rerank_score") >= request.score_threshold))
+        out = out.withColumn("score", F.when(F.col("_failed"), F.col("score")).otherwise(F.col("rerank_score"))).drop("query", "_failed")
     if request.recency_half_life is not None and request.as_of is not None:
         found = [F.element_at("attributes", f) if f not in out.columns else F.col(f) for f in request.date_fields if f in out.columns or "attributes" in out.columns]
         if found:
@@ -154,6 +162,15 @@ def finish(rows: DataFrame, points: DataFrame, request: SearchRequest, queries:
     return out
 
 
+def agent_request(max_results: int = 8, filename: str | None = None, directory: str | None = None, directories: list[str] | None = None, score_threshold: float | None = None, graph_expand: bool = False) -> SearchRequest:
+    """An agent's search: numbers are clamped, and its directories bound whatever it asks for."""
+    wanted = {k: v for k, v in {"filename": filename, "slug": directory}.items() if v}
+    request = SearchRequest(filters=wanted or None, slugs=directories, max_num_results=max(1, min(int(max_results), 50)), graph_expand=graph_expand)
+    if score_threshold is not None:
+        request.score_threshold = max(0.0, min(float(score_threshold), 1.0))
+    return request
+
+
 def query_vectors(texts: DataFrame, embedder: Embedder) -> DataFrame:
     """(query_id, query) with ``vector``, in Arrow batches."""
     return texts.withColumn("vector", F.pandas_udf(lambda s: embedder(s), "array<float>")("query"))

@@ -285,3 +285,27 @@ def cluster_profile(t: Tables):
     """Profiles of given clusters."""
     rows = t.points().select("id", F.col("category").alias("cluster"), F.col("id").alias("file_id"), (F.col("category") % 3).alias("category"))
     return curation.cluster_profile(rows)
+
+
+SIMILARITY = f"""v AS (SELECT vec_id, embedding, sqrt({DOT.format(a='embedding', b='embedding')}) AS n FROM embeddings),
+d AS (SELECT i, round(avg(embedding[i]::DOUBLE / n), 12) AS x FROM v, range(1, 65) r(i) GROUP BY i),
+c AS (SELECT list(x ORDER BY i) AS c FROM d), u AS (SELECT list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM c),
+s AS (SELECT vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE / n * c[i])), 5) AS similarity FROM v, u)"""
+
+
+@query(f"WITH {SIMILARITY} SELECT count(*) AS points, count(*) FILTER (similarity < 0.35) AS outliers, round(100 * count(*) FILTER (similarity < 0.35) / count(*), 1) AS outlier_pct, round(avg(similarity), 3) AS mean_similarity FROM s")
+def outlier_summary(t: Tables):
+    """How many points are far from the centroid, and how near they are on average."""
+    return curation.outlier_summary(t.points(), digits=5)
+
+
+@query(f"WITH {SIMILARITY} SELECT id, similarity FROM s ORDER BY similarity, id LIMIT 25")
+def outlier_samples(t: Tables):
+    """The 25 points least like the centroid."""
+    return curation.outlier_samples(t.points(), digits=5)
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT component, count(*) AS size FROM components GROUP BY component ORDER BY size DESC, component LIMIT 8")
+def largest_clusters(t: Tables):
+    """The eight largest clusters of near-duplicates."""
+    return curation.largest_clusters(clusters(t))

@@ -179,3 +179,27 @@ def folder_walk(t: Tables):
 @query("SELECT p_partkey AS id, substring(p_name, 1, 70) AS display FROM part")
 def display_names(t: Tables):
     return t.read("part").select(F.col("p_partkey").alias("id"), text.display_name(F.lit("Chunk"), "p_name", "p_name").alias("display"))
+
+
+def hit_graph(t: Tables):
+    """The graph around orders divisible by EVERY, as a search's hits."""
+    files = t.read("orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("file_id"))
+    return graph.around_hits(seeds(t).select(F.col("chunk_id").alias("id")), files, t.mentions(), t.relations())
+
+
+HITS = f"""hits AS (SELECT o_orderkey AS chunk_id, o_custkey AS file_id FROM orders WHERE o_orderkey % {EVERY} = 0),
+said AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey AS entity_id FROM lineitem WHERE l_orderkey IN (SELECT chunk_id FROM hits)),
+ents AS (SELECT DISTINCT entity_id FROM said)"""
+
+
+@query(f"WITH {HITS} SELECT 'chunk' AS kind, chunk_id::VARCHAR AS id, true AS seed FROM hits UNION ALL SELECT DISTINCT 'document', file_id::VARCHAR, false FROM hits UNION ALL SELECT 'entity', entity_id::VARCHAR, false FROM ents")
+def search_graph_nodes(t: Tables):
+    """The hits of a search, their documents and the entities they mention."""
+    return hit_graph(t)[0]
+
+
+@query(f"""WITH {HITS} SELECT file_id::VARCHAR AS src, 'HAS_CHUNK' AS type, chunk_id::VARCHAR AS dst FROM hits UNION ALL SELECT chunk_id::VARCHAR, 'MENTIONS', entity_id::VARCHAR FROM said
+UNION ALL SELECT DISTINCT l_suppkey::VARCHAR, l_returnflag, l_partkey::VARCHAR FROM lineitem WHERE l_suppkey IN (SELECT entity_id FROM ents) AND l_partkey IN (SELECT entity_id FROM ents)""")
+def search_graph_links(t: Tables):
+    """The links among a search's hits, documents and entities."""
+    return hit_graph(t)[1]

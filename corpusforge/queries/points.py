@@ -91,7 +91,7 @@ def relation_hygiene(t: Tables):
     return entities.clean_relations(rows).select("id", "head", "tail")
 
 
-@query("SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS key, regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') AS loose FROM part")
+@query(r"SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_brand)), '[\s-]+', '_', 'g'), '[^a-z0-9_]+', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS key, regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') AS loose FROM part")
 def name_forms(t: Tables):
     """Slugs, property keys and loose names."""
     return t.read("part").select(F.col("p_partkey").alias("id"), text.slugify(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"), text.property_key("p_brand").alias("key"), text.loose_name("p_type").alias("loose"))

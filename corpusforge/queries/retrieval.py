@@ -10,6 +10,7 @@ from corpusforge.functions.time import epoch, recency
 from corpusforge.operators import evaluation, filters, search
 from corpusforge.plans import search as plan
 from corpusforge.plans.projections import Tables
+from corpusforge.queries.corpus import SIGNALS, scored
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import DOT, JOBS, TOKENS
 
@@ -242,13 +243,15 @@ SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END),
 def eval_recall_mrr(t: Tables):
     """How well word overlap finds the documents that hold a benchmark item."""
     found = _overlaps(t).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), "rank")
-    # the benchmark is a stated query set; it is taken as the broadcast side if it is small
     items = t.read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = t.read("documents").select(F.col("doc_id").alias("expect"), "text")
-    probe = items.select("query_id", "item", F.element_at(text.tokens("item"), 1).alias("first"))
-    words = docs.select("expect", "text", F.explode(F.array_distinct(text.tokens("text"))).alias("first"))
-    rare = words.join(probe, "first").filter(F.contains("text", F.col("item"))).select("query_id", "expect").distinct()
-    return evaluation.metrics(evaluation.ranks(found, rare))
+    # each item's rarest word finds the ids that may hold it; texts are fetched for those alone
+    asked = items.select("query_id", F.explode(F.array_distinct(text.tokens("item"))).alias("term"))
+    words = docs.select("expect", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("df"))
+    probe = asked.join(counts, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    held = words.join(probe, "term").select("query_id", "expect").join(items, "query_id").join(docs, "expect")
+    return evaluation.metrics(evaluation.ranks(found, held.filter(F.contains("text", F.col("item"))).select("query_id", "expect").distinct()))
 
 
 @query(f"""WITH {FUSED_SQL}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused),
@@ -262,3 +265,44 @@ def eval_compare(t: Tables):
     name = F.concat_ws(":", F.col("query_id").cast("string"), F.col("category").cast("string")).alias("query_id")
     first = lambda r: r.join(labels, "id").groupBy(name).agg(F.min("rank").alias("rank"))
     return evaluation.compare(first(dense(t)), first(fused)).select("query_id", "off", "on", "delta")
+
+
+@query(rf"""WITH q AS (SELECT item_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark), nq AS (SELECT item_id, count(*) AS nq FROM q GROUP BY item_id),
+d AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents), nd AS (SELECT doc_id, count(*) AS nd FROM d GROUP BY doc_id),
+s AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN d USING (term) GROUP BY ALL),
+cut AS (SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS n FROM s QUALIFY n <= 5),
+five AS (SELECT item_id, doc_id, overlap, nq, nd FROM cut JOIN nq USING (item_id) JOIN nd USING (doc_id)),
+best AS (SELECT item_id AS query_id, doc_id AS id, round(greatest(overlap / nq, overlap / nd), 6) AS score FROM five)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best WHERE score >= 0.25 QUALIFY rank <= 3""")
+def rerank_overlap(t: Tables):
+    """Candidates scored twice, by the share of an item's and of a document's words; the better score counts."""
+    size = lambda df, key, name: df.select(key, F.size(F.array_distinct(text.tokens("text"))).alias(name))
+    found = _overlaps(t).join(size(t.read("benchmark"), "item_id", "nq"), "item_id").join(size(t.read("documents"), "doc_id", "nd"), "doc_id")
+    share = lambda n: F.round(F.col("overlap") / F.col(n), 6)
+    rows = found.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.explode(F.array(share("nq"), share("nd"))).alias("score"))
+    return search.best_reranked(rows, 0.25, 3)
+
+
+@query(f"""WITH {FUSED_SQL}, {SIGNALS}, cut AS (SELECT query_id, id, score FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 250),
+heads AS (SELECT query_id, id, source, score, substring({HEADS}, 1, 200) AS h FROM cut JOIN documents ON id = doc_id),
+one AS (SELECT * FROM heads WHERE h <> '' QUALIFY row_number() OVER (PARTITION BY query_id, h ORDER BY score DESC, id) = 1),
+aged AS (SELECT query_id, id, source, score * (0.7 + 0.3 * pow(0.5, (id % 90) / 30.0::DOUBLE)) AS score FROM one),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM aged),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY position) > 2 AS overflow FROM p),
+g AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY overflow, position) AS place FROM o),
+f AS (SELECT query_id, id, place AS position FROM g WHERE place <= 15),
+k AS (SELECT query_id, id, position, quality_score, max(quality_score >= 0.9) OVER (PARTITION BY query_id) AS any_kept FROM f JOIN scored ON id = doc_id)
+SELECT query_id, id, position FROM k WHERE quality_score >= 0.9 OR NOT any_kept""")
+def final_ranking(t: Tables):
+    """Fused rows: one of each beginning, recency, two of a source first, cut to 15, junk suppressed."""
+    docs = scored(t).select("doc_id", "q.quality_score").join(t.read("documents").select("doc_id", "text", "source"), "doc_id")
+    points = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("file_id"), "quality_score", (F.lit(int(AS_OF)) - F.col("doc_id") % 90 * 86400).cast("string").alias("created_at"))
+    request = plan.SearchRequest(recency_half_life=30, as_of=AS_OF, max_per_file=2, min_quality=0.9)
+    fused = plan.candidates(t.points(), weights(t), vectors_of(t), terms_of(t), request)
+    return plan.finish(fused, points, request).select("query_id", "id", "position")
+
+
+@query(f"WITH {DENSE_SQL} SELECT query_id, CAST(json_object('id', id, 'rank', rank) AS VARCHAR) AS value FROM dense WHERE rank <= 15")
+def json_export(t: Tables):
+    """Hits as JSON lines."""
+    return dense(t, 15).select("query_id", F.to_json(F.struct("id", "rank")).alias("value"))

@@ -90,3 +90,12 @@ def sync_rollup(t: Tables):
     """Sync jobs are in process while one of their files is."""
     children = t.jobs().select(F.col("file_id").alias("sync_job_id"), "status")
     return sync.rolled_up(t.read("customer").select(F.col("c_custkey").alias("sync_job_id"), F.lit("COMPLETED").alias("status")), children)
+
+
+@query(f"WITH {JOBS} SELECT job_id FROM jobs WHERE k % 4 = 0 OR k % 3 = k % 5")
+def attribute_match(t: Tables):
+    """Jobs with the attributes asked for; unsafe and reserved keys, and null, ask for nothing."""
+    name = lambda n: F.concat(F.lit("t"), (F.col("k") % n).cast("string"))
+    wanted = F.create_map(F.lit("kind"), name(3), F.lit("a.b"), F.lit("x"), F.lit("$c"), F.lit("y"), F.lit("sharepoint_file_id"), F.lit("z"))
+    some = F.when(F.col("k") % 4 != 0, wanted)
+    return t.jobs().filter("k IS NOT NULL").filter(sync.attributes_match(some, F.create_map(F.lit("kind"), name(5)))).select("job_id")
