@@ -291,3 +291,69 @@ def test_near_duplicate_edges_of_copies(spark):
     assert {tuple(x) for x in curation.banded_edges(points, 0.96, 5).collect()} == {tuple(x) for x in by_vector.collect()}
     shared = weights.alias("x").join(weights.alias("y"), "term").filter("x.id <> y.id").groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("other")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("score"))
     assert got == {tuple(x) for x in by_vector.intersect(curation.neighbour_edges(shared, 5)).collect()}
+
+
+def test_runs_and_single_flight(spark):
+    runs = spark.createDataFrame([(1, "a", "running", 100), (2, "b", "running", 5000), (3, "c", "completed", 1), (4, "d", "running", None)], "run_id int, key string, status string, updated_at long")
+    ended = {r.run_id: (r.status, r.error) for r in catalog.expire_runs(runs, 5100, 1800).collect()}
+    assert ended == {1: ("failed", "timed out"), 2: ("running", None), 3: ("completed", None), 4: ("failed", "timed out")}
+    asked = spark.createDataFrame([("a", 9, 20), ("a", 8, 20), ("a", 7, 30), ("b", 6, 1), ("e", 5, 1)], "key string, request_id int, created_at long")
+    assert sorted(map(tuple, catalog.single_flight(asked, runs, 5100, 1800).collect())) == [("a", 8), ("e", 5)]
+    assert catalog.single_flight(asked.limit(0), runs, 5100).count() == 0
+
+
+def test_attributes_match(spark):
+    rows = [(1, {"k": "a"}, {"k": "a", "x": "y"}), (2, {"k": "a"}, {}), (3, None, {"k": "b"}), (4, {"a.b": "1", "$c": "2", "sharepoint_file_id": "3"}, {}), (5, {"k": "a"}, None)]
+    df = spark.createDataFrame(rows, "id int, wanted map<string, string>, attributes map<string, string>")
+    assert [r.id for r in df.filter(sync.attributes_match(F.col("wanted"), F.col("attributes"))).orderBy("id").collect()] == [1, 3, 4]
+
+
+def test_outliers_of_few_points(spark):
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.1])], "id int, vector array<double>")
+    assert tuple(curation.outlier_summary(two).first()) == (2, 0, 0.0, 0.0)
+    assert curation.outlier_samples(two).count() == 0
+    more = two.union(spark.createDataFrame([(3, [1.0, 0.1]), (4, [1.0, 0.0])], two.schema))
+    assert curation.outlier_summary(more).first().outliers == 1
+    assert [r.id for r in curation.outlier_samples(more, 2).collect()] == [2, 1]
+
+
+def test_around_hits(spark):
+    frame = spark.createDataFrame
+    hits, files = frame([(1,), (1,)], "id int"), frame([(1, "f"), (2, "g")], "chunk_id int, file_id string")
+    mentions, relations = frame([(1, 7), (1, 8), (2, 9)], "chunk_id int, entity_id int"), frame([(7, "of", 8), (7, "of", 8), (8, "of", 9)], "head_id int, rel_type string, tail_id int")
+    nodes, links = graph.around_hits(hits, files, mentions, relations)
+    assert sorted(map(tuple, nodes.collect())) == [("chunk", "1", True), ("document", "f", False), ("entity", "7", False), ("entity", "8", False)]
+    assert sorted(map(tuple, links.collect())) == [("1", "MENTIONS", "7"), ("1", "MENTIONS", "8"), ("7", "of", "8"), ("f", "HAS_CHUNK", "1")]
+
+
+def test_best_reranked(spark):
+    rows = spark.createDataFrame([(1, "a", 0.3), (1, "a", 0.9), (1, "b", 0.9), (1, "c", 0.1), (2, "d", None)], "query_id int, id string, score double")
+    assert [tuple(r) for r in search.best_reranked(rows, 0.25, 5).orderBy("rank").collect()] == [(1, "a", 0.9, 1), (1, "b", 0.9, 2)]
+
+
+def test_failed_reranker_leaves_the_fused_order(spark):
+    def broken(queries, texts):
+        raise RuntimeError("no model")
+
+    points = spark.createDataFrame([(1, "one"), (2, "two")], "id int, text string")
+    rows = spark.createDataFrame([(0, 1, 0.01, 2), (0, 2, 0.02, 1)], "query_id int, id int, score double, rank int")
+    asked = spark.createDataFrame([(0, "one")], "query_id int, query string")
+    request = plan.SearchRequest(rerank=True)
+    order = lambda model: [r.id for r in plan.finish(rows, points, request, asked, model).orderBy("position").collect()]
+    assert order(broken) == [2, 1]
+    assert order(plan.word_cosine) == [1]
+
+
+def test_agent_request():
+    request = plan.agent_request(900, filename="a.pdf", directories=["x"], score_threshold=-1)
+    assert (request.max_num_results, request.score_threshold, request.filters, request.slugs) == (50, 0.0, {"filename": "a.pdf"}, ["x"])
+    assert plan.agent_request(0).max_num_results == 1
+    assert plan.agent_request(directories=[]).slugs == []
+
+
+def test_property_keys(spark):
+    from corpusforge.functions import text
+
+    keys = [" Data di-Nascita ", "Brand#12", "a.b c", "__x__", "#"]
+    got = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").select("i", text.property_key("k").alias("k")).orderBy("i")
+    assert [r.k for r in got.collect()] == ["data_di_nascita", "brand12", "ab_c", "x", ""]
