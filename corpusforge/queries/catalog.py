@@ -164,13 +164,16 @@ def overview(t: Tables):
 
 
 RUN_SECONDS = 30 * 86400
-RUN_KEY = F.concat_ws(":", F.col("file_id").cast("string"), F.col("k").cast("string"))
+
+
+def run_key():
+    return F.concat_ws(":", F.col("file_id").cast("string"), F.col("k").cast("string"))
 
 
 def runs(t: Tables):
     """Jobs in process as runs; a file and its k are what they run for."""
     j = t.jobs()
-    return j.select(F.col("job_id").alias("run_id"), RUN_KEY.alias("key"), F.when(F.col("status") == "PROCESSING", "running").otherwise("completed").alias("status"), F.col("created_at").alias("updated_at"))
+    return j.select(F.col("job_id").alias("run_id"), run_key().alias("key"), F.when(F.col("status") == "PROCESSING", "running").otherwise("completed").alias("status"), F.col("created_at").alias("updated_at"))
 
 
 @query(f"WITH {JOBS} SELECT job_id AS run_id, CASE WHEN status <> 'PROCESSING' THEN 'completed' WHEN {NOW} - created_at > {RUN_SECONDS} THEN 'failed' ELSE 'running' END AS status, CASE WHEN status = 'PROCESSING' AND {NOW} - created_at > {RUN_SECONDS} THEN 'timed out' END AS error FROM jobs")
@@ -182,7 +185,7 @@ def expire_runs(t: Tables):
 @query(f"WITH {JOBS} SELECT concat_ws(':', file_id, k) AS key, job_id AS request_id FROM jobs WHERE status = 'PENDING' AND concat_ws(':', file_id, k) NOT IN (SELECT concat_ws(':', file_id, k) FROM jobs WHERE status = 'PROCESSING' AND {NOW} - created_at <= {RUN_SECONDS}) QUALIFY row_number() OVER (PARTITION BY concat_ws(':', file_id, k) ORDER BY created_at, job_id) = 1")
 def single_flight(t: Tables):
     """One pending run for each file and k that have none alive."""
-    asked = t.jobs().filter("status = 'PENDING'").select(RUN_KEY.alias("key"), F.col("job_id").alias("request_id"), "created_at")
+    asked = t.jobs().filter("status = 'PENDING'").select(run_key().alias("key"), F.col("job_id").alias("request_id"), "created_at")
     return catalog.single_flight(asked, runs(t), NOW, RUN_SECONDS)
 
 

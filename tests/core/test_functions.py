@@ -144,3 +144,12 @@ def test_token_span(spark):
     assert tuple(one(spark, entities.token_span("t", "p"), schema, (list("abcab"), ["a", "b"]))) == (0, 1)
     assert one(spark, entities.token_span("t", "p"), schema, (list("abc"), ["d"])) is None
     assert one(spark, entities.token_span("t", "p"), schema, (list("ab"), list("abc"))) is None
+
+
+def test_queries_import_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True)
