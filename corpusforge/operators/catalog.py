@@ -108,7 +108,7 @@ def schema_cascade(files: DataFrame, schemas: DataFrame, defaults: dict) -> Data
     """Each field from the narrowest scope that sets it: file, dir, sync, store, default."""
     fields = list(defaults)
     out = files
-    for scope, key in (("file", "file_id"), ("dir", "slug"), ("sync", "sync_job_id"), ("store", "vector_store_id")):
+    for scope, key in (("file", "file_id"), ("dir", "slug"), ("sync", "sync_job_id"), ("store", "store_id")):
         if key not in files.columns:
             continue
         one = schemas.filter(F.col("scope") == scope).select(F.col("ident").alias(f"_{scope}"), *[F.col(f).alias(f"_{scope}_{f}") for f in fields])

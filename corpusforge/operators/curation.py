@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions import vectors
+from corpusforge.functions import embeddings
 from corpusforge.session import shared_dir
 
 
@@ -77,9 +77,9 @@ def neighbour_edges(scored: DataFrame, k: int = 20) -> DataFrame:
 
 
 def similar_pairs(points: DataFrame, threshold: float, digits: int = 6, block_rows: int = 2048) -> DataFrame:
-    """(id, other, score) of all pairs of unit vectors at least so alike, both ways.
+    """(id, other, score) of all pairs of unit embeddings at least so alike, both ways.
 
-    Blocks of vectors are multiplied, so that rows of a block are read once for
+    Blocks of embeddings are multiplied, so that rows of a block are read once for
     each other block rather than once for each pair; blocks of equal size are
     dealt by row number of a hash, whatever the ids.
     """
@@ -87,9 +87,9 @@ def similar_pairs(points: DataFrame, threshold: float, digits: int = 6, block_ro
 
     n = points.count()
     blocks = max(1, -(-n // block_rows))
-    placed = points.select("id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
+    placed = points.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
     grouped = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumn("h", grouped).select(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), "g", "id", "vector")
+    left = placed.withColumn("h", grouped).select(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"), "g", "id", "embedding")
 
     def multiply(key, pdf):
         import pandas as pd
@@ -99,7 +99,7 @@ def similar_pairs(points: DataFrame, threshold: float, digits: int = 6, block_ro
         a, b = pdf[pdf["g"] == x], pdf[pdf["g"] == y]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "other": [], "score": []})
-        scores = np.round(np.stack(a["vector"]) @ np.stack(b["vector"]).T, digits)
+        scores = np.round(np.stack(a["embedding"]) @ np.stack(b["embedding"]).T, digits)
         i, j = np.nonzero(scores >= threshold)
         ai, bj, s = a["id"].to_numpy()[i], b["id"].to_numpy()[j], scores[i, j]
         keep = ai < bj if x == y else np.ones(len(ai), bool)
@@ -111,9 +111,9 @@ def similar_pairs(points: DataFrame, threshold: float, digits: int = 6, block_ro
 
 
 def _banded_classes(points: DataFrame, threshold: float, digits: int, miss: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(id, a, score) of each vector, its class and its likeness to itself; (a, b, score) of alike classes, a < b.
+    """(id, a, score) of each embedding, its class and its likeness to itself; (a, b, score) of alike classes, a < b.
 
-    Equal vectors are one class, named by its least id. Signs against random planes
+    Equal embeddings are one class, named by its least id. Signs against random planes
     are cut into bands, as many as leave a pair at the threshold out with a chance of
     ``miss``; classes that share a band are compared exactly.
     """
@@ -126,34 +126,34 @@ def _banded_classes(points: DataFrame, threshold: float, digits: int, miss: floa
     bits = min(48, max(4, int(log(0.25) / log(agree))))
     bands = ceil(log(miss) / log(1 - agree**bits))
     kind = dict(points.dtypes)["id"]
-    rows = points.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    classes = rows.groupBy("vector").agg(F.min("id").alias("id"))
+    rows = points.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    classes = rows.groupBy("embedding").agg(F.min("id").alias("id"))
 
     def sign(frames):
         planes = None
         for pdf in frames:
             if not len(pdf):
                 continue
-            v = np.stack(pdf["vector"])
+            v = np.stack(pdf["embedding"])
             if planes is None:
                 planes = np.random.default_rng(seed).standard_normal((v.shape[1], bits * bands))
             signs = ((v @ planes) > 0).reshape(len(v), bands, bits)
             keys = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
             yield pd.DataFrame({"id": pdf["id"], "keys": list(keys)})
 
-    placed = classes.select("id", "vector").mapInPandas(sign, f"id {kind}, keys array<bigint>").select("id", F.posexplode("keys").alias("band", "key"))
+    placed = classes.select("id", "embedding").mapInPandas(sign, f"id {kind}, keys array<bigint>").select("id", F.posexplode("keys").alias("band", "key"))
     x, y = placed.alias("x"), placed.alias("y")
     near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    va, vb = classes.select(F.col("id").alias("a"), F.col("vector").alias("va")), classes.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    scored = near.join(va, "a").join(vb, "b").select("a", "b", F.round(vectors.dot("va", "vb"), digits).alias("score")).filter(F.col("score") >= threshold)
-    first = rows.join(classes.withColumnRenamed("id", "a"), "vector")
-    return first.select("id", "a", F.round(vectors.dot("vector", "vector"), digits).alias("score")), scored
+    va, vb = classes.select(F.col("id").alias("a"), F.col("embedding").alias("va")), classes.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
+    scored = near.join(va, "a").join(vb, "b").select("a", "b", F.round(embeddings.dot("va", "vb"), digits).alias("score")).filter(F.col("score") >= threshold)
+    first = rows.join(classes.withColumnRenamed("id", "a"), "embedding")
+    return first.select("id", "a", F.round(embeddings.dot("embedding", "embedding"), digits).alias("score")), scored
 
 
 def banded_pairs(points: DataFrame, threshold: float, digits: int = 6, miss: float = 1e-6, seed: int = 17) -> DataFrame:
     """The pairs of ``similar_pairs`` for high thresholds, without comparing all blocks.
 
-    Copies of a vector are paired with their least id alone, and only that one with others.
+    Copies of an embedding are paired with their least id alone, and only that one with others.
     """
     first, scored = _banded_classes(points, threshold, digits, miss, seed)
     one = scored.union(first.filter("id <> a").select("a", F.col("id").alias("b"), "score"))
@@ -163,7 +163,7 @@ def banded_pairs(points: DataFrame, threshold: float, digits: int = 6, miss: flo
 def banded_edges(points: DataFrame, threshold: float, k: int = 20, digits: int = 6, miss: float = 1e-6, seed: int = 17) -> DataFrame:
     """``neighbour_edges`` of all ``similar_pairs``, every copy's among them, for high thresholds.
 
-    The best k of a vector are among the best k + 1 of its class, itself being one,
+    The best k of an embedding are among the best k + 1 of its class, itself being one,
     and those among the least k + 1 ids of each alike class: so copies make at most
     k + 1 rows each.
     """
@@ -182,14 +182,14 @@ BANDED = 0.9
 
 
 def near_duplicate_edges(points: DataFrame, weights: DataFrame, dense: float = 0.96, k: int = 20) -> DataFrame:
-    """Pairs within each other's best k by vector that are also among the best k by shared terms."""
-    by_vector = banded_edges(points, dense, k) if dense >= BANDED else neighbour_edges(similar_pairs(points, dense), k)
+    """Pairs within each other's best k by embedding that are also among the best k by shared terms."""
+    by_embedding = banded_edges(points, dense, k) if dense >= BANDED else neighbour_edges(similar_pairs(points, dense), k)
     # only ids that have a dense neighbour can keep an edge
-    ids = by_vector.select(F.col("a").alias("id")).union(by_vector.select("b")).distinct()
+    ids = by_embedding.select(F.col("a").alias("id")).union(by_embedding.select("b")).distinct()
     some = weights.join(ids, "id", "left_semi")
     other = weights.select(F.col("id").alias("other"), "term", F.col("weight").alias("w2"))
     scored = some.join(other, "term").filter("id <> other").groupBy("id", "other").agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
-    return by_vector.intersect(neighbour_edges(scored, k))
+    return by_embedding.intersect(neighbour_edges(scored, k))
 
 
 def redundancy_stats(components: DataFrame, total: int) -> DataFrame:
@@ -216,9 +216,9 @@ def mark_redundant(points: DataFrame, components: DataFrame, as_text: bool = Tru
 
 
 def centroid(points: DataFrame, digits: int = 12) -> DataFrame:
-    """One row with the normalised mean of the unit vectors."""
-    dims = points.select(F.posexplode(vectors.normalize("vector")).alias("d", "x")).groupBy("d").agg(F.round(F.avg("x"), digits).alias("x"))
-    return dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c")).select(vectors.normalize("c").alias("c"))
+    """One row with the normalised mean of the unit embeddings."""
+    dims = points.select(F.posexplode(embeddings.normalize("embedding")).alias("d", "x")).groupBy("d").agg(F.round(F.avg("x"), digits).alias("x"))
+    return dims.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c")).select(embeddings.normalize("c").alias("c"))
 
 
 def semantic_outliers(points: DataFrame, threshold: float = 0.35, digits: int = 6) -> DataFrame:
@@ -229,7 +229,7 @@ def semantic_outliers(points: DataFrame, threshold: float = 0.35, digits: int =
 
 def centroid_similarity(points: DataFrame, digits: int = 6) -> DataFrame:
     """(id, similarity) of each point to the centroid, which is one row."""
-    return points.join(F.broadcast(centroid(points))).select("id", F.round(vectors.dot(vectors.normalize("vector"), "c"), digits).alias("similarity"))
+    return points.join(F.broadcast(centroid(points))).select("id", F.round(embeddings.dot(embeddings.normalize("embedding"), "c"), digits).alias("similarity"))
 
 
 def outlier_summary(points: DataFrame, threshold: float = 0.35, digits: int = 6) -> DataFrame:
@@ -259,7 +259,7 @@ def semantic_clusters(points: DataFrame, k: int | None = None, seed: int = 42) -
     if n < 2:
         return points.select("id", F.lit(0).alias("cluster"))
     k = k or min(30, max(2, round((n / 2) ** 0.5)))
-    rows = points.select("id", array_to_vector(vectors.normalize("vector")).alias("features"))
+    rows = points.select("id", array_to_vector(embeddings.normalize("embedding")).alias("features"))
     model = KMeans(k=min(k, n), seed=seed, distanceMeasure="cosine", maxIter=20).fit(rows)
     return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
 

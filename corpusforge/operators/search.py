@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions import text, vectors
+from corpusforge.functions import embeddings, text
 from corpusforge.operators.filters import keep_unless_empty
 
 RRF_K = 60
@@ -26,24 +26,29 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: str = "query_id", rank
 
 
 def dense_channel(points: DataFrame, queries: DataFrame, k: int = 150, threshold: float = 0.05, digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank) by dot product of unit vectors.
+    """(query_id, id, score, rank) by dot product of unit embeddings.
 
     Exact nearest neighbours of a stated set of queries; the query side is taken
     in blocks of ``BROADCAST_QUERIES`` rows, each broadcast to the scan of points.
     """
-    q = queries.select("query_id", F.col("vector").alias("qv"))
+    q = queries.select("query_id", F.col("embedding").alias("qv"))
     blocks = max(1, -(-q.count() // BROADCAST_QUERIES))
     parts = []
     for b in range(blocks):
         some = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = points.join(F.broadcast(some)).select("query_id", "id", F.round(vectors.dot("vector", "qv"), digits).alias("score"))
+        scored = points.join(F.broadcast(some)).select("query_id", "id", F.round(embeddings.dot("embedding", "qv"), digits).alias("score"))
         parts.append(scored.filter(F.col("score") >= threshold))
     return top_k(reduce(DataFrame.unionByName, parts), k, [F.desc("score"), F.asc("id")])
 
 
 def term_weights(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """The sparse vectors (id, term, weight): counts of each word of a text."""
-    return docs.select(F.col(key).alias("id"), F.explode(text.tokens(column)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("weight"))
+    """The weights of words (id, term, weight): counts of each word of a text.
+
+    Texts are dealt by id once: counts, and scores of a broadcast query set, are
+    then complete in a text's own partition, and its words are never shuffled.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.col(column).alias("text")).repartition("id")
+    return rows.select("id", F.explode(text.tokens("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("weight"))
 
 
 def sparse_channel(weights: DataFrame, queries: DataFrame, k: int = 150, threshold: float = 0.0) -> DataFrame:
@@ -99,10 +104,10 @@ def limit_per_file(rows: DataFrame, most: int, position: str = "position", by: s
 
 
 def mmr(rows: DataFrame, diversity: float, k: int, by: str = "query_id") -> DataFrame:
-    """Maximal marginal relevance of (query_id, id, score, position, vector).
+    """Maximal marginal relevance of (query_id, id, score, position, embedding).
 
     A greedy choice is sequential, so each query's pool, which its request bounds
-    (200 rows at most), is one group. Rows without a vector follow.
+    (200 rows at most), is one group. Rows without an embedding follow.
     """
     lam = 1.0 - min(max(diversity, 0.0), 1.0)
 
@@ -110,11 +115,11 @@ def mmr(rows: DataFrame, diversity: float, k: int, by: str = "query_id") -> Data
         import numpy as np
 
         pdf = pdf.sort_values("position").reset_index(drop=True)
-        has = [i for i, v in enumerate(pdf["vector"]) if v is not None and len(v)]
+        has = [i for i, v in enumerate(pdf["embedding"]) if v is not None and len(v)]
         if len(has) < 2:
             chosen = list(range(len(pdf)))
         else:
-            m = np.stack([np.asarray(pdf["vector"][i], float) for i in has])
+            m = np.stack([np.asarray(pdf["embedding"][i], float) for i in has])
             lengths = np.linalg.norm(m, axis=1, keepdims=True)
             m = m / np.where(lengths == 0, 1.0, lengths)
             s = pdf["score"].to_numpy(float)
@@ -134,7 +139,7 @@ def mmr(rows: DataFrame, diversity: float, k: int, by: str = "query_id") -> Data
         return out
 
     kinds = dict(rows.dtypes)
-    return rows.select(by, "id", "score", "position", "vector").groupBy(by).applyInPandas(order, f"{by} {kinds[by]}, id {kinds['id']}, score double, position long")
+    return rows.select(by, "id", "score", "position", "embedding").groupBy(by).applyInPandas(order, f"{by} {kinds[by]}, id {kinds['id']}, score double, position long")
 
 
 def best_reranked(rows: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -183,7 +188,7 @@ def read_document(chunks: DataFrame, max_chars: int, start: int | None = None, e
 
 def recommend(points: DataFrame, seeds: DataFrame, per_seed: int = 2) -> DataFrame:
     """Seeds first, then their nearest other points; neighbours score 0."""
-    queries = seeds.join(points, "id").select(F.col("id").alias("query_id"), "vector")
+    queries = seeds.join(points, "id").select(F.col("id").alias("query_id"), "embedding")
     near = dense_channel(points, queries, per_seed + 1, threshold=-2.0).filter("id <> query_id")
     near = top_k(near.drop("rank"), per_seed, [F.desc("score"), F.asc("id")])
     best = near.groupBy("id").agg(F.max("score").alias("similarity")).join(seeds.select("id"), "id", "left_anti")
@@ -191,12 +196,12 @@ def recommend(points: DataFrame, seeds: DataFrame, per_seed: int = 2) -> DataFra
     return first.unionByName(best.select("id", F.lit(0.0).alias("score"), F.lit("neighbor").alias("source"), "similarity"))
 
 
-def assemble(rows: DataFrame, distance: bool = False, vectors_too: bool = False) -> DataFrame:
+def assemble(rows: DataFrame, distance: bool = False, embeddings_too: bool = False) -> DataFrame:
     """The response: reranked score before base score, metadata without system fields."""
     score = F.coalesce(F.col("rerank_score"), F.col("score")) if "rerank_score" in rows.columns else F.col("score")
     out = rows.withColumn("score", score)
     if "attributes" in rows.columns:
-        out = out.withColumn("attributes", F.map_filter("attributes", lambda k, _: ~k.isin("text", "filename", "vector_store_id", "file_id")))
+        out = out.withColumn("attributes", F.map_filter("attributes", lambda k, _: ~k.isin("text", "filename", "store_id", "file_id")))
     if distance:
         out = out.withColumn("distance", 1 - F.col("score"))
-    return out if vectors_too else out.drop("vector")
+    return out if embeddings_too else out.drop("embedding")

@@ -11,6 +11,10 @@ from corpusforge.sources.files import line_chunks
 STATUS_OF = {"signup": "PENDING", "view": "PROCESSING", "purchase": "COMPLETED", "error": "FAILED", "click": "EXCLUDED"}
 
 
+#: Tables of long texts.
+TEXTS = {"documents", "pages"}
+
+
 class Tables:
     """Lazily read and projected tables of one folder."""
 
@@ -18,7 +22,18 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The table; texts that one task would read alone are dealt over all cores first.
+
+        Spark reads a row group in one task, and work on texts is far dearer than
+        to move them. What is moved is at most one split, whatever the cluster.
+        """
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in TEXTS and cores > 1 and self._is_one_split(df) else df
+
+    def _is_one_split(self, df: DataFrame) -> bool:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size)) <= int(self.spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
 
     def chunks(self) -> DataFrame:
         """(file_id, chunk_index, text, body_hash): the lines of documents."""
@@ -38,7 +53,7 @@ class Tables:
         )
 
     def points(self) -> DataFrame:
-        return self.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("category"))
+        return self.read("embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("category"))
 
     def mentions(self) -> DataFrame:
         """Orders mention parts; a discount is what a mention's score lacks to 1."""

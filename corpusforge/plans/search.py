@@ -1,7 +1,7 @@
 """Ranked search over points and their texts, for any number of queries at once.
 
 Models are callables behind small protocols: an embedder and a reranker map a
-pandas Series to vectors or scores and run in Arrow batches; the defaults are
+pandas Series to embeddings or scores and run in Arrow batches; the defaults are
 deterministic stand-ins (word counts and their cosine) and no trained models.
 """
 
@@ -121,7 +121,7 @@ def augment(rows: DataFrame, points: DataFrame, request: SearchRequest, mentions
         extra.append(("lexical", rows.select("query_id").distinct().join(F.broadcast(hits))))
     if not extra:
         return rows
-    channels = rows.select("query_id", F.lit("vector").alias("channel"), "id", "rank")
+    channels = rows.select("query_id", F.lit("embedding").alias("channel"), "id", "rank")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("w"), "id")).cast("long")
     for name, df in extra:
         channels = channels.unionByName(df.select("query_id", F.lit(name).alias("channel"), "id", nth.alias("rank")))
@@ -171,9 +171,9 @@ def agent_request(max_results: int = 8, filename: str | None = None, directory:
     return request
 
 
-def query_vectors(texts: DataFrame, embedder: Embedder) -> DataFrame:
-    """(query_id, query) with ``vector``, in Arrow batches."""
-    return texts.withColumn("vector", F.pandas_udf(lambda s: embedder(s), "array<float>")("query"))
+def query_embeddings(texts: DataFrame, embedder: Embedder) -> DataFrame:
+    """(query_id, query) with ``embedding``, in Arrow batches."""
+    return texts.withColumn("embedding", F.pandas_udf(lambda s: embedder(s), "array<float>")("query"))
 
 
 def query_terms(texts: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def supersede_cleanup(t: Tables):
 SELECT file_id, CASE WHEN file_id::BIGINT % 10 = 0 THEN 128 WHEN slug = 'src1' THEN 256 ELSE 512 END::BIGINT AS chunk_max_tokens, CASE WHEN slug = 'src1' THEN false ELSE true END AS relations_enabled, CASE WHEN slug = 'src2' THEN 'dir' ELSE 'store' END AS labels FROM f""")
 def schema_cascade(t: Tables):
     """Extraction settings from file, directory, store and default, field by field."""
-    files = t.read("documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("slug"), F.lit("vs").alias("vector_store_id"))
+    files = t.read("documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("slug"), F.lit("vs").alias("store_id"))
     kinds = "scope string, ident string, chunk_max_tokens long, relations_enabled boolean, labels string"
     fixed = t.spark.createDataFrame([("dir", "src1", 256, False, None), ("dir", "src2", None, None, "dir"), ("store", "vs", None, True, "store")], kinds)
     of_files = files.filter("CAST(file_id AS BIGINT) % 10 = 0").select(F.lit("file").alias("scope"), F.col("file_id").alias("ident"), F.lit(128).cast("long").alias("chunk_max_tokens"), F.lit(None).cast("boolean").alias("relations_enabled"), F.lit(None).cast("string").alias("labels"))

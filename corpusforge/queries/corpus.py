@@ -1,4 +1,4 @@
-"""Bodies, boilerplate, quality, entities and redundancy over documents and vectors."""
+"""Bodies, boilerplate, quality, entities and redundancy over documents and embeddings."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from corpusforge.queries.shared import DOT, LINES, TOKENS
 from corpusforge.sources import files
 
 RATIO, MIN_DOCS = 0.02, 5
-#: No two of the driver's vectors are as alike as the default, 0.96.
+#: No two of the driver's embeddings are as alike as the default, 0.96.
 DENSE = 0.40
 
 
@@ -221,7 +221,7 @@ PAIRS = f"pairs AS (SELECT a.vec_id AS id, b.vec_id AS other, round({DOT.format(
 
 @query(f"WITH {PAIRS} SELECT id, other, score FROM pairs WHERE id < other")
 def similar_pairs(t: Tables):
-    """All pairs of vectors at least so alike, from products of blocks."""
+    """All pairs of embeddings at least so alike, from products of blocks."""
     return curation.similar_pairs(t.points(), DENSE).filter("id < other")
 
 
@@ -239,7 +239,7 @@ components AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)"""
 
 
 def clusters(t: Tables):
-    """Components of points near by vector whose documents are also near by words."""
+    """Components of points near by embedding whose documents are also near by words."""
     points = t.points()
     docs = t.read("documents").join(points.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return curation.connected_components(curation.near_duplicate_edges(points, search.term_weights(docs, "doc_id", "text"), DENSE))
@@ -247,7 +247,7 @@ def clusters(t: Tables):
 
 @query(f"WITH RECURSIVE {EDGES} SELECT * FROM components")
 def near_dup_clusters(t: Tables):
-    """Components of mutual neighbours both by vector and by words."""
+    """Components of mutual neighbours both by embedding and by words."""
     return clusters(t)
 
 

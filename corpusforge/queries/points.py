@@ -24,7 +24,7 @@ def file_listing(t: Tables):
 @query("SELECT vec_id AS id, label AS category, len(embedding)::BIGINT AS dims FROM embeddings")
 def point_scan(t: Tables):
     """Points with the columns that are asked for alone."""
-    return t.points().select("id", "category", F.size("vector").cast("long").alias("dims"))
+    return t.points().select("id", "category", F.size("embedding").cast("long").alias("dims"))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE label IS DISTINCT FROM 3")
@@ -70,7 +70,7 @@ def upsert_files(t: Tables):
 
 @query(f"SELECT doc_id AS id, unnest(list_distinct({TOKENS})) AS term FROM documents")
 def sparse_terms(t: Tables):
-    """The terms of each document's sparse vector."""
+    """The words of each document with their weights."""
     return search.term_weights(t.read("documents"), "doc_id", "text").select("id", "term")
 
 

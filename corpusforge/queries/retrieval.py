@@ -1,4 +1,4 @@
-"""Search over vectors and texts: channels, fusion, ranking, filters, evaluation."""
+"""Search over embeddings and texts: channels, fusion, ranking, filters, evaluation."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ EVERY = 20
 AS_OF = 1735689600.0
 
 
-def vectors_of(t: Tables):
-    return t.points().filter(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "vector")
+def embeddings_of(t: Tables):
+    return t.points().filter(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "embedding")
 
 
 def weights(t: Tables):
@@ -32,7 +32,7 @@ def terms_of(t: Tables):
 
 
 def dense(t: Tables, k: int = 150):
-    return search.dense_channel(t.points(), vectors_of(t), k)
+    return search.dense_channel(t.points(), embeddings_of(t), k)
 
 
 def sparse(t: Tables, k: int = 150):
@@ -64,7 +64,7 @@ def channels(t: Tables):
 
 @query(f"WITH {DENSE_SQL} SELECT * FROM dense")
 def dense_topk(t: Tables):
-    """Exact nearest vectors of each query."""
+    """Exact nearest embeddings of each query."""
     return dense(t).select("query_id", "id", "score", "rank")
 
 
@@ -93,7 +93,7 @@ def dbsf_fuse(t: Tables):
 @query(f"WITH {FUSED_SQL} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 15")
 def hybrid_search(t: Tables):
     """Dense and sparse channels, fused and cut to 15 for each query."""
-    fused = plan.candidates(t.points(), weights(t), vectors_of(t), terms_of(t), plan.SearchRequest())
+    fused = plan.candidates(t.points(), weights(t), embeddings_of(t), terms_of(t), plan.SearchRequest())
     return search.top_k(fused.drop("rank"), 15, [F.desc("score"), F.asc("id")]).select("query_id", "id", "score", "rank")
 
 
@@ -127,7 +127,7 @@ def recency_boost(t: Tables):
 @query()
 def mmr_order(t: Tables):
     """Greedy diversity within each query's pool; sequential, so beyond the twin."""
-    pool = dense(t, 45).withColumn("position", F.col("rank")).join(t.points().select("id", "vector"), "id")
+    pool = dense(t, 45).withColumn("position", F.col("rank")).join(t.points().select("id", "embedding"), "id")
     return search.mmr(pool, 0.4, 15).filter("position <= 15")
 
 
@@ -138,7 +138,7 @@ SELECT id, score, 'seed' AS source, NULL::DOUBLE AS similarity FROM seeds UNION
 SELECT id, 0.0, 'neighbor', max(score) FROM two WHERE id NOT IN (SELECT id FROM seeds) GROUP BY id""")
 def recommend_neighbors(t: Tables):
     """The seeds, then the nearest two points of each that are new."""
-    seeds = vectors_of(t).select(F.col("query_id").alias("id"), F.lit(1.0).alias("score"))
+    seeds = embeddings_of(t).select(F.col("query_id").alias("id"), F.lit(1.0).alias("score"))
     return search.recommend(t.points(), seeds, 2)
 
 
@@ -225,8 +225,16 @@ def lexical_overlap(t: Tables):
 
 
 def _overlaps(t: Tables):
+    """(item_id, doc_id, overlap, rank): the five best documents of each item.
+
+    Documents are dealt by id once, so that where the items are small enough to be
+    broadcast, the counts of a document are complete in its own partition, and only
+    the best five of each item there are shuffled. Without a broadcast the same
+    counts come from a shuffle by word and another by pair.
+    """
     q = t.read("benchmark").select("item_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
-    d = t.read("documents").select("doc_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
+    words = t.read("documents").select("doc_id", F.array_distinct(text.tokens("text")).alias("words")).repartition("doc_id")
+    d = words.select("doc_id", F.explode_outer("words").alias("term"))  # an inner one would have words worked out twice, for a filter
     shared = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     return search.top_k(shared, 5, [F.desc("overlap"), F.asc("doc_id")], by="item_id")
 
@@ -298,7 +306,7 @@ def final_ranking(t: Tables):
     docs = scored(t).select("doc_id", "q.quality_score").join(t.read("documents").select("doc_id", "text", "source"), "doc_id")
     points = docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("file_id"), "quality_score", (F.lit(int(AS_OF)) - F.col("doc_id") % 90 * 86400).cast("string").alias("created_at"))
     request = plan.SearchRequest(recency_half_life=30, as_of=AS_OF, max_per_file=2, min_quality=0.9)
-    fused = plan.candidates(t.points(), weights(t), vectors_of(t), terms_of(t), request)
+    fused = plan.candidates(t.points(), weights(t), embeddings_of(t), terms_of(t), request)
     return plan.finish(fused, points, request).select("query_id", "id", "position")
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.functions import text, time, vectors
+from corpusforge.functions import embeddings, text, time
 from corpusforge.operators import entities
 
 
@@ -90,9 +90,9 @@ def test_windows(spark):
     assert one(spark, text.windows("t"), "t string", ("a  b",)) == ["a  b"]
 
 
-def test_vectors(spark):
+def test_embeddings(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
-    got = df.select(vectors.cosine("a", "b").alias("c"), vectors.normalize("a").alias("n")).collect()
+    got = df.select(embeddings.cosine("a", "b").alias("c"), embeddings.normalize("a").alias("n")).collect()
     assert got[0].c == pytest.approx(0.96) and got[0].n == pytest.approx([0.6, 0.8])
     assert got[1].c == 0 and list(got[1].n) == [0, 0]
 

@@ -74,7 +74,7 @@ def test_limit_per_file(spark):
 
 def test_mmr(spark):
     rows = [(1, "a", 1.0, 1, [1.0, 0.0]), (1, "b", 0.9, 2, [1.0, 0.0]), (1, "c", 0.5, 3, [0.0, 1.0]), (1, "d", 0.8, 4, None)]
-    df = spark.createDataFrame(rows, "query_id int, id string, score double, position long, vector array<double>")
+    df = spark.createDataFrame(rows, "query_id int, id string, score double, position long, embedding array<double>")
     order = lambda d: [r.id for r in search.mmr(df, d, 10).orderBy("position").collect()]
     assert order(0) == ["a", "b", "c", "d"] and order(0.7) == ["a", "c", "b", "d"] and order(1)[0] == "a"
 
@@ -101,7 +101,7 @@ def test_components(spark, edges):
 
 
 def test_near_duplicates_need_both_kinds_of_likeness(spark):
-    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.99, 0.141]), (4, [0.0, 1.0])], "id int, vector array<double>")
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.99, 0.141]), (4, [0.0, 1.0])], "id int, embedding array<double>")
     weights = spark.createDataFrame([(1, "a", 2), (2, "a", 1), (3, "b", 1), (4, "a", 1)], "id int, term string, weight int")
     edges = curation.near_duplicate_edges(points, weights)
     assert [tuple(r) for r in edges.collect()] == [(1, 2)]
@@ -119,7 +119,7 @@ def test_bands_find_what_blocks_find(spark):
     near = v[:60] + 0.1 * r.standard_normal((60, 16))
     every = np.concatenate([v, near, v[:5], v[:5]])
     every /= np.linalg.norm(every, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "id int, vector array<double>")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "id int, embedding array<double>")
     exact = {tuple(x) for x in curation.similar_pairs(df, 0.96).select("id", "other").collect()}
     found = {tuple(x) for x in curation.banded_pairs(df, 0.96).select("id", "other").collect()}
     assert found <= exact and len(exact) > 60
@@ -130,7 +130,7 @@ def test_bands_find_what_blocks_find(spark):
 
 
 def test_outliers_and_clusters(spark):
-    points = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(9)] + [(9, [-1.0, 0.0])], "id int, vector array<double>")
+    points = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(9)] + [(9, [-1.0, 0.0])], "id int, embedding array<double>")
     assert [r.id for r in curation.semantic_outliers(points).collect()] == [9]
     assert curation.semantic_outliers(points.limit(2)).count() == 0
     found = curation.semantic_clusters(points)
@@ -190,7 +190,7 @@ def test_admission(spark):
 
 
 def test_cascade_false_is_a_value(spark):
-    files = spark.createDataFrame([("f1", "d1"), ("f2", "d2")], "file_id string, slug string").withColumn("vector_store_id", F.lit("vs"))
+    files = spark.createDataFrame([("f1", "d1"), ("f2", "d2")], "file_id string, slug string").withColumn("store_id", F.lit("vs"))
     schemas = spark.createDataFrame([("file", "f1", 64, None), ("dir", "d1", 128, False), ("store", "vs", None, True)], "scope string, ident string, tokens int, on boolean")
     got = catalog.schema_cascade(files, schemas, {"tokens": 512, "on": True})
     assert sorted((r.file_id, r.tokens, r.on) for r in got.collect()) == [("f1", 64, False), ("f2", 512, True)]
@@ -239,9 +239,9 @@ def test_relation_hygiene(spark):
 
 def test_search_end_to_end(spark):
     texts = ["fox and dog", "fox and dog", "the cat", "a fox alone", "nothing here"]
-    points = spark.createDataFrame([(i, [1.0, i / 10], t, f"s{i % 2}", f"f{i % 2}", 1.0 - i / 10) for i, t in enumerate(texts)], "id long, vector array<double>, text string, slug string, file_id string, quality_score double")
+    points = spark.createDataFrame([(i, [1.0, i / 10], t, f"s{i % 2}", f"f{i % 2}", 1.0 - i / 10) for i, t in enumerate(texts)], "id long, embedding array<double>, text string, slug string, file_id string, quality_score double")
     weights = search.term_weights(points, "id", "text")
-    queries = spark.createDataFrame([(0, "fox dog", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    queries = spark.createDataFrame([(0, "fox dog", [1.0, 0.0])], "query_id long, query string, embedding array<double>")
     run = lambda **o: plan.finish(plan.candidates(points, weights, queries, plan.query_terms(queries), plan.SearchRequest(**o)), points, plan.SearchRequest(**o), queries).orderBy("position").collect()
     everything = [r.id for r in run()]
     assert everything[0] == 0 and 1 not in everything and len(everything) == 4
@@ -268,7 +268,7 @@ def test_overlapping_jobs(spark):
 
 
 def test_recommend(spark):
-    points = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(4)], "id long, vector array<double>")
+    points = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(4)], "id long, embedding array<double>")
     seeds = spark.createDataFrame([(0, 0.9)], "id long, score double")
     got = search.recommend(points, seeds, 2).collect()
     assert sorted((r.id, r.source, r.score) for r in got) == [(0, "seed", 0.9), (1, "neighbor", 0.0), (2, "neighbor", 0.0)]
@@ -282,15 +282,15 @@ def test_near_duplicate_edges_of_copies(spark):
         g = min(i % 20, 11)
         rows.append((i, base[g] if i % 3 else base[g] + 0.03 * r.standard_normal(16)))
     unit = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in rows]
-    points = spark.createDataFrame(unit, "id long, vector array<double>")
+    points = spark.createDataFrame(unit, "id long, embedding array<double>")
     terms = [(1, "other", 1.0), (5, "same", 50.0), (6, "same", 50.0)] + [(i, f"t{t}", float(r.uniform(0.5, 2))) for i in range(7, 120) for t in r.choice(8, 2, replace=False)]
     weights = spark.createDataFrame(terms, "id long, term string, weight double")
     got = {tuple(x) for x in curation.near_duplicate_edges(points, weights, 0.96, 5).collect()}
     assert (5, 6) in got and len(got) > 20
-    by_vector = curation.neighbour_edges(curation.similar_pairs(points, 0.96), 5)
-    assert {tuple(x) for x in curation.banded_edges(points, 0.96, 5).collect()} == {tuple(x) for x in by_vector.collect()}
+    by_embedding = curation.neighbour_edges(curation.similar_pairs(points, 0.96), 5)
+    assert {tuple(x) for x in curation.banded_edges(points, 0.96, 5).collect()} == {tuple(x) for x in by_embedding.collect()}
     shared = weights.alias("x").join(weights.alias("y"), "term").filter("x.id <> y.id").groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("other")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("score"))
-    assert got == {tuple(x) for x in by_vector.intersect(curation.neighbour_edges(shared, 5)).collect()}
+    assert got == {tuple(x) for x in by_embedding.intersect(curation.neighbour_edges(shared, 5)).collect()}
 
 
 def test_runs_and_single_flight(spark):
@@ -309,7 +309,7 @@ def test_attributes_match(spark):
 
 
 def test_outliers_of_few_points(spark):
-    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.1])], "id int, vector array<double>")
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.1])], "id int, embedding array<double>")
     assert tuple(curation.outlier_summary(two).first()) == (2, 0, 0.0, 0.0)
     assert curation.outlier_samples(two).count() == 0
     more = two.union(spark.createDataFrame([(3, [1.0, 0.1]), (4, [1.0, 0.0])], two.schema))
