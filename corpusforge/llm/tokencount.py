@@ -14,8 +14,10 @@ spliced at a place of the overlap that is a stable boundary of both:
 
 No place is taken inside a string that the library takes for an added token. Left
 of the place the first chunk counts, from it on the second. Where an overlap has no
-such place it is widened, and where the whole chunk has none the chunk is doubled,
-so the work stays in proportion to the text.
+such place it is widened, and where the whole chunk has none, what follows the last
+place of the first kind is encoded anew and twice as far: a place of the second kind
+holds for the tokens at both its sides, not for a text that begins there. As what is
+encoded anew doubles each time, the work stays in proportion to the text.
 
 Defined results: a null or empty text has no tokens; special strings in texts
 count as the library counts them by default; repeated rows are counted each;
@@ -24,8 +26,6 @@ no text is cut. The model must be a byte-level BPE by the common pattern.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,41 +44,45 @@ class Chunk:
     """The tokens of a stretch of a text, placed in that text."""
 
     def __init__(self, model, text: str, start: int, stop: int):
-        found = model.encode(text[start:stop], add_special_tokens=False)
-        self.ids = found.ids
-        self.starts = [start + a for a, _ in found.offsets]
-        self.ends = [start + b for _, b in found.offsets]
+        self.found = model.encode(text[start:stop], add_special_tokens=False)
+        self.start, self.ids = start, self.found.ids
+
+    def at(self, p: int) -> int | None:
+        """The token that covers character ``p`` of the text."""
+        return self.found.char_to_token(p - self.start)
 
-    def after(self, i: int) -> Chunk:
-        """What is left from token ``i`` on."""
-        self.ids, self.starts, self.ends = self.ids[i:], self.starts[i:], self.ends[i:]
-        return self
+    def span(self, i: int) -> tuple[int, int]:
+        a, b = self.found.token_to_chars(i)
+        return self.start + a, self.start + b
+
+    def seam(self, p: int) -> int | None:
+        """The token that begins at ``p`` where another ends at ``p``; no character is split there."""
+        i = self.at(p)
+        return i if i and self.span(i)[0] == p and self.span(i - 1)[1] == p and self.span(i - 1)[0] < p else None
 
 
 def _solid(c: str) -> bool:
     return not c.isspace() and c not in _DOUBTFUL
 
 
-def splice(text: str, left: Chunk, right: Chunk, first: int, added: list[str]) -> tuple[int, int] | None:
-    """Numbers of the tokens of both that begin at a common stable place from ``first`` on."""
-    at = {s: j for j, s in reversed(list(enumerate(right.starts)))}
-    last = left.ends[-1] - 1 if left.ends else 0
-    for i in range(bisect_left(left.starts, first), len(left.starts)):
-        p = left.starts[i]
-        if p >= last:
-            return None
-        j = at.get(p)
-        if not i or not j or left.starts[i - 1] == p or left.ends[i - 1] != p or right.ends[j - 1] != p:
-            continue
+def splice(text: str, left: Chunk, right: Chunk, first: int, stop: int, added: list[str]) -> tuple[int, int, int, bool] | None:
+    """The first common stable place from ``first`` on and before ``stop``, where ``left`` ends.
+
+    Gives the place, the tokens of both that begin there, and whether it is of the first kind.
+    """
+    for p in range(first, stop - 1):
         if not _solid(text[p - 1]):
             continue
+        space = text[p] == " " and _solid(text[p + 1])
+        if not space and (not _solid(text[p]) or "'" in text[max(0, p - 3) : p]):
+            continue
+        i, j = left.seam(p), right.seam(p)
+        if i is None or j is None:
+            continue
         if any(text.find(a, max(0, p - len(a) + 1), p + len(a) - 1) >= 0 for a in added):
             continue
-        if text[p] == " " and _solid(text[p + 1]):
-            return i, j
-        same = left.ids[i] == right.ids[j] and left.ends[i] == right.ends[j] and left.ids[i - 1] == right.ids[j - 1]
-        if same and _solid(text[p]) and "'" not in text[max(0, p - 3) : p]:
-            return i, j
+        if space or (left.ids[i] == right.ids[j] and left.span(i) == right.span(j) and left.ids[i - 1] == right.ids[j - 1]):
+            return p, i, j, space
     return None
 
 
@@ -90,21 +94,25 @@ def count_spliced(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
     if added is None:
         added = [t.decode() for t in tokens.added_tokens(model)]
     total, begin, end = 0, 0, min(chunk, len(text))
-    left = Chunk(model, text, begin, end)
+    sure, before = 0, 0  # the last start that holds for any text from there on, and the tokens before it
+    left, skipped = Chunk(model, text, begin, end), 0
     while end < len(text):
         width, found = overlap, None
         stop = min(len(text), end + chunk)
         while found is None and width < end - begin:
             right = Chunk(model, text, end - width, stop)
-            found = splice(text, left, right, end - width + 1, added)
+            found = splice(text, left, right, end - width + 1, end, added)
             width *= 4
-        if found is None:  # no stable place in the chunk: it doubles
-            end = min(len(text), end + max(chunk, end - begin))
+        if found is None:  # no stable place in the chunk
+            begin, end, total, skipped = sure, min(len(text), end + max(chunk, end - sure)), before, 0
             left = Chunk(model, text, begin, end)
             continue
-        total += found[0]
-        begin, end, left = right.starts[found[1]], stop, right.after(found[1])
-    return total + len(left.ids)
+        place, i, j, certain = found
+        total += i - skipped
+        if certain:
+            sure, before = place, total
+        begin, end, left, skipped = place, stop, right, j
+    return total + len(left.ids) - skipped
 
 
 def untrimmed(path: str):

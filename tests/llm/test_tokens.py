@@ -148,6 +148,18 @@ def test_spliced_counts():
             assert tokencount.count_spliced(model, t, chunk, overlap) == len(plain.encode(t, add_special_tokens=False).ids), t[:50]
 
 
+def test_spliced_counts_where_a_chunk_doubles_inside_marks():
+    model, plain = tokencount.untrimmed(JSON), Tokenizer.from_file(JSON)
+    size = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    for t in (" " * 16320 + "~'d" + " " * 40_000, " " * 16320 + "~'d" + "\n" * 40_000 + "x", "'s's" * 20_000):
+        assert tokencount.count_spliced(model, t) == size(t)
+    r = random.Random(3)
+    for _ in range(6000):
+        some = r.sample(["'", "~", "'d", "'ll", "d", "1", " ", "\n", "é", "ab", " of"], r.randint(2, 6))
+        t = "".join(r.choice(some) * r.choice([1, 1, 2, 9, 60]) for _ in range(r.randint(1, 40)))
+        assert tokencount.count_spliced(model, t, r.choice([30, 60]), r.choice([4, 8, 16])) == size(t), t
+
+
 def test_splicing_takes_time_in_proportion():
     model = tokencount.untrimmed(JSON)
     r = random.Random(6)
