@@ -7,13 +7,14 @@ from corpusforge.llm.decontam import op9_decontaminate
 from corpusforge.llm.fingerprints import op4_fingerprints
 from corpusforge.llm.licenses import op2_license_scan
 from corpusforge.llm.neardup import op6_near_duplicates
+from corpusforge.llm.pairbpe import op12_pair_bpe
 from corpusforge.llm.secrets import op7_secret_ledger
 from corpusforge.llm.tokenbin import op8_token_binary
 from corpusforge.llm.tokencount import op10_token_counts
 from corpusforge.llm.toxicity import op3_toxicity
 from corpusforge.llm.warczip import op5_warc_zip
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_fingerprints, op5_warc_zip, op6_near_duplicates, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_fingerprints, op5_warc_zip, op6_near_duplicates, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts, op12_pair_bpe)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
