@@ -12,9 +12,10 @@ from corpusforge.llm.secrets import op7_secret_ledger
 from corpusforge.llm.tokenbin import op8_token_binary
 from corpusforge.llm.tokencount import op10_token_counts
 from corpusforge.llm.toxicity import op3_toxicity
+from corpusforge.llm.vectorcodes import op11_vector_codes, vector_codes_sql
 from corpusforge.llm.warczip import op5_warc_zip
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_fingerprints, op5_warc_zip, op6_near_duplicates, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts, op12_pair_bpe)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_fingerprints, op5_warc_zip, op6_near_duplicates, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts, op11_vector_codes, op12_pair_bpe)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -79,4 +80,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_zip": WARC_SQL,
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_decontaminate": DECONTAMINATION_SQL,
+    "op11_vector_codes": vector_codes_sql(),
 }
