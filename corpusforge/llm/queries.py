@@ -6,6 +6,7 @@ from corpusforge.llm.bpe import op1_byte_bpe
 from corpusforge.llm.decontam import op9_decontaminate
 from corpusforge.llm.fingerprints import op4_fingerprints
 from corpusforge.llm.licenses import op2_license_scan
+from corpusforge.llm.lexical import op13_lexical_search
 from corpusforge.llm.neardup import op6_near_duplicates
 from corpusforge.llm.pairbpe import op12_pair_bpe
 from corpusforge.llm.secrets import op7_secret_ledger
@@ -15,7 +16,7 @@ from corpusforge.llm.toxicity import op3_toxicity
 from corpusforge.llm.vectorcodes import op11_vector_codes, vector_codes_sql
 from corpusforge.llm.warczip import op5_warc_zip
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_fingerprints, op5_warc_zip, op6_near_duplicates, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts, op11_vector_codes, op12_pair_bpe)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_fingerprints, op5_warc_zip, op6_near_duplicates, op7_secret_ledger, op8_token_binary, op9_decontaminate, op10_token_counts, op11_vector_codes, op12_pair_bpe, op13_lexical_search)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,9 +77,31 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
 """
 
+LEXICAL_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents
+), size AS (
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM docs WHERE len(w) > 0
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), gains AS (
+  SELECT r, doc_id, term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))) AS g
+  FROM tf JOIN df USING (term), size
+), terms AS (
+  SELECT DISTINCT item_id, unnest({_ALNUM}) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, r, doc_id, sum(g)::BIGINT AS score FROM terms JOIN gains USING (term) GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_warc_zip": WARC_SQL,
     "op6_near_duplicates": NEAR_DUPLICATES_SQL,
     "op9_decontaminate": DECONTAMINATION_SQL,
     "op11_vector_codes": vector_codes_sql(),
+    "op13_lexical_search": LEXICAL_SQL,
 }
