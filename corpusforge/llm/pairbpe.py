@@ -43,7 +43,7 @@ from corpusforge.llm import common, tokens
 
 BYTE_50K = "byte_bpe_50k.json"
 #: Answers that the table of pairs, and pre-tokens that the memo of ids, hold before they start anew.
-PAIRS, KEPT = 1 << 20, 1 << 19
+PAIRS, KEPT = 1 << 18, 1 << 15
 
 
 class PairModel:
@@ -68,7 +68,8 @@ class PairModel:
         # what a token ends and begins with while it is made, each with the merge that ends it
         self.last = {i: self._lives(i, 1) for i in vocab.values()}
         self.first = {i: self._lives(i, 0) for i in vocab.values()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.ids_end = max(vocab.values()) + 1
         # a token that merging never gives is no candidate
         able = {t: i for t, i in vocab.items() if i not in self.parts or self._comes_about(i)}
         self.shorter = {i: next((able[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in able), None) for t, i in able.items()}
@@ -107,11 +108,9 @@ class PairModel:
         return not self._crossed(a, b, self.rank[a, b])
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = not self._crossed(a, b, float("inf"))
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a * self.ids_end + b] = not self._crossed(a, b, float("inf"))
         return found
 
     def backtrack(self, piece: str) -> array:
@@ -120,26 +119,33 @@ class PairModel:
         longest = [-1] * n
         for end, (back, i) in self.automaton.iter(piece):
             longest[end - back] = i  # ends grow, so the last is the longest
-        size, shorter, compatible = self.size, self.shorter, self.compatible
-        dead, out, at = bytearray(n + 1), [], 0
-        token = longest[0]
+        size, shorter, pairs, ids_end = self.size, self.shorter, self.pairs, self.ids_end
+        dead, out, at = bytearray(n + 1), array("I"), 0
+        token, before = longest[0], -1
         while at < n:
             if token is None or token < 0:  # nothing leads on from here
-                if not out:
+                if before < 0:
                     raise ValueError("a text has a byte without a token")
                 dead[at] = 1
                 token = out.pop()
+                before = out[-1] if out else -1
                 at -= size[token]
                 token = shorter[token]
                 continue
             end = at + size[token]
-            if not dead[end] and (not out or compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else None
-            else:
+            if dead[end]:
                 token = shorter[token]
-        return array("I", out)
+                continue
+            if before >= 0:
+                fit = pairs.get(before * ids_end + token)
+                if not (self.compatible(before, token) if fit is None else fit):
+                    token = shorter[token]
+                    continue
+            out.append(token)
+            at, before = end, token
+            if at < n:
+                token = longest[at]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
