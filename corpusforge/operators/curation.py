@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import embeddings
-from corpusforge.session import shared_dir
+from corpusforge.session import fresh_path
 
 
 def body_provenance(chunks: DataFrame) -> DataFrame:
@@ -46,7 +44,7 @@ def purge_file(provenance: DataFrame, file_ids: list[str]) -> DataFrame:
 def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder in spark.checkpoint.dir and read back, to cut lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -253,13 +251,12 @@ def outlier_samples(points: DataFrame, n: int = 25, digits: int = 6) -> DataFram
 def semantic_clusters(points: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     """(id, cluster) by cosine k-means; k is the rounded root of half the points, 2 to 30."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
     n = points.count()
     if n < 2:
         return points.select("id", F.lit(0).alias("cluster"))
     k = k or min(30, max(2, round((n / 2) ** 0.5)))
-    rows = points.select("id", array_to_vector(embeddings.normalize("embedding")).alias("features"))
+    rows = points.select("id", embeddings.features("embedding").alias("features"))
     model = KMeans(k=min(k, n), seed=seed, distanceMeasure="cosine", maxIter=20).fit(rows)
     return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
 

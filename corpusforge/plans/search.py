@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text
 from corpusforge.functions.time import epoch, recency
-from corpusforge.operators import filters, graph, search
+from corpusforge.operators import filters, graph, ivf, search
 
 
 class Embedder(Protocol):
@@ -52,6 +52,7 @@ class SearchRequest:
     fusion_limit: int = 250
     rerank_pool: int = 200
     dense_threshold: float = 0.05
+    probes: int | None = None
     sparse_threshold: float = 0.0
     fusion: str = "rrf"
     rerank: bool = False
@@ -84,15 +85,21 @@ def rerank(rows: DataFrame, reranker: Reranker = word_cosine) -> DataFrame:
     return rows.withColumn("rerank_score", F.pandas_udf(scores, "double")("query", "text"))
 
 
-def candidates(points: DataFrame, weights: DataFrame, queries: DataFrame, query_terms: DataFrame, request: SearchRequest) -> DataFrame:
+def candidates(points: DataFrame, weights: DataFrame, queries: DataFrame, query_terms: DataFrame, request: SearchRequest, index: ivf.Index | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the fused dense and sparse channels.
 
     The filter and the scope stand below every channel, so they are applied
-    before any cut.
+    before any cut. With an index of the points, dense search reads cells of it:
+    the nearest ``probes`` of the request, or those that an exact search needs.
     """
     allowed = points.filter(filters.scope(request.slugs) & filters.compile_filter(points, request.filters))
-    dense = search.dense_channel(allowed, queries, request.dense_limit, request.dense_threshold).withColumn("channel", F.lit("dense"))
-    inside = weights if request.filters is None and not request.slugs else weights.join(allowed.select("id"), "id", "left_semi")
+    everything = request.filters is None and not request.slugs
+    if index is not None:
+        dense = ivf.search(index, queries, request.dense_limit, request.probes, request.dense_threshold, within=None if everything else allowed)
+    else:
+        dense = search.dense_channel(allowed, queries, request.dense_limit, request.dense_threshold)
+    dense = dense.withColumn("channel", F.lit("dense"))
+    inside = weights if everything else weights.join(allowed.select("id"), "id", "left_semi")
     sparse = search.sparse_channel(inside, query_terms, request.sparse_limit, request.sparse_threshold).withColumn("channel", F.lit("sparse"))
     columns = ["query_id", "channel", "id", "score", "rank"]
     channels = dense.select(columns).unionByName(sparse.select(F.col("query_id"), "channel", "id", F.col("score").cast("double").alias("score"), "rank"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text
 from corpusforge.functions.time import epoch, recency
-from corpusforge.operators import evaluation, filters, search
+from corpusforge.operators import evaluation, filters, ivf, search
 from corpusforge.plans import search as plan
 from corpusforge.plans.projections import Tables
 from corpusforge.queries.corpus import SIGNALS, scored
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import DOT, JOBS, TOKENS
+from corpusforge.session import fresh_path
 
 #: Every row whose id is divisible by this is a query, against all rows.
 EVERY = 20
@@ -68,6 +69,30 @@ def dense_topk(t: Tables):
     return dense(t).select("query_id", "id", "score", "rank")
 
 
+def indexed(t: Tables):
+    """An inverted-file index of all embeddings, written to the shared folder."""
+    return ivf.build(t.points(), fresh_path(t.spark, "cells"))
+
+
+@query(f"WITH {DENSE_SQL.replace('rank <= 150', 'rank <= 10')} SELECT * FROM dense")
+def ivf_exact(t: Tables):
+    """The ten nearest embeddings, cells ruled out by what they can score at most."""
+    return ivf.search(indexed(t), embeddings_of(t), 10).select("query_id", "id", "score", "rank")
+
+
+@query()
+def ivf_topk(t: Tables):
+    """The ten nearest embeddings of the nearest cells, as many as a recall of 0.95 takes; tested against the exact ones."""
+    index = indexed(t)
+    return ivf.search(index, embeddings_of(t), 10, ivf.probes_for(index, embeddings_of(t))).select("query_id", "id", "score", "rank")
+
+
+@query()
+def ivf_recall(t: Tables):
+    """What each number of probes finds of the exact neighbours, and the share of points that it reads."""
+    return ivf.recall_by_probes(indexed(t), embeddings_of(t))
+
+
 @query(f"WITH {SPARSE_SQL} SELECT * FROM sparse")
 def sparse_topk(t: Tables):
     """Documents by inner product of word counts."""
