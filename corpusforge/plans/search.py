@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text
 from corpusforge.functions.time import epoch, recency
-from corpusforge.operators import filters, graph, ivf, search
+from corpusforge.operators import filters, fulltext, graph, ivf, postings, search
 
 
 class Embedder(Protocol):
@@ -85,7 +85,7 @@ def rerank(rows: DataFrame, reranker: Reranker = word_cosine) -> DataFrame:
     return rows.withColumn("rerank_score", F.pandas_udf(scores, "double")("query", "text"))
 
 
-def candidates(points: DataFrame, weights: DataFrame, queries: DataFrame, query_terms: DataFrame, request: SearchRequest, index: ivf.Index | None = None) -> DataFrame:
+def candidates(points: DataFrame, weights: DataFrame | postings.Postings, queries: DataFrame, query_terms: DataFrame, request: SearchRequest, index: ivf.Index | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the fused dense and sparse channels.
 
     The filter and the scope stand below every channel, so they are applied
@@ -99,18 +99,24 @@ def candidates(points: DataFrame, weights: DataFrame, queries: DataFrame, query_
     else:
         dense = search.dense_channel(allowed, queries, request.dense_limit, request.dense_threshold)
     dense = dense.withColumn("channel", F.lit("dense"))
-    inside = weights if everything else weights.join(allowed.select("id"), "id", "left_semi")
-    sparse = search.sparse_channel(inside, query_terms, request.sparse_limit, request.sparse_threshold).withColumn("channel", F.lit("sparse"))
+    if isinstance(weights, postings.Postings):
+        sparse = postings.search(weights, query_terms, request.sparse_limit, request.sparse_threshold, within=None if everything else allowed)
+    else:
+        inside = weights if everything else weights.join(allowed.select("id"), "id", "left_semi")
+        sparse = search.sparse_channel(inside, query_terms, request.sparse_limit, request.sparse_threshold)
+    sparse = sparse.withColumn("channel", F.lit("sparse"))
     columns = ["query_id", "channel", "id", "score", "rank"]
     channels = dense.select(columns).unionByName(sparse.select(F.col("query_id"), "channel", "id", F.col("score").cast("double").alias("score"), "rank"))
     fused = search.rrf(channels) if request.fusion == "rrf" else search.dbsf(channels)
     return search.top_k(fused, request.fusion_limit, [F.desc("score"), F.asc("id")])
 
 
-def augment(rows: DataFrame, points: DataFrame, request: SearchRequest, mentions: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+def augment(rows: DataFrame, points: DataFrame, request: SearchRequest, mentions: DataFrame | None = None, edges: DataFrame | None = None, terms: DataFrame | None = None, texts: fulltext.TextIndex | None = None) -> DataFrame:
     """Each query's candidates fused with its graph and lexical channels, where asked for.
 
-    rows: query_id, id, rank. Without an extra channel the rows come back unchanged.
+    rows: query_id, id, rank. ``terms`` (query_id, terms) are each query's own exact terms,
+    looked up in the index ``texts`` of the points; a request's ``terms`` go for all of its
+    queries. Without an extra channel the rows come back unchanged.
     """
     extra = []
     allowed = points.filter(filters.scope(request.slugs) & filters.compile_filter(points, request.filters))
@@ -123,9 +129,12 @@ def augment(rows: DataFrame, points: DataFrame, request: SearchRequest, mentions
             near = near.unionByName(beside.withColumn("w", F.lit(0.0)))
         extra.append(("graph", near))
     if request.terms:
-        # the request's terms go for all of its queries; the channel has thirty rows at most
+        # the channel has thirty rows at most
         hits = search.lexical_channel(allowed, request.terms).select("id", F.col("overlap").cast("double").alias("w"))
         extra.append(("lexical", rows.select("query_id").distinct().join(F.broadcast(hits))))
+    if terms is not None and texts is not None:
+        own = fulltext.search(texts, points, terms.join(rows.select("query_id").distinct(), "query_id", "left_semi"), within=allowed)
+        extra.append(("own terms", own.select("query_id", "id", F.col("overlap").cast("double").alias("w"))))
     if not extra:
         return rows
     channels = rows.select("query_id", F.lit("embedding").alias("channel"), "id", "rank")
@@ -188,6 +197,11 @@ def query_terms(texts: DataFrame) -> DataFrame:
     return search.term_weights(texts, "query_id", "query").withColumnRenamed("id", "query_id")
 
 
+def own_terms(texts: DataFrame) -> DataFrame:
+    """(query_id, terms): the exact terms of each of (query_id, query)."""
+    return texts.select("query_id", text.lexical_terms("query").alias("terms")).filter(F.size("terms") > 0)
+
+
 def exact_terms(query: str, spark) -> list[str]:
     """The exact terms of one query, as the lexical channel takes them."""
     return spark.range(1).select(text.lexical_terms(F.lit(query)).alias("t")).first()["t"]

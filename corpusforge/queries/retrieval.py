@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text
 from corpusforge.functions.time import epoch, recency
-from corpusforge.operators import evaluation, filters, ivf, search
+from corpusforge.operators import evaluation, filters, fulltext, ivf, postings, search
 from corpusforge.plans import search as plan
 from corpusforge.plans.projections import Tables
 from corpusforge.queries.corpus import SIGNALS, scored
@@ -99,6 +99,12 @@ def sparse_topk(t: Tables):
     return sparse(t).select("query_id", "id", "score", "rank")
 
 
+@query(f"WITH {SPARSE_SQL} SELECT * FROM sparse")
+def sparse_bounded(t: Tables):
+    """The same by score bounds, without pairing all documents of a common word."""
+    return postings.search(postings.build(weights(t)), terms_of(t), 150).select("query_id", "id", "score", "rank")
+
+
 @query(f"WITH {FUSED_SQL} SELECT * FROM fused")
 def rrf_fuse(t: Tables):
     return search.rrf(channels(t))
@@ -240,6 +246,28 @@ def document_reader(t: Tables):
     return search.read_document(t.turns().drop("role"), 800).select("file_id", "chunk_index", "text", "has_more")
 
 
+OWN_TERMS_SQL = rf"""asked AS (SELECT item_id, {TOKENS} AS w FROM benchmark), terms AS (
+  SELECT DISTINCT item_id, unnest(list_concat(list_filter(w, lambda x: length(x) >= 8), list_transform(range(1, len(w), 2), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM asked
+), parts AS (SELECT item_id, term, list_distinct(list_filter({TOKENS.replace('text', 'term')}, lambda x: length(x) BETWEEN 2 AND 30)) AS need FROM terms),
+texts AS (SELECT doc_id, lower(coalesce(text, '')) AS low, list_distinct({TOKENS}) AS have FROM documents),
+hits AS (SELECT DISTINCT item_id, doc_id FROM parts, texts WHERE len(need) > 0 AND list_has_all(have, need)),
+counted AS (SELECT item_id AS query_id, doc_id AS id, count(*) FILTER (contains(low, term)) AS overlap FROM hits JOIN texts USING (doc_id) JOIN parts USING (item_id) GROUP BY ALL)"""
+
+
+def own_terms(t: Tables):
+    """Each item's long words, and its words two by two."""
+    w = text.tokens("text")
+    two = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: (i % 2 == 1) & (i < F.size(w))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return t.read("benchmark").select(F.col("item_id").alias("query_id"), F.array_union(F.filter(w, lambda x: F.length(x) >= 8), two).alias("terms"))
+
+
+@query(f"WITH {OWN_TERMS_SQL} SELECT query_id, id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, id) AS rank FROM counted QUALIFY rank <= 30")
+def fulltext_topk(t: Tables):
+    """The thirty documents with most of each item's own terms, through an index of tokens."""
+    docs = t.read("documents").select(F.col("doc_id").alias("id"), "text")
+    return fulltext.search(fulltext.build(docs), docs, own_terms(t), 30).select("query_id", "id", "overlap", "rank")
+
+
 @query(rf"""WITH q AS (SELECT item_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark),
 d AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents),
 s AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN d USING (term) GROUP BY ALL)
