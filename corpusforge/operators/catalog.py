@@ -153,13 +153,39 @@ def reschedule(schedules: DataFrame, as_of: float, zone: str = "Europe/Rome") ->
     return out.withColumns({"next_run": F.when(is_due, F.col("_next")).otherwise(F.col("next_run")), "enabled": F.col("enabled") & (~is_due | F.col("_next").isNotNull())}).drop("_next")
 
 
-def client_order(jobs: DataFrame, mode: str = "name") -> DataFrame:
-    """The listing's orders: by name, newest first, or by status and then name."""
+#: How people read names: accents and case don't matter, except between names that are equal without.
+LOCALE, EXACT = "it_CI_AI", "it"
+
+
+def client_order(jobs: DataFrame, mode: str = "name", locale: str = LOCALE) -> DataFrame:
+    """The listing's orders: by name as its locale sorts it, newest first, or by status and then name."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(("FAILED", "PROCESSING", "PENDING", "COMPLETED", "EXCLUDED")) for x in (s, i)]), F.col("status"))
-    orders = {"name": [F.lower("filename"), F.col("filename")], "recent": [F.desc("created_at")], "status": [rank, F.lower("filename")]}
+    name = [F.collate("filename", locale), F.collate("filename", locale.split("_")[0]), F.col("filename")]
+    orders = {"name": name, "recent": [F.desc("created_at")], "status": [rank, *name]}
     return jobs.orderBy(*orders[mode], "job_id")
 
 
+def client_filter(jobs: DataFrame, needle: str | None = None, statuses: list[str] | None = None, locale: str = LOCALE) -> DataFrame:
+    """Rows whose name holds the needle, whatever case and accents, and of some statuses; blank ones ask for nothing."""
+    out = jobs
+    if needle and needle.strip():
+        out = out.filter(F.contains(F.collate("filename", locale), F.collate(F.lit(needle.strip()), locale)))
+    return out.filter(F.col("status").isin(statuses)) if statuses else out
+
+
+def client_counts(jobs: DataFrame, needle: str | None = None, locale: str = LOCALE) -> DataFrame:
+    """(status, n) of what a search for the needle finds, with a row for all."""
+    found = client_filter(jobs, needle, locale=locale)
+    return found.rollup("status").agg(F.count("*").alias("n")).select(F.coalesce("status", F.lit("all")).alias("status"), "n")
+
+
+def same_names(rows: DataFrame, column: str, locale: str = LOCALE) -> DataFrame:
+    """(name, n, forms): names that are equal in a locale, by their least form; nulls left out."""
+    name = F.col(column)
+    grouped = rows.filter(name.isNotNull()).groupBy(F.collate(name, locale).alias("_name")).agg(F.min(name).alias("name"), F.count("*").alias("n"), F.count_distinct(name).alias("forms"))
+    return grouped.select("name", "n", "forms")
+
+
 def page(df: DataFrame, limit: int, after: tuple | None = None, order: str = "created_at", key: str = "id", most: int = 500) -> DataFrame:
     """A page of the newest rows after the key (value, id) of the last, and ``has_more``."""
     limit = min(max(limit, 1), most)

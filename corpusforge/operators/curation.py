@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import embeddings
+from corpusforge.operators import postings
 from corpusforge.session import fresh_path
 
 
@@ -179,15 +180,31 @@ def banded_edges(points: DataFrame, threshold: float, k: int = 20, digits: int =
 BANDED = 0.9
 
 
-def near_duplicate_edges(points: DataFrame, weights: DataFrame, dense: float = 0.96, k: int = 20) -> DataFrame:
-    """Pairs within each other's best k by embedding that are also among the best k by shared terms."""
-    by_embedding = banded_edges(points, dense, k) if dense >= BANDED else neighbour_edges(similar_pairs(points, dense), k)
+def dense_edges(points: DataFrame, dense: float = 0.96, k: int = 20) -> DataFrame:
+    """(a, b), a < b: pairs within one's best k by embedding."""
+    return banded_edges(points, dense, k) if dense >= BANDED else neighbour_edges(similar_pairs(points, dense), k)
+
+
+def sparse_edges(weights: DataFrame, ids: DataFrame, k: int = 20) -> DataFrame:
+    """(a, b), a < b: the best k by shared terms of each of the ids, found by score bounds."""
+    queries = weights.join(ids, "id", "left_semi").withColumnRenamed("id", "query_id")
+    # one more than k, as an id may be among its own best
+    found = postings.search(postings.build(weights), queries, k + 1).filter("query_id <> id")
+    return neighbour_edges(found.select(F.col("query_id").alias("id"), F.col("id").alias("other"), "score"), k)
+
+
+def near_duplicate_parts(points: DataFrame, weights: DataFrame, dense: float = 0.96, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates, alike by embedding and by terms; and variants, alike by embedding alone."""
+    by_embedding = checkpoint_table(dense_edges(points, dense, k), "dense_edges")
     # only ids that have a dense neighbour can keep an edge
     ids = by_embedding.select(F.col("a").alias("id")).union(by_embedding.select("b")).distinct()
-    some = weights.join(ids, "id", "left_semi")
-    other = weights.select(F.col("id").alias("other"), "term", F.col("weight").alias("w2"))
-    scored = some.join(other, "term").filter("id <> other").groupBy("id", "other").agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
-    return by_embedding.intersect(neighbour_edges(scored, k))
+    by_terms = checkpoint_table(sparse_edges(weights, ids, k), "sparse_edges")
+    return by_embedding.intersect(by_terms), by_embedding.join(by_terms, ["a", "b"], "left_anti")
+
+
+def near_duplicate_edges(points: DataFrame, weights: DataFrame, dense: float = 0.96, k: int = 20) -> DataFrame:
+    """Pairs within each other's best k by embedding that are also among the best k by shared terms."""
+    return near_duplicate_parts(points, weights, dense, k)[0]
 
 
 def redundancy_stats(components: DataFrame, total: int) -> DataFrame:

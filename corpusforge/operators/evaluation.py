@@ -24,10 +24,17 @@ def metrics(found: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), digits: int =
     )
 
 
-def leakage(results: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Negative queries that got any result."""
-    some = negatives.select("query_id").distinct().join(results.select("query_id").distinct().withColumn("_hit", F.lit(1)), "query_id", "left")
-    return some.agg(F.count("*").alias("negatives"), F.count("_hit").alias("leaked"))
+def leakage(results: DataFrame, negatives: DataFrame, thresholds: tuple[float, ...] = (0.0,)) -> DataFrame:
+    """For each threshold: negative queries, those that got a result of at least that score, and the best score of any.
+
+    results: query_id, score; the score counts as 1 where there is none.
+    """
+    score = F.col("score") if "score" in results.columns else F.lit(1.0)
+    best = results.groupBy("query_id").agg(F.max(score).alias("best"))
+    each = negatives.select("query_id").distinct().join(best, "query_id", "left")
+    counts = each.agg(F.count("*").alias("negatives"), F.max("best").alias("max_score"), *[F.count_if(F.col("best") >= t).alias(f"_{i}") for i, t in enumerate(thresholds)])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}").alias("leaked")) for i, t in enumerate(thresholds)])).alias("x")
+    return counts.select(rows, "negatives", "max_score").select("x.threshold", "negatives", "x.leaked", "max_score")
 
 
 def compare(off: DataFrame, on: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text
 from corpusforge.operators import curation, entities, graph
+from corpusforge.plans import store
+
+POINTS = "points"
 
 
 def enrich(chunks: DataFrame) -> DataFrame:
@@ -46,28 +47,21 @@ def replace_files(old: DataFrame, new: DataFrame, key: str = "file_id") -> DataF
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def upsert(new: DataFrame, path: str, key: str = "file_id") -> DataFrame:
-    """Write the merged snapshot beside the old one; readers take the newest marker's.
+def upsert(new: DataFrame, path: str, key: str = "file_id", stream: str | None = None, batch: int | None = None) -> DataFrame:
+    """Replace the new rows' files in the store at a path; only their buckets are written.
 
-    The marker is written last, so a job that is lost halfway changes nothing.
+    A micro-batch that the store has noted as done is left out, so one that runs twice
+    is written once.
     """
-    spark = new.sparkSession
-    merged = new if (old := snapshot(spark, path)) is None else replace_files(old, new, key)
-    name = uuid.uuid4().hex
-    merged.write.parquet(f"{path}/data/{name}")
-    spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/markers")
-    return spark.read.parquet(f"{path}/data/{name}")
+    place = store.Store(new.sparkSession, path)
+    if stream is None or place.manifest()["batches"].get(stream, -1) < batch:
+        place.change().upsert(POINTS, new, key).commit(stream, batch)
+    return place.read(POINTS)
 
 
 def snapshot(spark, path: str) -> DataFrame | None:
-    """The newest whole snapshot at a path, or none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        last = spark.read.parquet(f"{path}/markers").orderBy(F.desc("at"), "name").first()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{path}/data/{last['name']}")
+    """The newest version's rows at a path, or none."""
+    return store.Store(spark, path).read(POINTS)
 
 
 def optimize(entities_: DataFrame, mentions: DataFrame, relations: DataFrame, chunks: DataFrame, points: DataFrame | None = None, weights: DataFrame | None = None, dense: float = 0.96, diagnostics: bool = False) -> dict[str, DataFrame]:

@@ -245,6 +245,15 @@ def clusters(t: Tables):
     return curation.connected_components(curation.near_duplicate_edges(points, search.term_weights(docs, "doc_id", "text"), DENSE))
 
 
+@query(f"WITH RECURSIVE {EDGES} SELECT a, b, true AS variant FROM (SELECT a, b FROM dense_edges EXCEPT SELECT a, b FROM sparse_edges) UNION ALL SELECT a, b, false FROM edges")
+def redundancy_variants(t: Tables):
+    """Near-duplicates, and variants: pairs that are alike by embedding and not by words."""
+    points = t.points()
+    docs = t.read("documents").join(points.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    both, alone = curation.near_duplicate_parts(points, search.term_weights(docs, "doc_id", "text"), DENSE)
+    return both.withColumn("variant", F.lit(False)).unionByName(alone.withColumn("variant", F.lit(True)))
+
+
 @query(f"WITH RECURSIVE {EDGES} SELECT * FROM components")
 def near_dup_clusters(t: Tables):
     """Components of mutual neighbours both by embedding and by words."""

@@ -304,15 +304,38 @@ SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END),
 def eval_recall_mrr(t: Tables):
     """How well word overlap finds the documents that hold a benchmark item."""
     found = _overlaps(t).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), "rank")
+    return evaluation.metrics(evaluation.ranks(found, _held(t)))
+
+
+def _held(t: Tables):
+    """(query_id, expect): the documents that hold each item, found by its rarest word."""
     items = t.read("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = t.read("documents").select(F.col("doc_id").alias("expect"), "text")
-    # each item's rarest word finds the ids that may hold it; texts are fetched for those alone
+    # texts are fetched for the ids that hold that word alone
     asked = items.select("query_id", F.explode(F.array_distinct(text.tokens("item"))).alias("term"))
     words = docs.select("expect", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("df"))
     probe = asked.join(counts, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     held = words.join(probe, "term").select("query_id", "expect").join(items, "query_id").join(docs, "expect")
-    return evaluation.metrics(evaluation.ranks(found, held.filter(F.contains("text", F.col("item"))).select("query_id", "expect").distinct()))
+    return held.filter(F.contains("text", F.col("item"))).select("query_id", "expect").distinct()
+
+
+LEAK_SQL = rf"""WITH q AS (SELECT item_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark), nq AS (SELECT item_id, count(*) AS nq FROM q GROUP BY item_id),
+d AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS term FROM documents),
+s AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN d USING (term) GROUP BY ALL),
+best AS (SELECT item_id, round(max(overlap / nq), 6) AS best FROM s JOIN nq USING (item_id) GROUP BY item_id),
+neg AS (SELECT item_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, benchmark.text)))
+SELECT threshold::DOUBLE AS threshold, count(*) AS negatives, count(*) FILTER (best >= threshold) AS leaked, max(best) AS max_score
+FROM neg LEFT JOIN best USING (item_id), (VALUES (0.25), (0.5), (0.75)) v(threshold) GROUP BY threshold"""
+
+
+@query(LEAK_SQL)
+def eval_leakage(t: Tables):
+    """Items that no document holds, and how many of them get a document all the same, by threshold."""
+    size = t.read("benchmark").select("item_id", F.size(F.array_distinct(text.tokens("text"))).alias("nq"))
+    found = _overlaps(t).filter("rank = 1").join(size, "item_id").select(F.col("item_id").alias("query_id"), F.round(F.col("overlap") / F.col("nq"), 6).alias("score"))
+    items = t.read("benchmark").select(F.col("item_id").alias("query_id"))
+    return evaluation.leakage(found, items.join(_held(t), "query_id", "left_anti"), (0.25, 0.5, 0.75))
 
 
 @query(f"""WITH {FUSED_SQL}, ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused),

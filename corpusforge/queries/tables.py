@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusforge.operators import tabular
+from corpusforge.operators import sketches, tabular
 from corpusforge.plans.projections import Tables
 from corpusforge.queries.registry import query
 from corpusforge.sources import files
@@ -34,6 +34,25 @@ def table_card_categorical(t: Tables):
     return tabular.top_values(t.read("lineitem"), CLASSES)
 
 
+def monthly(t: Tables, columns: list[str]):
+    """Sketches of columns by month of shipping, merged into those of all months."""
+    rows = t.read("lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    return sketches.merge(sketches.sketch(rows, columns, ["month"]))
+
+
+@query(" UNION ALL ".join(f"(SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR) AS r FROM lineitem GROUP BY {c} QUALIFY r <= 8)" for c in CLASSES))
+def sketched_values(t: Tables):
+    """The most frequent values of columns from sketches by month: exact, as there are few."""
+    return sketches.frequent(monthly(t, CLASSES))
+
+
+@query()
+def sketched_columns(t: Tables):
+    """Rows, distinct values and quantiles of wide columns from sketches by month; within bounds that tests hold."""
+    found = sketches.figures(monthly(t, ["l_orderkey", "l_partkey", "l_extendedprice"]))
+    return found.select("column", "rows", "cells", "numbers", "distinct", F.col("quantiles")[1].alias("median"))
+
+
 @query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders ORDER BY o_orderkey LIMIT 750),
 b AS (SELECT (rn - 1) // 15 AS b, rn, 'o_orderkey: ' || o_orderkey || '; o_orderstatus: ' || o_orderstatus || '; o_orderpriority: ' || o_orderpriority AS line FROM o)
 SELECT (b + 1)::BIGINT AS chunk_index, 'orders — righe ' || min(rn) || '–' || max(rn) AS heading, string_agg(line, chr(10) ORDER BY rn) AS text FROM b GROUP BY b""")

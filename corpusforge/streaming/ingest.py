@@ -1,8 +1,9 @@
 """A folder of documents as a stream of ingested chunks.
 
 A checkpoint takes the place of claiming jobs: each micro-batch holds the files
-that no earlier one did. Writing a batch is an upsert by file, so a batch that
-runs twice leaves the same rows.
+that no earlier one did. Writing a batch replaces its files in a store of buckets,
+in one version that also notes the batch as done, so a batch that runs twice is
+written once, and one of a single file writes a single bucket.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from corpusforge.plans import ingest
 from corpusforge.sources.files import line_chunks
 
 
-def ingest_batch(docs: DataFrame, out: str) -> None:
+def ingest_batch(docs: DataFrame, out: str, stream: str | None = None, batch: int | None = None) -> None:
     """Chunk, enrich and upsert the documents of one batch."""
     chunks = line_chunks(docs).withColumn("headings", F.array().cast("array<string>"))
-    ingest.upsert(ingest.enrich(chunks), out)
+    ingest.upsert(ingest.enrich(chunks), out, stream=stream, batch=batch)
 
 
 def stream_documents(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, per_batch: int | None = None) -> StreamingQuery:
@@ -27,7 +28,7 @@ def stream_documents(spark: SparkSession, source: str, schema: str, out: str, ch
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
     stream = reader.parquet(source)
-    return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(df, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, n: ingest_batch(df, out, checkpoint, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def watch_stale(jobs: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:

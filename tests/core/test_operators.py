@@ -228,7 +228,10 @@ def test_evaluation(spark):
     gold = spark.createDataFrame([("q1", "b"), ("q2", "z")], "query_id string, expect string")
     m = evaluation.metrics(evaluation.ranks(results, gold)).first()
     assert (m.queries, m.recall_1, m.recall_3, m.mrr) == (2, 0.0, 0.5, 0.25)
-    assert tuple(evaluation.leakage(results, spark.createDataFrame([("q2",), ("q9",)], "query_id string")).first()) == (2, 1)
+    assert tuple(evaluation.leakage(results, spark.createDataFrame([("q2",), ("q9",)], "query_id string")).first())[1:3] == (2, 1)
+    scored = spark.createDataFrame([("q2", 0.4), ("q2", 0.1), ("q9", 0.2), ("q1", 0.9)], "query_id string, score double")
+    found = evaluation.leakage(scored, spark.createDataFrame([("q2",), ("q9",), ("q7",)], "query_id string"), (0.1, 0.3, 0.5)).collect()
+    assert [tuple(r) for r in found] == [(0.1, 3, 2, 0.4), (0.3, 3, 1, 0.4), (0.5, 3, 0, 0.4)]
 
 
 def test_relation_hygiene(spark):
