@@ -4,8 +4,13 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; what it returns is written as Parquet and read again as the next one's
 documents. All but the last return the columns of ``documents``.
 
-Documents without an id all stay in the near-duplicate stage if one of them
+Defined results: null and empty texts are not toxic unless the labels make texts
+without hits so, have no near-duplicates, no benchmark windows and no secrets, and
+have no ids; texts of any length go through every stage whole. Of near-duplicates
+the least id stays. Documents without an id all stay in that stage if one of them
 would, as nothing tells them apart; rows that repeat an id and a text become one.
+An empty table gives an empty one. Other columns pass through all stages but the last,
+which gives the id, language, source and length beside the ids of tokens.
 """
 
 from __future__ import annotations
