@@ -1,13 +1,15 @@
 """License scans by template markup compiled to token automata.
 
 A template is a license text with ``<<opt>> ... <<end>>`` around wording that
-may be missing, ``<<var>>`` where words of any kind and number may stand, and
-``<<var n>>`` where up to n may. All templates are compiled to one nondeterministic
+may be missing, ``<<var>>`` where words of any kind and number may stand,
+``<<var n>>`` where up to n may, and ``<<alt a | b>>`` where one of some wordings
+must stand. All templates are compiled to one nondeterministic
 automaton over words, which reads a text once. A place matches if every mandatory
 word stands there in order, with nothing else between but what the markup allows.
 
 Defined results: a null or empty text has no words and no labels; repeated
-places count each; where two starts of a template lead to the same place of it,
+places count each; of tags, and of names with versions, that begin at one word the longest
+counts (a tag of ``GPL-2.0-only`` is none of ``GPL-2.0``, and version 2.1 none of 2.0); where two starts of a template lead to the same place of it,
 the later one counts, so a text is read in time in proportion to its words; a text
 may carry several labels; texts are scanned whole.
 """
@@ -81,7 +83,7 @@ governing permissions and limitations under the license<<end>>
 """
 _GPL = """
 is free software you can redistribute it and or modify it under the terms of the gnu general public license as
-published by the free software foundation either version %d of the license or at your option any later version <<var 12>>
+published by the free software foundation either version %d of the license or at your option any later version <<var>>
 is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
 merchantability or fitness for a particular purpose see the gnu general public license for more details
 """
@@ -100,6 +102,76 @@ sell or distribute this software either in source code form or as a compiled bin
 commercial and by any means
 """
 
+_LESSER, _AFFERO = (_GPL.replace("gnu general", f"gnu {kind} general") for kind in ("lesser", "affero"))
+_BOOST = """
+permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license the software to use reproduce display distribute execute and transmit the software and
+to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all
+subject to the following the copyright notices in the software and this entire statement including the above license grant
+this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all
+derivative works of the software unless such copies or derivative works are solely in the form of machine executable object
+code generated by a source language processor the software is provided as is without warranty of any kind express or implied
+including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in
+no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether
+in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the
+software
+"""
+_ZERO_BSD = """
+permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted
+"""
+_CC0_WAIVER = "to the extent possible under law <<var>> <<alt has | have>> waived all copyright and related or neighboring rights to"
+_MPL = """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with
+this file you can obtain one at <<opt>>http<<end>> <<opt>>https<<end>> <<alt mozilla org | www mozilla org>> mpl 2 0
+"""
+#: Licenses that are named with a version: label, ways to name it, versions.
+_NAMED = [
+    ("lgpl", "lgpl | gnu lgpl | gnu lesser general public license | gnu library general public license", ("2.0", "2.1", "3.0")),
+    ("agpl", "agpl | gnu agpl | gnu affero general public license", ("3.0",)),
+    ("gpl", "gpl | gnu gpl", ("2.0", "3.0")),
+    ("mpl", "mpl | mozilla public license", ("1.1", "2.0")),
+    ("epl", "epl | eclipse public license", ("1.0", "2.0")),
+    ("cddl", "cddl | common development and distribution license", ("1.0", "1.1")),
+    ("bsl", "boost software license", ("1.0",)),
+    ("cc0", "cc0", ("1.0",)),
+    ("artistic", "artistic license", ("1.0", "2.0")),
+]
+_CC_KINDS, _CC_VERSIONS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Identifiers that a tag may name.
+_SPDX = (
+    "MIT MIT-0 ISC 0BSD BSD-2-Clause BSD-3-Clause BSL-1.0 Zlib Unlicense Apache-1.1 Apache-2.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CC0-1.0 Artistic-2.0 WTFPL "
+    "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later "
+    "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"
+).split()
+
+
+def _spoken(version: str) -> str:
+    """A version as words: 2.1 is 2 1, and 3.0 may be 3 alone."""
+    major, minor = version.split(".")
+    return f"{major} {minor}" if minor != "0" else f"{major} <<opt>>0<<end>>"
+
+
+def _by_rule() -> dict[str, tuple[float, str]]:
+    """Templates of licenses that differ by their version or kind alone."""
+    out = {}
+    for label, names, versions in _NAMED:
+        for v in versions:
+            joined = " | ".join(f"{n.strip()}{gap}v{v.split('.')[0]}" for n in names.split("|") for gap in ("", " "))  # as in LGPLv2.1
+            tail = "" if v.endswith(".0") else v.split(".")[1]
+            out[f"{label}-{v}-named"] = (0.8, f"<<alt {names}>> <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> <<opt>>version<<end>> <<opt>>v<<end>> {_spoken(v)}")
+            out[f"{label}-{v}-short"] = (0.8, f"<<alt {joined}>> {tail}")
+    for kind in _CC_KINDS:
+        for v in _CC_VERSIONS:
+            under = "<<alt licensed under | released under | available under | distributed under | published under>> <<opt>>a<<end>> <<opt>>the<<end>> <<opt>>creative commons<<end>>"
+            words = kind.replace("-", " ")
+            out.setdefault(f"cc-{kind}-{v}-named", (0.8, f"{under} cc {words} {v}"))
+            long = words.replace("by", "attribution").replace("sa", "sharealike").replace("nc", "noncommercial").replace("nd", "noderivatives")
+            out[f"cc-{kind}-{v}-deed"] = (0.8, f"creative commons {long} {v} <<alt international | unported | generic>> <<opt>>public<<end>> license")
+    for tag in _SPDX + [f"CC-{k.upper()}-{v}" for k in _CC_KINDS for v in _CC_VERSIONS]:
+        out[f"spdx-{tag.lower()}"] = (0.9, f"spdx license identifier {tag.lower()}")
+    return out
+
+
 #: label: (score, template). Full texts score 1, a grant without its disclaimer 0.9, notices that name a license 0.8.
 TEMPLATES = {
     "mit": (1.0, _MIT_GRANT + _AS_IS),
@@ -109,6 +181,11 @@ TEMPLATES = {
     "apache-2.0-header": (1.0, _APACHE),
     "gpl-2.0-header": (1.0, _GPL.replace("%d", "2")),
     "gpl-3.0-header": (1.0, _GPL.replace("%d", "3")),
+    **{f"{k}-header": (1.0, t.replace("%d", "2 1" if v == "2.1" else v[0])) for k, v, t in (("lgpl-2.1", "2.1", _LESSER), ("lgpl-3.0", "3.0", _LESSER), ("agpl-3.0", "3.0", _AFFERO))},
+    "bsl-1.0": (1.0, _BOOST),
+    "0bsd": (1.0, _ZERO_BSD + _ISC_AS_IS),
+    "mpl-2.0-header": (1.0, _MPL),
+    "cc0-1.0-waiver": (0.9, _CC0_WAIVER),
     "zlib": (1.0, _ZLIB),
     "unlicense": (1.0, _UNLICENSE),
     "mit-grant": (0.9, _MIT_GRANT),
@@ -123,11 +200,12 @@ TEMPLATES = {
     "cc-by-nc-4.0": (0.8, "licensed under <<opt>>a creative commons attribution license<<end>> cc by nc 4 0"),
     "cc-by-nd-4.0": (0.8, "licensed under <<opt>>a creative commons attribution license<<end>> cc by nd 4 0"),
     "mpl-2.0": (0.8, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    **_by_rule(),
     "copyright-notice": (0.6, "copyright <<opt>>c<<end>> <<var 12>> all rights reserved"),
 }
 BASE_SCORE = 0.5
 
-_TAG = re.compile(r"<<(opt|end|var(?: \d+)?)>>")
+_TAG = re.compile(r"<<(opt|end|var(?: \d+)?|alt [^>]*)>>")
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -135,6 +213,13 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(common.ALNUM_WORDS).split()
 
 
+def _family(label: str) -> str | None:
+    """Labels of one family differ in how much of a version or tag they read; the longest is meant."""
+    if label.startswith("spdx-"):
+        return "spdx"
+    return label.split("-")[0] if label.endswith(("-named", "-short")) else None
+
+
 class TokenAutomaton:
     """One automaton for all templates; its states are places in them."""
 
@@ -188,6 +273,16 @@ class TokenAutomaton:
                 at = self._skip(at)
                 self.any[at].append(at)
                 at = self._skip(at)
+            elif piece.startswith("alt "):
+                end = self._state()
+                for wording in piece[4:].split("|"):
+                    here = self._skip(at)
+                    for w in words_of(wording.encode()):
+                        new = self._state()
+                        self.moves[here].setdefault(w, []).append(new)
+                        here = new
+                    self.skips[here].append(end)
+                at = end
             else:
                 end = self._state()
                 for _ in range(int(piece.split()[1])):
@@ -197,10 +292,12 @@ class TokenAutomaton:
                     at = new
                 self.skips[at].append(end)
                 at = end
-        if opened or not mandatory:
+        choices = [p[4:].split("|") for p in _TAG.split(template)[1::2] if p.startswith("alt ")]
+        if opened or not (mandatory or choices):
             raise ValueError(f"template {label}: unclosed region or no mandatory word")
         self.accepts[at] = label
-        self.anchors.add(max(mandatory, key=len))
+        # a text without any of these words can't match: the longest mandatory one, or one of each wording
+        self.anchors.update([max(mandatory, key=len)] if not choices or (mandatory and len(max(mandatory, key=len)) > 3) else [max(words_of(c.encode()), key=len) for c in choices[0]])
         return first
 
     def _closed(self, state: int) -> set[int]:
@@ -239,7 +336,11 @@ class TokenAutomaton:
                 if state in accepts:
                     found[accepts[state], start] = i + 1
             active = now
-        return [(label, i, j) for (label, i), j in found.items()]
+        longest: dict[tuple[str, int], int] = {}
+        for (label, i), j in found.items():
+            if family := _family(label):
+                longest[family, i] = max(longest.get((family, i), 0), j)
+        return [(label, i, j) for (label, i), j in found.items() if j == longest.get((_family(label), i), j)]
 
 
 @lru_cache(maxsize=1)

@@ -47,6 +47,33 @@ def test_license_base_places(spark, folder):
         assert set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""}
 
 
+NAMED = {
+    "LGPL version 2.1": {"lgpl-2.1-named"}, "LGPLv2.1 or later": {"lgpl-2.1-short"}, "GNU GPL v3": {"gpl-3.0-short"}, "the GPLv2": {"gpl-2.0-short"}, "CC0 1.0 Universal": {"cc0-1.0-named"},
+    "GNU Lesser General Public License as published by the Free Software Foundation; version 3": {"lgpl-3.0-named"}, "licensed under CC BY-SA 3.0": {"cc-by-sa-3.0-named"},
+    "Creative Commons Attribution-ShareAlike 4.0 International License": {"cc-by-sa-4.0-deed"}, "SPDX-License-Identifier: MIT": {"spdx-mit"}, "SPDX-License-Identifier: Apache-2.0": {"spdx-apache-2.0"},
+    "SPDX-License-Identifier: LGPL-2.1-or-later": {"lgpl-2.1-named", "spdx-lgpl-2.1-or-later"}, "Boost Software License - Version 1.0": {"bsl-1.0-named"},
+    "To the extent possible under law, A B have waived all copyright and related or neighboring rights to C": {"cc0-1.0-waiver"},
+    "the parser is under development, version 3": set(), "SPDX-License-Identifier: NONE": set(), "CC BY": set(), "a lesser license, version 2": set(),
+}
+
+
+@pytest.mark.parametrize("text", NAMED)
+def test_names_with_versions_and_tags(text):
+    assert {p[0] for p in licenses.scan(text.encode())[2]} == NAMED[text]
+
+
+def test_whole_texts_with_regions():
+    boost = licenses._BOOST.replace("as is", '"AS IS",')
+    assert "bsl-1.0" in {p[0] for p in licenses.scan(boost.encode())[2]}
+    assert "bsl-1.0" not in {p[0] for p in licenses.scan(boost.replace("executable", "runnable").encode())[2]}
+    lesser = licenses._LESSER.replace("%d", "2 1").replace("<<var>>", "This library " + "and more " * 40)
+    assert {"lgpl-2.1-header"} <= {p[0] for p in licenses.scan(lesser.encode())[2]}
+    machine = licenses.TokenAutomaton({"x": "a <<alt b c | d>> e", "y": "<<alt p | q r>> <<opt>>s<<end>>"})
+    found = lambda t: sorted(machine.places(t.encode().split()))
+    assert found("a b c e a d e a b e a e") == [("x", 0, 4), ("x", 4, 7)] and found("p q r s q") == [("y", 0, 1), ("y", 1, 4)]
+    assert machine.may_match(b"q r") and not machine.may_match(b"zz")
+
+
 def test_license_markup():
     machine = licenses.TokenAutomaton({"x": "a <<opt>>b <<opt>>c<<end>><<end>> d <<var 2>> e"})
     ends = lambda t: [p[1:] for p in machine.places(t.encode().split())]
