@@ -179,20 +179,11 @@ def scan_history(versions: list[DataFrame], ledger: BlobLedger, text: str = "tex
     return scan_secrets(versions[-1], ledger, text, keep)
 
 
-def without_last_line(text):
-    """A text as it stood before its last line was added; one of a single line as it is."""
-    last = F.substring_index(text, "\n", -1)
-    return F.when(F.contains(text, F.lit("\n")), F.left(text, F.char_length(text) - F.char_length(last) - 1)).otherwise(text)
-
-
 def op7_secret_ledger(spark, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
-    """Findings of every document, after its version without the last line went through the same ledger.
-
-    A ledger that earlier runs filled is used where its path is given.
-    """
+    """Findings of every document; a ledger that earlier runs filled is used where its path is given."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ledger = BlobLedger(spark, ledger_path or common.fresh_path(spark, "ledger"))
-    found = scan_history([docs.withColumn("text", without_last_line(F.col("text"))), docs], ledger, keep=["doc_id"])
+    found = scan_history([docs], ledger, keep=["doc_id"])
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
