@@ -159,7 +159,7 @@ def quality_signals(c) -> Column:
     )
 
 
-#: flag: (penalty, condition on the signals).
+# Flag, its penalty, and the condition on the signals.
 PENALTIES = {
     "gibberish": (0.5, lambda s, least: (s["alpha_ratio"] > 0.2) & (s["vowel_ratio_in_alpha"] < 0.15)),
     "non_word": (0.3, lambda s, least: (s["n_alpha_words"] >= 3) & (s["wordlike_ratio"] < 0.5)),

@@ -73,6 +73,32 @@ def clean_relations(rows: DataFrame, most_chars: int = 60, most_words: int = 8,
     return rows.filter(reduce(lambda a, b: a & b, ends) & apart & ~((F.col("head_type") == other) & (F.col("tail_type") == other)))
 
 
+# What a relation model's scores must reach.
+ENTITY_SCORE, RELATION_SCORE, ADJACENCY_SCORE = 0.5, 0.45, 0.55
+
+
+def scored_relations(rows: DataFrame, entity: float = ENTITY_SCORE, relation: float = RELATION_SCORE, adjacency: float = ADJACENCY_SCORE, most_chars: int = 60, most_words: int = 8, other: str = "other") -> DataFrame:
+    """What a joint model's candidates leave: (chunk_id, head_type, head_norm, rel_type, tail_type, tail_norm, head, tail, score).
+
+    rows: chunk_id, head, head_type, head_score, tail, tail_type, tail_score, adjacency,
+    rel_type, score. Both ends, the link between them and its type must each reach their
+    threshold; a null score reaches none. Ends are named, short, not both left over and not
+    the same; of equal relations of a chunk the best score counts, with its names.
+    """
+    kept = (F.col("head_score") >= entity) & (F.col("tail_score") >= entity) & (F.col("adjacency") >= adjacency) & (F.col("score") >= relation)
+    named = rows.filter(kept & (F.coalesce("rel_type", F.lit("")) != "")).withColumns({
+        **{c: text.collapse(F.coalesce(c, F.lit(""))) for c in ("head", "tail")},
+        **{f"{c}_type": F.when(F.coalesce(f"{c}_type", F.lit("")) == "", F.lit(other)).otherwise(F.col(f"{c}_type")) for c in ("head", "tail")},
+    })
+    short = [(F.length(c) <= most_chars) & (F.size(F.split(c, " ")) <= most_words) for c in ("head", "tail")]
+    normal = named.withColumns({f"{c}_norm": text.normalize_entity(c) for c in ("head", "tail")})
+    same = (F.col("head_type") == F.col("tail_type")) & (F.col("head_norm") == F.col("tail_norm"))
+    left = normal.filter(reduce(lambda a, b: a & b, short) & (F.col("head_norm") != "") & (F.col("tail_norm") != "") & ~same & ~((F.col("head_type") == other) & (F.col("tail_type") == other)))
+    key = ["chunk_id", "head_type", "head_norm", "rel_type", "tail_type", "tail_norm"]
+    best = F.max(F.struct("score", "head", "tail")).alias("b")
+    return left.groupBy(*key).agg(best).select(*key, "b.head", "b.tail", "b.score")
+
+
 def token_span(tokens, part) -> Column:
     """(start, end) of the first place where ``part`` stands in ``tokens``, end included; null without one."""
     t, p = text.col(tokens), text.col(part)

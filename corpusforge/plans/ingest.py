@@ -38,7 +38,7 @@ def derive(enriched: DataFrame) -> dict[str, DataFrame]:
         "next": graph.next_edges(enriched),
         "mentions": graph.merge_mentions(found.select("chunk_id", F.concat_ws("::", "type", "normalized_name").alias("entity_id"), "score")),
         "entities": found.select(F.concat_ws("::", "type", "normalized_name").alias("entity_id"), "name", "type", "normalized_name").dropDuplicates(["entity_id"]),
-        "bodies": enriched.groupBy("body_hash").agg(F.sort_array(F.collect_set("file_id")).alias("files")),
+        "bodies": enriched.select("file_id", "body_hash").distinct(),  # as plans.provenance registers them
     }
 
 

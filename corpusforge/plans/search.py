@@ -74,15 +74,16 @@ class SearchRequest:
 
 
 def rerank(rows: DataFrame, reranker: Reranker = word_cosine) -> DataFrame:
-    """rows (query, text) with ``rerank_score``, in Arrow batches; null where the reranker fails."""
+    """rows (query, text) with ``rerank_score``, in Arrow batches; null where the reranker fails, and ``rerank_error`` says how."""
 
-    def scores(q: pd.Series, t: pd.Series) -> pd.Series:
+    def scores(q: pd.Series, t: pd.Series) -> pd.DataFrame:
         try:
-            return reranker(q, t)
-        except Exception:  # a model may fail in any way; its queries keep their fused order
-            return pd.Series([None] * len(q), dtype="float64")
+            return pd.DataFrame({"score": pd.Series(reranker(q, t), dtype="float64").array, "error": None})
+        except Exception as e:  # a model may fail in any way; its queries keep their fused order
+            return pd.DataFrame({"score": pd.Series([None] * len(q), dtype="float64"), "error": f"{type(e).__name__}: {e}"})
 
-    return rows.withColumn("rerank_score", F.pandas_udf(scores, "double")("query", "text"))
+    ranked = rows.withColumn("_r", F.pandas_udf(scores, "score double, error string")("query", "text"))
+    return ranked.withColumns({"rerank_score": F.col("_r.score"), "rerank_error": F.col("_r.error")}).drop("_r")
 
 
 def candidates(points: DataFrame, weights: DataFrame | postings.Postings, queries: DataFrame, query_terms: DataFrame, request: SearchRequest, index: ivf.Index | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from corpusforge.plans import overview as plan
 from corpusforge.plans.projections import Tables
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import JOBS, LINES, TOKENS
-from corpusforge.sources import files
+from corpusforge.sources import blocks, files
 
 
 @query("SELECT doc_id AS file_id, source AS purpose, n_chars AS created_at FROM documents WHERE source = 'src3'")
@@ -91,6 +91,18 @@ def relation_hygiene(t: Tables):
     return entities.clean_relations(rows).select("id", "head", "tail")
 
 
+@query("""SELECT chunk_id, head_norm, rel_type, tail_norm, round(max(score), 4) AS score FROM (
+  SELECT l_orderkey AS chunk_id, 'supplier' || l_suppkey AS head_norm, l_returnflag AS rel_type, 'part' || l_partkey AS tail_norm, (1 - 5 * l_discount)::DOUBLE AS score
+  FROM lineitem WHERE 1 - 5 * l_discount >= 0.45 AND l_quantity / 50 >= 0.55 AND 1 - 6 * l_tax >= 0.5 AND l_linenumber % 3 <> 0) GROUP BY ALL""")
+def relation_scores(t: Tables):
+    """Candidates of a joint model that reach all its thresholds, the best of each relation."""
+    x = F.col
+    li = t.read("lineitem").select(
+        x("l_orderkey").alias("chunk_id"), F.concat(F.lit("Supplier"), "l_suppkey").alias("head"), F.when(x("l_linenumber") % 3 != 0, "org").alias("head_type"), F.lit(0.9).alias("head_score"),
+        F.concat(F.lit(" PART"), "l_partkey").alias("tail"), F.lit("").alias("tail_type"), (1 - 6 * x("l_tax")).alias("tail_score"), (x("l_quantity") / 50).alias("adjacency"), x("l_returnflag").alias("rel_type"), (1 - 5 * x("l_discount")).cast("double").alias("score"))
+    return entities.scored_relations(li).select("chunk_id", "head_norm", "rel_type", "tail_norm", F.round("score", 4).alias("score"))
+
+
 @query(r"SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_brand)), '[\s-]+', '_', 'g'), '[^a-z0-9_]+', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS key, regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') AS loose FROM part")
 def name_forms(t: Tables):
     """Slugs, property keys and loose names."""
@@ -113,6 +125,13 @@ def heading_chunks(t: Tables):
     return files.heading_chunks(t.read("documents"), max_tokens=128).select("file_id", "chunk_index", F.array_join("headings", " > ").alias("headings"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query()
+def block_chunks(t: Tables):
+    """Documents as block trees under a budget of words, tables as triplets."""
+    found = blocks.block_chunks(t.read("documents"), max_tokens=128)
+    return found.select("file_id", "chunk_index", F.array_join("headings", " > ").alias("headings"), "kind", "tokens", F.sha2("text", 256).alias("text_sha256"))
+
+
 TERMS = {"license": "legal", "apache": "name", "mit": "name"}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusforge.operators import catalog
 from corpusforge.plans import overview, provenance
 from corpusforge.plans.projections import Tables
-from corpusforge.plans.store import Store
+from corpusforge.plans.store import Store, remove_files
 from corpusforge.queries.registry import query
 from corpusforge.queries.shared import JOBS, LINES
 from corpusforge.session import fresh_path
@@ -28,6 +28,29 @@ def store_upsert(t: Tables):
     return store.read("points")
 
 
+@query("SELECT user_id AS file_id, event_id AS job_id, value FROM events WHERE user_id % 20 = 0")
+def store_lookup(t: Tables):
+    """The rows of some files, from their buckets alone."""
+    rows = t.jobs().select("file_id", "job_id", "value")
+    store = Store(t.spark, fresh_path(t.spark, "store"))
+    store.change().upsert("points", rows, "file_id").commit()
+    return store.lookup("points", rows.filter("file_id % 20 = 0").select("file_id"))
+
+
+@query("""SELECT 'points' AS "table", count(*) AS rows FROM events WHERE user_id % 9 = 0 UNION ALL
+SELECT 'jobs', count(DISTINCT user_id) FROM events WHERE user_id % 9 = 0 UNION ALL
+SELECT 'mentions', count(*) FROM (SELECT DISTINCT user_id, props::JSON->>'k' FROM events WHERE user_id % 9 = 0)""")
+def file_removal(t: Tables):
+    """What each table loses where files go from all of them in one version."""
+    jobs = t.jobs()
+    store = Store(t.spark, fresh_path(t.spark, "store"))
+    change = store.change().upsert("points", jobs.select("file_id", "job_id", "value"), "file_id", buckets=16)
+    change.upsert("mentions", jobs.select("file_id", "k").distinct(), "file_id", buckets=16)
+    change.upsert("jobs", jobs.groupBy("file_id").agg(F.count("*").alias("n")), "file_id", buckets=16).commit()
+    gone = remove_files(store, jobs.filter("file_id % 9 = 0").select("file_id"), dict.fromkeys(("points", "mentions", "jobs"), "file_id"))
+    return t.spark.createDataFrame(list(gone.items()), "table string, rows long")
+
+
 @query(f"WITH {LINES} SELECT body_hash, count(DISTINCT file_id) AS doc_count FROM hashed WHERE file_id % 5 <> 0 GROUP BY body_hash")
 def provenance_counts(t: Tables):
     """Document frequencies of bodies, kept up over three registrations, a repeated one and a removal."""

@@ -70,10 +70,15 @@ def table_chunks(t: Tables):
 @query("SELECT route, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'email' WHEN 2 THEN 'text' ELSE 'unsupported' END AS route FROM documents) GROUP BY route")
 def format_routes(t: Tables):
     """Names by the way their files are read."""
-    name = F.concat(F.lit("a/b.c/file.v"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".PDF"), F.lit(".eml"), F.lit(".txt"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")))
-    return t.read("documents").select(files.route(name).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
+    return t.read("documents").select(files.route(file_name()).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
+
+
+def file_name():
+    return F.concat(F.lit("a/b.c/file.v"), F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".PDF"), F.lit(".eml"), F.lit(".txt"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")))
 
 
 @query()
 def supported_formats(t: Tables):
-    return files.formats(t.spark)
+    """Every supported extension, its route, and how many of the documents' files have it."""
+    held = t.read("documents").select(files.extension(file_name()).alias("extension")).groupBy("extension").agg(F.count("*").alias("n"))
+    return files.formats(t.spark).join(held, "extension", "left").select("extension", "route", F.coalesce("n", F.lit(0)).alias("n"))

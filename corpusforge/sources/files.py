@@ -56,6 +56,44 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int =
     return raw.select(F.concat(F.lit("file-"), F.substring(F.sha2("path", 256), 1, 12)).alias("file_id"), name.alias("filename"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), "content")
 
 
+def admit_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = 512 << 20) -> DataFrame:
+    """(file_id, filename, bytes, reason): every file below a path, and why one isn't taken.
+
+    ``reason`` is null for those that are read: others are empty, over the size, or of an
+    unsupported kind. No content is read.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    why = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(route("filename") == "unsupported", "unsupported")
+    rows = raw.select(F.concat(F.lit("file-"), F.substring(F.sha2("path", 256), 1, 12)).alias("file_id"), name.alias("filename"), F.col("length").alias("bytes"))
+    return rows.withColumn("reason", why)
+
+
+@F.pandas_udf(T.StringType())
+def whole_text(content: pd.Series) -> pd.Series:
+    """The bytes of a text file as text: by its byte order mark, as UTF-8, or else as Windows-1252."""
+
+    def one(raw):
+        if raw is None:
+            return None
+        raw = bytes(raw)
+        for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+            if raw.startswith(mark):
+                return raw.decode(name, "replace")
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("cp1252", "replace")
+
+    return content.map(one)
+
+
+def read_texts(spark: SparkSession, path: str, max_bytes: int = 512 << 20) -> DataFrame:
+    """(file_id, filename, text): the whole text of every text file below a path."""
+    rows = read_files(spark, path, max_bytes=max_bytes)
+    return rows.filter(route("filename") == "text").select("file_id", "filename", F.regexp_replace(whole_text("content"), "\r\n?", "\n").alias("text"))
+
+
 def list_files(files: DataFrame, purpose: str | None = None) -> DataFrame:
     """The catalog, newest first."""
     rows = files if purpose is None else files.filter(F.col("purpose") == purpose)

@@ -64,10 +64,25 @@ def test_file_source(spark, tmp_path):
     assert [(r.filename, r.bytes) for r in got] == [("a.txt", 3)] and got[0].file_id.startswith("file-")
 
 
+def test_files_that_are_not_taken_say_why(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, content in (("a.txt", b"abc"), ("sub/b.txt", b"x" * 100), ("c.txt", b""), ("d.xyz", b"q"), ("e.pdf", b"%PDF")):
+        (tmp_path / name).write_bytes(content)
+    got = {r.filename: r.reason for r in files.admit_files(spark, str(tmp_path), max_bytes=50).collect()}
+    assert got == {"a.txt": None, "b.txt": "too large", "c.txt": "empty", "d.xyz": "unsupported", "e.pdf": None}
+
+
+def test_whole_texts(spark, tmp_path):
+    for name, content in (("a.txt", "però\r\nsì".encode()), ("b.log", "però".encode("cp1252")), ("c.rst", "\ufeffx".encode("utf-16")), ("d.txt", b"\xef\xbb\xbfy\rz"), ("e.pdf", b"no")):
+        (tmp_path / name).write_bytes(content)
+    got = {r.filename: r.text.lstrip("\ufeff") for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "però\nsì", "b.log": "però", "c.rst": "x", "d.txt": "y\nz"}
+
+
 def test_ingest_tables(spark):
     chunks = spark.createDataFrame([("f", 0, ["T"], "T\nscrivi a a@b.it"), ("g", 0, ["U"], "U\nScrivi a  a@b.it")], "file_id string, chunk_index int, headings array<string>, text string")
     out = ingest.derive(ingest.enrich(chunks))
-    assert [r.files for r in out["bodies"].collect()] == [["f", "g"]]
+    assert sorted(r.file_id for r in out["bodies"].collect()) == ["f", "g"] and out["bodies"].select("body_hash").distinct().count() == 1
     assert out["entities"].count() == 1 and out["mentions"].count() == 2 and out["sections"].count() == 2
 
 

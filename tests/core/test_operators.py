@@ -344,6 +344,7 @@ def test_failed_reranker_leaves_the_fused_order(spark):
     request = plan.SearchRequest(rerank=True)
     order = lambda model: [r.id for r in plan.finish(rows, points, request, asked, model).orderBy("position").collect()]
     assert order(broken) == [2, 1]
+    assert {r.rerank_error for r in plan.finish(rows, points, request, asked, broken).collect()} == {"RuntimeError: no model"}
     assert order(plan.word_cosine) == [1]
 
 
@@ -360,3 +361,13 @@ def test_property_keys(spark):
     keys = [" Data di-Nascita ", "Brand#12", "a.b c", "__x__", "#"]
     got = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").select("i", text.property_key("k").alias("k")).orderBy("i")
     assert [r.k for r in got.collect()] == ["data_di_nascita", "brand12", "ab_c", "x", ""]
+
+
+def test_scored_relations(spark):
+    base = {"chunk_id": 1, "head": "Banca  X", "head_type": "org", "head_score": 0.9, "tail": "Mario", "tail_type": "per", "tail_score": 0.8, "adjacency": 0.6, "rel_type": "employs", "score": 0.5}
+    odd = [{}, {"score": 0.7, "head": "banca x"}, {"score": 0.44}, {"head_score": 0.49}, {"tail_score": None}, {"adjacency": 0.54}, {"rel_type": ""}, {"head": " "}, {"tail": "x" * 61}, {"tail": "a b c d e f g h i"}, {"head_type": None, "tail_type": ""}, {"tail": "BANCA x", "tail_type": "org"}, {"chunk_id": 2, "tail_type": None}, {"chunk_id": 3, "tail": "Banca X"}]
+    rows = [base | o for o in odd]
+    names = list(base)
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "chunk_id int, head string, head_type string, head_score double, tail string, tail_type string, tail_score double, adjacency double, rel_type string, score double")
+    got = sorted((r.chunk_id, r.head_type, r.tail_type, r.score) for r in entities.scored_relations(df).collect())
+    assert got == [(1, "org", "per", 0.7), (2, "org", "other", 0.5), (3, "org", "per", 0.5)]
