@@ -57,14 +57,15 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int =
 
 
 def admit_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = 512 << 20) -> DataFrame:
-    """(file_id, filename, bytes, reason): every file below a path, and why one isn't taken.
+    """(file_id, filename, bytes, reason): every file below a path that has a byte, and why one isn't taken.
 
-    ``reason`` is null for those that are read: others are empty, over the size, or of an
-    unsupported kind. No content is read.
+    ``reason`` is null for those that are read: others are over the size or of an unsupported
+    kind. No content is read. Spark's file sources don't list files of no bytes; a job for
+    one fails by ``catalog``'s guards.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
-    why = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(route("filename") == "unsupported", "unsupported")
+    why = F.when(F.col("bytes") > max_bytes, "too large").when(route("filename") == "unsupported", "unsupported")
     rows = raw.select(F.concat(F.lit("file-"), F.substring(F.sha2("path", 256), 1, 12)).alias("file_id"), name.alias("filename"), F.col("length").alias("bytes"))
     return rows.withColumn("reason", why)
 
