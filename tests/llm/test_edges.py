@@ -10,6 +10,7 @@ TABLES = {
     "pages": ([], "page_id long, url string, html string"),
     "labels": ([], "doc_id long, quality int, toxic int"),
     "benchmark": ([], "item_id long, text string"),
+    "embeddings": ([], "vec_id long, embedding array<float>, label int"),
 }
 NULLS = [(None, None, None, None, None, None, None, None, None), (1, None, "en", "s", None, None, None, None, None), (2, "", "en", "s", 0, None, 0.0, "x", 1), (2, "", "en", "s", 0, None, 0.0, "x", 1), (3, "a few words of text here", "en", "s", 24, None, 0.0, "x", 1)]
 
@@ -20,7 +21,7 @@ def folders(spark, tmp_path_factory):
     for name, docs in (("empty", []), ("nulls", NULLS)):
         tables = TABLES | {"documents": (docs, DOCS)}
         if docs:
-            tables = tables | {"pages": ([(None, None, None), (1, None, None), (1, "u", "x")], TABLES["pages"][1]), "labels": ([(None, None, None), (3, 1, None), (3, 1, 1), (3, 1, 0)], TABLES["labels"][1]), "benchmark": ([(None, None), (1, ""), (1, "words of text")], TABLES["benchmark"][1])}
+            tables = tables | {"pages": ([(None, None, None), (1, None, None), (1, "u", "x")], TABLES["pages"][1]), "labels": ([(None, None, None), (3, 1, None), (3, 1, 1), (3, 1, 0)], TABLES["labels"][1]), "benchmark": ([(None, None), (1, ""), (1, "words of text")], TABLES["benchmark"][1]), "embeddings": ([(None, [0.5] * 16, None), (1, None, 1), (2, [0.25] * 16, None), (2, [0.25] * 16, None)], TABLES["embeddings"][1])}
         out[name] = fixtures.save(spark, tmp_path_factory.mktemp(name), **tables)
     return out
 
@@ -29,8 +30,10 @@ def folders(spark, tmp_path_factory):
 @pytest.mark.parametrize("kind", ["empty", "nulls"])
 def test_query(spark, folders, name, kind):
     rows = QUERIES[name](spark, folders[kind]).collect()
-    key = "page_id" if name.startswith("op5") else "doc_id"
-    want = [] if kind == "empty" else [None, 1, 1] if key == "page_id" else [r[0] for r in NULLS]
+    key = {"op5": "page_id", "op11": "vec_id"}.get(name.split("_")[0], "doc_id")
+    # pages; vectors; the one document with a word of an item; all documents
+    full = {"op5": [None, 1, 1], "op11": [None, 2, 2], "op13": [3]}.get(name.split("_")[0], [r[0] for r in NULLS])
+    want = [] if kind == "empty" else full
     assert sorted(map(str, (r[key] for r in rows))) == sorted(map(str, want))
 
 
