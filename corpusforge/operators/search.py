@@ -12,12 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions import embeddings, text
+from corpusforge.functions import text
+from corpusforge.operators import nearest
 from corpusforge.operators.filters import keep_unless_empty
 
 RRF_K = 60
 #: A query side of at most this many rows is broadcast; a larger one is joined in blocks.
 BROADCAST_QUERIES = 10_000
+#: Partitions at most, where a size isn't known.
+MOST_PARTS = 4_000
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -28,31 +31,39 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: str = "query_id", rank
 def dense_channel(points: DataFrame, queries: DataFrame, k: int = 150, threshold: float = 0.05, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank) by dot product of unit embeddings.
 
-    Exact nearest neighbours of a stated set of queries; the query side is taken
-    in blocks of ``BROADCAST_QUERIES`` rows, each broadcast to the scan of points.
+    Exact nearest neighbours of a stated set of queries, from products of blocks.
+    Embeddings of another length than the query's, or with null components, are never found.
     """
-    q = queries.select("query_id", F.col("embedding").alias("qv"))
-    blocks = max(1, -(-q.count() // BROADCAST_QUERIES))
-    parts = []
-    for b in range(blocks):
-        some = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = points.join(F.broadcast(some)).select("query_id", "id", F.round(embeddings.dot("embedding", "qv"), digits).alias("score"))
-        parts.append(scored.filter(F.col("score") >= threshold))
-    return top_k(reduce(DataFrame.unionByName, parts), k, [F.desc("score"), F.asc("id")])
+    return top_k(nearest.dense(points, queries, k, threshold, digits), k, [F.desc("score"), F.asc("id")])
+
+
+#: Bytes of stored texts in one partition whose words are counted.
+PART_BYTES = 8 << 20
+
+
+def text_parts(docs: DataFrame) -> int:
+    """Partitions for work on the words of these texts: as many as keep each small, and no core idle."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-size // PART_BYTES)))
 
 
 def term_weights(docs: DataFrame, key: str, column: str) -> DataFrame:
     """The weights of words (id, term, weight): counts of each word of a text.
 
     Texts are dealt by id once: counts, and scores of a broadcast query set, are
-    then complete in a text's own partition, and its words are never shuffled.
+    then complete in a text's own partition, and its words are never shuffled. The
+    partitions grow in number with the texts, and not in size.
     """
-    rows = docs.select(F.col(key).alias("id"), F.col(column).alias("text")).repartition("id")
+    rows = docs.select(F.col(key).alias("id"), F.col(column).alias("text")).repartition(text_parts(docs), "id")
     return rows.select("id", F.explode(text.tokens("text")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("weight"))
 
 
 def sparse_channel(weights: DataFrame, queries: DataFrame, k: int = 150, threshold: float = 0.0) -> DataFrame:
-    """(query_id, id, score, rank) by inner product over shared terms (queries: query_id, term, weight)."""
+    """(query_id, id, score, rank) by inner product over shared terms (queries: query_id, term, weight).
+
+    The plain join, for few queries, or for weights that aren't above 0; ``nearest.sparse`` gives the same
+    rows for many queries.
+    """
     q = queries.select("query_id", "term", F.col("weight").alias("qw"))
     scored = weights.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
     return top_k(scored.filter(F.col("score") >= threshold), k, [F.desc("score"), F.asc("id")])
