@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text
 from corpusforge.functions.time import epoch, recency
-from corpusforge.operators import filters, fulltext, graph, ivf, postings, search
+from corpusforge.operators import filters, fulltext, graph, ivf, nearest, postings, search
 
 
 class Embedder(Protocol):
@@ -86,7 +86,7 @@ def rerank(rows: DataFrame, reranker: Reranker = word_cosine) -> DataFrame:
     return ranked.withColumns({"rerank_score": F.col("_r.score"), "rerank_error": F.col("_r.error")}).drop("_r")
 
 
-def candidates(points: DataFrame, weights: DataFrame | postings.Postings, queries: DataFrame, query_terms: DataFrame, request: SearchRequest, index: ivf.Index | None = None) -> DataFrame:
+def candidates(points: DataFrame, weights: DataFrame | postings.Postings | nearest.Vectors, queries: DataFrame, query_terms: DataFrame, request: SearchRequest, index: ivf.Index | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the fused dense and sparse channels.
 
     The filter and the scope stand below every channel, so they are applied
@@ -102,6 +102,8 @@ def candidates(points: DataFrame, weights: DataFrame | postings.Postings, querie
     dense = dense.withColumn("channel", F.lit("dense"))
     if isinstance(weights, postings.Postings):
         sparse = postings.search(weights, query_terms, request.sparse_limit, request.sparse_threshold, within=None if everything else allowed)
+    elif isinstance(weights, nearest.Vectors):
+        sparse = nearest.sparse(weights, query_terms, request.sparse_limit, request.sparse_threshold, within=None if everything else allowed)
     else:
         inside = weights if everything else weights.join(allowed.select("id"), "id", "left_semi")
         sparse = search.sparse_channel(inside, query_terms, request.sparse_limit, request.sparse_threshold)
