@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import embeddings
+from corpusforge.operators import nearest
 from corpusforge.operators.search import BROADCAST_QUERIES, top_k
 
 #: Cells at most, whatever the table, so that their centres fit every task.
@@ -148,14 +149,6 @@ class _Queries:
         return sorted(c for c, q in self.of_cell.items() if len(q))
 
 
-def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Dot products summed from the first component to the last, as Spark sums them."""
-    total = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        total += x[:, i] * y[:, i]
-    return total
-
-
 def _best(points: DataFrame, block: _Queries, k: int, digits: int, query_kind: str) -> DataFrame:
     """(query_id, id, score): the best k of each query in each task."""
     kind = dict(points.dtypes)["id"]
@@ -163,33 +156,14 @@ def _best(points: DataFrame, block: _Queries, k: int, digits: int, query_kind: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        bound = q.bound.copy()
-        held = (np.empty(0, np.int64), np.empty(0), pa.array([], pa.int64()))
-        ids = None
+        best = nearest.Best(q.bound, k)
         for batch in batches:
             x, cell = _matrix(batch.column(1), q.vectors.shape[1]), np.asarray(batch.column(2))
-            parts = []
             for c in np.unique(cell):
                 mine, at = q.of_cell.get(int(c), ()), np.flatnonzero(cell == c)
                 if len(mine):
-                    i, j = np.nonzero(x[at] @ q.vectors[mine].T >= bound[mine] - ROOM)
-                    parts.append((mine[j], at[i]))
-            if not parts:
-                continue
-            of, row = (np.concatenate(p) for p in zip(*parts, strict=True))
-            score = np.round(_in_order(x[row], q.vectors[of]), digits)
-            left = score >= bound[of]
-            new = batch.column(0).take(pa.array(row[left]))
-            ids = new if ids is None else pa.concat_arrays([ids, new])
-            query, score = np.concatenate([held[0], of[left]]), np.concatenate([held[1], score[left]])
-            order = np.lexsort((np.asarray(ids.to_pandas()), -score, query))
-            nth = np.arange(len(order)) - np.searchsorted(query[order], query[order])
-            last = order[nth == k - 1]
-            bound[query[last]] = np.maximum(bound[query[last]], score[last])
-            order = order[nth < k]
-            held, ids = (query[order], score[order]), ids.take(pa.array(order))
-        if ids is not None and len(ids):
-            yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(held[0])), ids, pa.array(held[1])], names=["query_id", "id", "score"])
+                    nearest.show(best, x[at], at, batch.column(0), q.vectors, mine, digits)
+        yield from best.batches(q.ids)
 
     return points.select("id", "embedding", "cell").mapInArrow(run, f"query_id {query_kind}, id {kind}, score double")
 
