@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions import text
+from corpusforge.session import small_batches
 
 # File extensions by how they are read.
 NATIVE = ".pdf .docx .xlsx .pptx .html .htm .md .adoc .asciidoc .csv .tex .vtt .png .jpg .jpeg .tif .tiff .bmp .webp .xml .json".split()
@@ -186,6 +187,7 @@ def html_blocks(page: pd.Series) -> pd.Series:
 
 def html_sections(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """(file_id, chunk_index, headings, text) of the blocks of each page."""
+    small_batches(pages.sparkSession)  # pages are long
     blocks = pages.select(F.col(key).alias("file_id"), F.posexplode(html_blocks(column)).alias("chunk_index", "b"))
     return blocks.select("file_id", "chunk_index", "b.headings", "b.text")
 
