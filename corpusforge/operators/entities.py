@@ -36,15 +36,55 @@ RULES = [
 NORMAL = {"lower": lambda c: F.lower(text.strip(c)), "compact": text.compact_upper, "money": text.strip_money, "reference": text.normalize_reference}
 
 
+# What a text must have for a rule to match, each far cheaper to look for than the rule, by the place of the
+# rule in RULES. Lower-case words have no letter that other letters are folded to (as i, k and s have).
+_FRACTION, _DIGITS = r"\p{Nd}/\p{Nd}", r"\p{Nd}{11}"
+_NEEDS = [
+    ("has", "@"),
+    ("has", "://", "www."),
+    ("like", r"[A-Z]{2}\p{Nd}{2}[A-Z0-9]{11}"),
+    ("like", r"[A-Z]{2}[A-Z0-9]{9}\p{Nd}"),
+    ("has", "€", "eur"),
+    ("has", "%"),
+    ("like", r"\p{Nd}[/-]\p{Nd}"),
+    ("like", _FRACTION),
+    ("has", "decreto", "legge"),
+    *[("like", _FRACTION)] * 4,
+    ("has", "bera"),
+    ("has", "provved"),
+    ("has", "rcolare"),
+    ("like", _FRACTION),
+    ("has", "gdpr"),
+    ("low", r"art[^\p{IsWhite_Space}\p{Nd}]{0,8}\p{IsWhite_Space}*\p{Nd}"),
+    ("like", r"[A-Z]{6}\p{Nd}{2}[A-Z]\p{Nd}{2}[A-Z]\p{Nd}{3}[A-Z]"),
+    ("like", _DIGITS),
+]
+
+
 def pattern_entities(c, kinds: list[str] | None = None) -> Column:
-    """array<struct(name, type, normalized_name, score)> of all rules; matches may overlap."""
-    value = F.coalesce(text.col(c), F.lit(""))
+    """array<struct(name, type, normalized_name, score)> of all rules; matches may overlap.
 
-    def of(kind, pattern, group, form):
+    A rule is tried only on texts that have what it needs, which is looked for once for
+    all rules that need the same.
+    """
+    asked = [(rule, need) for rule, need in zip(RULES, _NEEDS, strict=True) if kinds is None or rule[0] in kinds]
+    needs = {need: f"n{i}" for i, need in enumerate(dict.fromkeys(need for _, need in asked))}
+    none = F.array().cast("array<struct<name:string,type:string,normalized_name:string,score:double>>")
+
+    def met(value, low, how, *what):
+        if how == "has":
+            return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in what])
+        return (value if how == "like" else low).rlike(what[0])
+
+    def of(value, kind, pattern, group, form):
         names = F.transform(F.regexp_extract_all(value, F.lit(pattern if group else f"({pattern})"), 1 if not group else group), text.collapse)
         return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type"), NORMAL[form](n).alias("normalized_name"), F.lit(1.0).alias("score")))
 
-    return F.concat(*[of(*rule) for rule in RULES if kinds is None or rule[0] in kinds])
+    def judged(value):
+        found = lambda low: F.struct(*[met(value, low, *need).alias(name) for need, name in needs.items()])
+        return text.let(text.let(F.lower(value), found), lambda n: F.concat(*[F.when(n[needs[need]], of(value, *rule)).otherwise(none) for rule, need in asked]))
+
+    return text.let(F.coalesce(text.col(c), F.lit("")), judged)
 
 
 def dedupe_entities(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
