@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from corpusforge.functions import text
 
 SECTION_SEPARATOR = " > "
+#: Bytes of rows of ids in one partition, by the plan's estimate, and partitions at most.
+PART_BYTES, MOST_PARTS = 1 << 20, 4_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of ids, dealt by a key over partitions that grow in number with them.
+
+    Ids shuffle into few bytes, so partitions cut by their bytes hold many times as much
+    in memory. Fewer partitions than the session's would be shuffled again by a join; few
+    rows are left as they are.
+    """
+    spark = rows.sparkSession
+    parts = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)
+    if parts <= spark.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(max(min(MOST_PARTS, parts), int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def sections(chunks: DataFrame) -> DataFrame:
@@ -162,9 +178,10 @@ def cross_document_entities(mentions: DataFrame, files: DataFrame) -> DataFrame:
 
 def links_among(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges with both ends among the nodes (a frame with one column, id)."""
+    ids = nodes.select("id").distinct()
     out = edges
     for end in (src, dst):
-        out = out.join(nodes.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+        out = dealt(out, end).join(ids.withColumnRenamed("id", end), end)  # a semi join would go below the dealing
     return out.select(*edges.columns).distinct()
 
 
@@ -176,8 +193,8 @@ def around_hits(hits: DataFrame, files: DataFrame, mentions: DataFrame, relation
     """
     text = lambda c: F.col(c).cast("string")
     chunks = hits.select(F.col("id").alias("chunk_id")).distinct()
-    of = files.join(chunks, "chunk_id", "left_semi").select("chunk_id", "file_id").distinct()
-    said = mentions.join(chunks, "chunk_id", "left_semi").select("chunk_id", "entity_id").distinct()
+    among = lambda rows, c: dealt(rows.select("chunk_id", c), "chunk_id").join(chunks, "chunk_id").distinct()
+    of, said = among(files, "file_id"), among(mentions, "entity_id")
     entities = said.select(F.col("entity_id").alias("id")).distinct()
     between = links_among(relations.select("head_id", "rel_type", "tail_id"), entities, "head_id", "tail_id")
     node = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), text(c).alias("id"), F.lit(kind == "chunk").alias("seed"))
