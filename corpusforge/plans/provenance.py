@@ -30,20 +30,25 @@ def register(store: Store, pairs: DataFrame, replace: bool = False, buckets: int
     file is ingested again. Gives the new version.
     """
     change = store.change()
-    new = pairs.select("file_id", "body_hash").filter("file_id IS NOT NULL AND body_hash IS NOT NULL").distinct()
-    folder = change._write(new, False)  # once, as it is read several times
-    new = store.spark.read.schema(new.schema).parquet(f"{store.path}/data/{folder}")
-    files = new.select("file_id").distinct()
+    stored = lambda rows: store.spark.read.schema(rows.schema).parquet(f"{store.path}/data/{change._write(rows, False)}")
+    # written once, as they are read several times
+    new = stored(pairs.select("file_id", "body_hash").filter("file_id IS NOT NULL AND body_hash IS NOT NULL").distinct())
+    added, gone = new, new.limit(0)
     if PAIRS in change.tables:
-        old = store.lookup(PAIRS, files).select("file_id", "body_hash")
+        files = new.select("file_id")
+        old = store.lookup(PAIRS, files) if replace else store._rows(change.tables[PAIRS], store.buckets_of(PAIRS, files))
+        old = old.select("file_id", "body_hash")
         added = new.join(old, ["file_id", "body_hash"], "left_anti")
-        gone = old.join(new, ["file_id", "body_hash"], "left_anti") if replace else old.limit(0)
-        whole = new if replace else new.unionByName(old).distinct()
-    else:
-        added, gone, whole = new, new.limit(0), new
+        if replace:
+            gone = old.join(new, ["file_id", "body_hash"], "left_anti")
+        else:
+            added = stored(added)
     signed = added.select("body_hash", F.lit(1).alias("change")).unionByName(gone.select("body_hash", F.lit(-1).alias("change")))
     _log(change, signed)
-    change.upsert(PAIRS, whole, "file_id", buckets)
+    if replace:
+        change.upsert(PAIRS, new, "file_id", buckets)
+    else:
+        change.add(PAIRS, added, "file_id", buckets)
     return _commit(store, change)
 
 

@@ -132,7 +132,7 @@ class Change:
     def rows(self, name: str) -> DataFrame | None:
         return self.store._rows(self.tables[name]) if name in self.tables else None
 
-    def _replace(self, name: str, key: str, new: DataFrame | None, gone: DataFrame, buckets: int) -> Change:
+    def _replace(self, name: str, key: str, new: DataFrame | None, gone: DataFrame, buckets: int, keep: bool = False) -> Change:
         old = self.tables.get(name)
         if old is not None and old.key != key:
             raise ValueError(f"{name} is kept by {old.key}")
@@ -142,7 +142,7 @@ class Change:
         kept = None
         if old is not None:
             before = self.store._rows(old, touched)
-            kept = before.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+            kept = before if keep else before.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
         rows = kept if new is None else new if kept is None else kept.unionByName(new, allowMissingColumns=True)
         if rows is None:
             return self
@@ -160,6 +160,10 @@ class Change:
         new = self.store.spark.read.schema(new.schema).parquet(f"{self.store.path}/data/{folder}")
         return self._replace(name, key, new, new.select(key), buckets)
 
+    def add(self, name: str, new: DataFrame, key: str, buckets: int = BUCKETS) -> Change:
+        """Rows besides those that are there; ``new`` is read twice and should be stored."""
+        return self._replace(name, key, new, new.select(key), buckets, keep=True)
+
     def delete(self, name: str, keys: DataFrame) -> Change:
         """No row of these keys (one column) is left; how many went is in ``figures``."""
         if name not in self.tables:
