@@ -169,7 +169,7 @@ def sparse_edges(weights: DataFrame | nearest.Vectors, ids: DataFrame, k: int =
     """(a, b), a < b: the best k by shared terms of each of the ids, found by bounds."""
     index = weights if isinstance(weights, nearest.Vectors) else nearest.vectors(weights)
     # one more than k, as an id may be among its own best
-    found = nearest.sparse(index, index.pairs(index.rows.join(ids, "id", "left_semi")), k + 1).filter("query_id <> id")
+    found = nearest.sparse(index, index.rows.join(ids, "id", "left_semi").withColumnRenamed("id", "query_id"), k + 1).filter("query_id <> id")
     return neighbour_edges(found.select(F.col("query_id").alias("id"), F.col("id").alias("other"), "score"), k)
 
 

@@ -108,3 +108,37 @@ def test_empty_tables(spark):
     assert nearest.sparse(index, none.withColumnRenamed("id", "query_id"), 3).count() == 0
     points = spark.createDataFrame([], "id long, embedding array<double>")
     assert search.dense_channel(points, points.withColumnRenamed("id", "query_id"), 3).count() == 0
+
+
+def test_words_are_cut_from_bytes_as_sparks_expressions_cut_them(spark):
+    texts = ["", "a", "é", " a  b_1\n", "Über-ÄÖ x", "naïve café", "日本語 テキスト", "x²y ½ Ⅳ", "é café", "a‍b 😀 c😀d", "𝔘𝔫𝔦 𐐷", "İstanbul ΣΑΣ", "  x　y", "a\x00b", "١٢٣ ๑", "_", "…“x”…"]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "".join(texts)])), "id long, text string").repartition(2)
+    index = nearest.word_vectors(docs, "id", "text")
+    got = {(r.query_id, r.term, r.weight) for r in index.pairs(index.rows).collect()}
+    assert got == {(r.id, r.term, r.weight) for r in search.term_weights(docs, "id", "text").collect()}
+    import pyarrow as pa
+
+    table = np.unpackbits(nearest.word_table(spark)).astype(bool)
+    runs, row, mine = nearest.cut(pa.array(["zz zz", *texts]).slice(3, 4), table)
+    assert [(int(i), w.as_py()) for i, w, m in zip(row, runs, mine, strict=True) if m] == [(0, "é"), (1, "a"), (1, "b_1"), (2, "Über"), (2, "ÄÖ"), (2, "x"), (3, "naïve"), (3, "café")]
+
+
+def test_queries_that_need_short_rows_do_not_have_them_read_for_others(spark, monkeypatch):
+    rows = [(i, t, 40) for i in range(60) for t in "ab"] + [(100 + i, "a", 1) for i in range(140)] + [(300 + i, "c", 1) for i in range(20)]
+    weights = spark.createDataFrame(rows, "id long, term string, weight long")
+    index = nearest.vectors(weights)
+    read, scan = {}, nearest._scan
+    monkeypatch.setattr(nearest, "_scan", lambda rows, block, kind: (read.update(dict.fromkeys(block.names.to_pylist(), rows.count())), scan(rows, block, kind))[1])
+    queries = weights.filter("id < 5 or id = 300").withColumnRenamed("id", "query_id")
+    assert listed(nearest.sparse(index, queries, 10)) == listed(search.sparse_channel(weights, queries, 10))
+    assert read[300] == 220 and max(read[i] for i in range(5)) == 60
+
+
+def test_sparse_with_weights_of_both_signs_and_of_all_sizes(spark, small):
+    r = random.Random(5)
+    rows = [(i, f"w{j}", r.choice([-1, 1]) * r.random() * 10.0 ** r.randint(-6, 6)) for i in range(200) for j in r.sample(range(40), r.choice([1, 4, 20]))]
+    weights = spark.createDataFrame(rows, "id long, term string, weight double")
+    queries = weights.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    wanted = search.top_k(search.sparse_channel(weights, queries, 1000).drop("rank").filter("score > 0"), 7, [F.desc("score"), F.asc("id")])
+    close = lambda df: [(q, n, i) for q, n, i, _ in listed(df)]
+    assert close(nearest.sparse(nearest.vectors(weights), queries, 7)) == close(wanted) != []
