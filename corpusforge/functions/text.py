@@ -31,6 +31,17 @@ def strip(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), f"^{SPACE}+", ""), f"{SPACE}+$", "")
 
 
+def head(c, n: int) -> Column:
+    """The first n characters of the stripped text; what follows them is looked at up to its first word alone."""
+
+    def cut(x: Column) -> Column:
+        first = F.substring(x, 1, n)
+        more = F.substring(x, n + 1, 2**31 - 1).rlike(f"[^{SPACE[1:-1]}]")
+        return F.when(more, first).otherwise(F.regexp_replace(first, f"{SPACE}+$", ""))
+
+    return let(F.regexp_replace(col(c), f"^{SPACE}+", ""), cut)
+
+
 def normalize_body(c) -> Column:
     return F.lower(collapse(c))
 

@@ -87,9 +87,21 @@ def dbsf(channels: DataFrame, digits: int = 6) -> DataFrame:
 
 def first_by_text(rows: DataFrame, order: list[Column], column: str = "text", n: int = 200, by: str = "query_id") -> DataFrame:
     """The best row of each text that begins alike; blank texts go."""
-    rows = rows.withColumn("_head", F.substring(text.strip(column), 1, n)).filter(F.col("_head") != "")
-    best = F.row_number().over(Window.partitionBy(by, "_head").orderBy(*order))
-    return rows.withColumn("_n", best).filter("_n = 1").drop("_n", "_head")
+    return first_by_head(rows.withColumn("_head", head_hash(column, n)), order, "_head", by).drop("_head")
+
+
+def head_hash(column: str = "text", n: int = 200) -> Column:
+    """What texts that begin alike have in common, in 32 bytes; null for blank ones.
+
+    Worked out for each text before any join, so that rows which name a text need not carry it.
+    """
+    return text.let(text.head(column, n), lambda h: F.when(h != "", F.unhex(F.sha2(h, 256))))
+
+
+def first_by_head(rows: DataFrame, order: list[Column], head: str = "head", by: str = "query_id") -> DataFrame:
+    """The best row of each ``head_hash``; those without go."""
+    best = F.row_number().over(Window.partitionBy(by, head).orderBy(*order))
+    return rows.filter(F.col(head).isNotNull()).withColumn("_n", best).filter("_n = 1").drop("_n")
 
 
 def lexical_channel(points: DataFrame, terms: list[str], limit: int = 30, legacy: bool = False) -> DataFrame:

@@ -148,12 +148,17 @@ def augment(rows: DataFrame, points: DataFrame, request: SearchRequest, mentions
 
 
 def finish(rows: DataFrame, points: DataFrame, request: SearchRequest, queries: DataFrame | None = None, reranker: Reranker = word_cosine) -> DataFrame:
-    """Join payloads; rerank; dedupe by text; recency, diversity and file limits; suppression; cut."""
+    """Join payloads; rerank; dedupe by text; recency, diversity and file limits; suppression; cut.
+
+    Payloads may have ``head`` (``search.head_hash``) in place of their text, where nothing else needs it.
+    """
     payload = points.withColumnsRenamed({"score": "payload_score"}) if "score" in points.columns else points
+    if "text" in payload.columns and "head" not in payload.columns:
+        payload = payload.withColumn("_head", search.head_hash("text"))
     out = rows.join(payload, "id")
-    by = ["query_id"]
-    if "text" in out.columns:
-        out = search.first_by_text(out, [F.desc("score"), F.asc("id")])
+    by, head = ["query_id"], next((c for c in ("head", "_head") if c in payload.columns), None)
+    if head:
+        out = search.first_by_head(out, [F.desc("score"), F.asc("id")], head).drop("_head")
     if request.rerank and queries is not None:
         pool = search.top_k(out, request.rerank_pool, [F.desc("score"), F.asc("id")])
         out = rerank(pool.join(queries.select("query_id", "query"), "query_id"), reranker)
