@@ -91,12 +91,16 @@ words AS (
 )"""
 
 
-def scored(t: Tables):
+def scored_of(docs):
     # materialised once: the flags and the score read the same signals
-    rows = t.read("documents").select("doc_id", "text", text.quality_signals("text").alias("s"))
+    rows = docs.select("doc_id", "text", text.quality_signals("text").alias("s"))
     return rows.withColumn("q", text.quality("text", "s"))
 
 
+def scored(t: Tables):
+    return scored_of(t.read("documents"))
+
+
 @query(f"WITH {SIGNALS} SELECT doc_id, n_chars, n_words, n_alpha_words, round(alpha_ratio, 6) AS alpha_ratio, round(vowel_ratio, 6) AS vowel_ratio, round(symbol_ratio, 6) AS symbol_ratio, round(wordlike_ratio, 6) AS wordlike_ratio, round(unique_ratio, 6) AS unique_ratio FROM signals")
 def quality_signals(t: Tables):
     rows = t.read("documents").select("doc_id", text.quality_signals("text").alias("s"))

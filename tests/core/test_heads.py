@@ -29,6 +29,13 @@ def test_found_rows_are_not_joined_with_texts(spark, sf):
     assert found and not [x for both in found for x in both if "text#" in x]
 
 
+def test_final_ranking_carries_no_texts(spark, sf, monkeypatch):
+    seen, real = [], plan.finish
+    monkeypatch.setattr(plan, "finish", lambda rows, points, *a: (seen.append(points.columns), real(rows, points, *a))[1])
+    assert QUERIES["final_ranking"](spark, sf).count() > 0
+    assert seen and all("text" not in c for c in seen)
+
+
 def test_finish_dedupes_by_head_as_by_text(spark):
     rows = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.7), (1, 13, 0.6)], "query_id long, id long, score double")
     points = spark.createDataFrame([(10, " same "), (11, "same"), (12, " "), (13, "other")], "id long, text string")
