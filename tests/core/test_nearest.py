@@ -142,3 +142,26 @@ def test_sparse_with_weights_of_both_signs_and_of_all_sizes(spark, small):
     wanted = search.top_k(search.sparse_channel(weights, queries, 1000).drop("rank").filter("score > 0"), 7, [F.desc("score"), F.asc("id")])
     close = lambda df: [(q, n, i) for q, n, i, _ in listed(df)]
     assert close(nearest.sparse(nearest.vectors(weights), queries, 7)) == close(wanted) != []
+
+
+def test_tables_are_in_single_precision_and_not_sorted_where_bounds_leave_little(monkeypatch):
+    import pyarrow as pa
+
+    r, kinds = np.random.default_rng(4), []
+    x = r.standard_normal((400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[50:60] = x[40:50] * (1 + 1e-9)  # closer than single precision tells
+    monkeypatch.setattr(np, "partition", lambda *a, **k: kinds.append("sorted"))
+    best = nearest.Best(np.full(30, 0.6), 5)
+    nearest.show(best, x, np.arange(400), pa.array(np.arange(400)), x[:30], None, 6)
+    query, score, ids = best.settle()
+    full = np.round(x @ x[:30].T, 6)
+    wanted = {(j, i) for j in range(30) for i in sorted(range(400), key=lambda i: (-full[i, j], i))[:5] if full[i, j] >= 0.6}
+    assert not kinds and {(int(a), int(b)) for a, b in zip(query, ids.to_pylist(), strict=True)} == wanted
+
+
+def test_numbers_beyond_single_precision_are_found(spark):
+    points = spark.createDataFrame([(1, [1e39, 1.0]), (2, [-1e39, 5.0]), (3, [1e-39, 2.0]), (4, [1e300, -1.0])], "id long, embedding array<double>")
+    queries = points.withColumnRenamed("id", "query_id").filter("query_id < 4")
+    wanted = search.top_k(plain(points, queries, -2.0), 3, [F.desc("score"), F.asc("id")])
+    assert listed(search.dense_channel(points, queries, 3, -2.0)) == listed(wanted)
